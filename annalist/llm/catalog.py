@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from annalist.llm import chat, decontaminate, mixing, warc
+from annalist.llm import chat, decontaminate, jaccard, langid, lm, mixing, substrings, toxicity, vectors, warc
 
-_MODULES = (warc, decontaminate, chat, mixing)
+_MODULES = (langid, jaccard, toxicity, warc, decontaminate, substrings, vectors, chat, mixing, lm)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

@@ -36,11 +36,15 @@ class Scratch:
     ``save`` writes and rereads; ``drop`` deletes tables that nothing reads any more.
     """
 
+    #: Folders of all instances, in order; a pipeline removes those of a stage once its output is written.
+    created: list[str] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
         self.n = 0
+        Scratch.created.append(self.base)
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> str:
         self.n += 1
@@ -57,10 +61,15 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(self.write(df, name))
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(conf).delete(path, True)
+        remove(self.spark, *(self.paths.pop(name) for name in names))
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders, wherever they are; those that are gone don't matter."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def crc_mod(key: str, m: int) -> F.Column:

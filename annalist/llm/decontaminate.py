@@ -238,6 +238,29 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, sha
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, schema)
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 400_000, block_bytes: int = 8_000_000) -> DataFrame:
+    """``docs`` without the rows whose text holds a window of the benchmark; all columns stay as they are."""
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast([Benchmark(b, window) for b in _load(benchmark, block_bytes)])
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            texts, first, n = [], 0, 0
+            for k, text in enumerate(batch.column(place).to_pylist(), 1):
+                texts.append(bench_words(text.encode() if text is not None else None))
+                n += len(texts[-1])
+                if n >= shard_words or k == batch.num_rows:
+                    for bench in shared.value:
+                        clean[first + search_shard(bench, texts)[0]] = False
+                    texts, first, n = [], k, 0
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -238,6 +238,20 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
+def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is known: not ``und``, and a score of ``least`` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = sent.value.scorer()
+        for text in texts:
+            found = [score(t) for t in text]
+            yield pd.Series([lang != "und" and s >= least for lang, s in found], dtype=bool)
+
+    return docs.where(known("text"))
+
+
 def held_out(key: str = "doc_id") -> F.Column:
     return F.coalesce(crc_mod(key, 4) == 2, F.lit(False))
 
