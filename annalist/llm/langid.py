@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,80 +46,108 @@ def load_pieces(path: str = PIECES) -> dict[str, int]:
 
 
 class Lattice:
-    """All segmentations of a word into pieces; a letter without a piece is one unknown piece (number V)."""
+    """All segmentations of many words into pieces; a letter without a piece is one unknown piece (number V)."""
 
     def __init__(self, pieces: dict[str, int]):
-        self.pieces, self.unknown = pieces, len(pieces)
-        self.longest = max(map(len, pieces), default=1)
-
-    def edges(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each end position 1..n, (begin, piece)."""
-        s = MARK + word
-        n, get, longest = len(s), self.pieces.get, self.longest
-        out = []
-        for end in range(1, n + 1):
-            here = []
-            for begin in range(max(0, end - longest), end):
-                k = get(s[begin:end])
-                if k is not None:
-                    here.append((begin, k))
-            if not here or here[-1][0] != end - 1:
-                here.append((end - 1, self.unknown))
-            out.append(here)
-        return out
-
-
-def forward(edges, p: list[float]) -> float:
-    """log of the sum over all segmentations of the product of piece probabilities."""
-    if len(edges) > LONG:
-        return _forward_log(edges, p)[-1]
-    a = [1.0]
-    for here in edges:
-        total = 0.0
-        for begin, k in here:
-            total += a[begin] * p[k]
-        a.append(total)
-    return math.log(a[-1])
-
-
-def _forward_log(edges, p) -> list[float]:
-    a = [0.0]
-    for here in edges:
-        terms = [a[b] + math.log(p[k]) for b, k in here]
-        top = max(terms)
-        a.append(top + math.log(sum(math.exp(t - top) for t in terms)))
-    return a
-
-
-def expected(edges, p: list[float], n: float, into: np.ndarray) -> None:
-    """Adds n times the expected count of every piece, over all segmentations (forward-backward)."""
-    if len(edges) > LONG:
-        a = _forward_log(edges, p)
-        b: list[float] = [-math.inf] * (len(edges) + 1)
-        b[-1] = 0.0
-        for end in range(len(edges), 0, -1):
-            for begin, k in edges[end - 1]:
-                x, y = b[begin], b[end] + math.log(p[k])
-                top = max(x, y)
-                b[begin] = top + math.log(math.exp(x - top) + math.exp(y - top))
-        for end, here in enumerate(edges, 1):
-            for begin, k in here:
-                into[k] += n * math.exp(a[begin] + math.log(p[k]) + b[end] - a[-1])
-        return
-    a = [1.0]
-    for here in edges:
-        total = 0.0
-        for begin, k in here:
-            total += a[begin] * p[k]
-        a.append(total)
-    b = [0.0] * (len(edges) + 1)
-    b[-1] = n / a[-1]
-    for end in range(len(edges), 0, -1):
-        back = b[end]
-        for begin, k in edges[end - 1]:
-            part = p[k] * back
-            b[begin] += part
-            into[k] += a[begin] * part
+        import ahocorasick
+
+        self.unknown = len(pieces)
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for piece, k in pieces.items():
+            self.found.add_word(piece, k << 8 | len(piece))
+        if pieces:
+            self.found.make_automaton()
+
+    def edges(self, words: list[str]):
+        """Edges (begin, end, piece) over the boundaries of the words' letters, the offset of each edge's end in its
+        word, and each word's first and last boundary. Boundaries are places in the words joined by line feeds."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        last = np.cumsum(lengths + 1) - 1
+        first = last - lengths
+        size = int(last[-1]) + 1
+        flat = np.fromiter(chain.from_iterable(self.found.iter("\n".join(MARK + w for w in words))) if self.unknown else (), np.int64)
+        end, value = flat[::2] + 1, flat[1::2]
+        length, piece = value & 255, value >> 8
+        alone = np.ones(size + 1, bool)
+        alone[end[length == 1]] = False
+        alone[first] = False
+        alone[last[:-1] + 1] = False  # what follows a line feed is a first boundary
+        alone[0] = alone[size] = False
+        lost = np.flatnonzero(alone)
+        end = np.concatenate([end, lost])
+        begin = np.concatenate([end[: len(length)] - length, lost - 1])
+        piece = np.concatenate([piece, np.full(len(lost), self.unknown)])
+        own = np.searchsorted(last, end)
+        return begin, end, piece, end - first[own], own, first, last
+
+
+def forward(lattice: Lattice, words: list[str], probs: np.ndarray) -> np.ndarray:
+    """For each word and row of ``probs``, log of the sum over all segmentations of the product of probabilities.
+
+    All words go at once, end offset by end offset. A word's values are scaled by a constant a letter, so that long
+    words neither vanish nor overflow within LONG letters; longer words are summed one by one in logarithms.
+    """
+    out = np.zeros((len(words), len(probs)))
+    short = [i for i, w in enumerate(words) if len(w) < LONG]
+    for i, w in enumerate(words):
+        if len(w) >= LONG:
+            out[i] = _long(lattice, w, np.log(probs))[0][-1]
+    if short:
+        begin, end, piece, offset, _, first, last = lattice.edges([words[i] for i in short])
+        a = np.zeros((int(last[-1]) + 1, len(probs)))
+        a[first] = 1
+        p = np.ascontiguousarray(probs.T)
+        order = np.lexsort((end, offset))
+        begin, end, piece, offset = begin[order], end[order], piece[order], offset[order]
+        cuts = np.searchsorted(offset, np.arange(1, offset[-1] + 2))
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if y > x:
+                part = a[begin[x:y]] * p[piece[x:y]]
+                to = end[x:y]
+                heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+                a[to[heads]] = np.add.reduceat(part, heads)
+        out[short] = np.log(a[last])
+    return out
+
+
+def _long(lattice: Lattice, word: str, logs: np.ndarray):
+    """Forward and backward sums of one word in logarithms, and its edges."""
+    begin, end, piece, _, _, _, last = lattice.edges([word])
+    n = int(last[0])
+    a, b = np.full((n + 1, len(logs)), -np.inf), np.full((n + 1, len(logs)), -np.inf)
+    a[0], b[n] = 0, 0
+    by_end, by_begin = np.argsort(end, kind="stable"), np.argsort(-begin, kind="stable")
+    for k in by_end.tolist():
+        a[end[k]] = np.logaddexp(a[end[k]], a[begin[k]] + logs[:, piece[k]])
+    for k in by_begin.tolist():
+        b[begin[k]] = np.logaddexp(b[begin[k]], b[end[k]] + logs[:, piece[k]])
+    return a, b, begin, end, piece
+
+
+def expected(lattice: Lattice, words: list[str], n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Expected piece counts over all segmentations of all words (forward-backward), each word n times."""
+    total = np.zeros(len(p))
+    long_ = np.fromiter((len(w) >= LONG for w in words), bool, len(words))
+    for i in np.flatnonzero(long_):
+        a, b, begin, end, piece = _long(lattice, words[i], np.log(p)[None])
+        np.add.at(total, piece, n[i] * np.exp(a[begin, 0] + np.log(p[piece]) + b[end, 0] - a[-1, 0]))
+    short = np.flatnonzero(~long_)
+    if not len(short):
+        return total
+    begin, end, piece, offset, own, first, last = lattice.edges([words[i] for i in short])
+    a, b = np.zeros(int(last[-1]) + 1), np.zeros(int(last[-1]) + 1)
+    a[first], w = 1, p[piece]
+    order = np.lexsort((end, offset))
+    cuts = np.searchsorted(offset[order], np.arange(1, offset.max() + 2))
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        k = order[x:y]
+        np.add.at(a, end[k], a[begin[k]] * w[k])
+    b[last] = n[short] / a[last]
+    for x, y in zip(cuts[-2::-1], cuts[:0:-1], strict=True):  # an edge's end is done before its begin: later ends first
+        k = order[x:y]
+        np.add.at(b, begin[k], w[k] * b[end[k]])
+    np.add.at(total, piece, a[begin] * w * b[end])
+    return total
 
 
 class LanguageModel:
@@ -129,38 +157,42 @@ class LanguageModel:
         self.pieces, self.langs, self.probs, self.prior = pieces, langs, probs, prior
 
     def scorer(self):
-        lattice, tables, langs = Lattice(self.pieces), [row.tolist() for row in self.probs], self.langs
-        prior, known = np.log(self.prior), {}
-        rows: list[list[float]] = []
-
-        def score(text: str | None) -> tuple[str, float]:
-            words = letters(text)
-            if not words or not langs:
-                return "und", 0.0
+        """A function of many texts: (language or und, score) for each."""
+        lattice, langs = Lattice(self.pieces), self.langs
+        prior = np.log(self.prior)
+        known: dict[str, int] = {}
+        logs = np.empty((0, len(langs)))
+
+        def some(lists: list[list[str]]) -> Iterator[tuple[str, float]]:
+            nonlocal logs
             if len(known) > MEMORY:
                 known.clear()
-                rows.clear()
-            at = []
-            for w in words:
-                k = known.get(w)
-                if k is None:
-                    k = known[w] = len(rows)
-                    e = lattice.edges(w)
-                    rows.append([forward(e, p) for p in tables])
-                at.append(k)
-            # many words: sum by distinct word
-            total = prior + (np.array([rows[k] for k in at]) if len(at) < 64 else _weighted(at, rows)).sum(0)
-            best = int(total.argmax())
-            return langs[best], float(1 / np.exp(total - total[best]).sum())
+                logs = logs[:0]
+            fresh = list({w for words in lists for w in words}.difference(known))
+            if fresh and langs:
+                known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+                logs = np.concatenate([logs, forward(lattice, fresh, self.probs)])
+            for words in lists:
+                if not words or not langs:
+                    yield "und", 0.0
+                    continue
+                total = prior + logs[[known[w] for w in words]].sum(0)
+                best = int(total.argmax())
+                yield langs[best], float(1 / np.exp(total - total[best]).sum())
+
+        def score(texts) -> list[tuple[str, float]]:
+            out, lists, n = [], [], 0
+            for t in texts:
+                lists.append(letters(t))
+                n += len(lists[-1])
+                if n >= 200_000:
+                    out += some(lists)
+                    lists, n = [], 0
+            return out + list(some(lists))
 
         return score
 
 
-def _weighted(at: list[int], rows: list[list[float]]) -> np.ndarray:
-    c = Counter(at)
-    return np.array([rows[k] for k in c]) * np.fromiter(c.values(), float, len(c))[:, None]
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word, n over whole texts; counted in each task before the shuffle."""
 
@@ -204,13 +236,12 @@ def train(docs: DataFrame, path: str = PIECES, rounds: int = 2, smooth: float =
 
         def step(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             known, names, now = sent.value
-            lattice, tables = Lattice(known), [row.tolist() for row in now]
-            total = np.zeros(now.shape)
-            index = {n: i for i, n in enumerate(names)}
+            lattice, total = Lattice(known), np.zeros(now.shape)
             for pdf in batches:
-                for lang, word, n in zip(pdf["lang"], pdf["word"], pdf["n"], strict=True):
-                    i = index[lang]
-                    expected(lattice.edges(word), tables[i], float(n), total[i])
+                for i, name in enumerate(names):
+                    own = pdf[pdf["lang"] == name]
+                    if len(own):
+                        total[i] += expected(lattice, own["word"].tolist(), own["n"].to_numpy(float), now[i])
             for i in range(len(names)):
                 at = np.flatnonzero(total[i])
                 yield pd.DataFrame({"lang": i, "piece": at, "n": total[i][at]})
@@ -232,7 +263,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = sent.value.scorer()
         for pdf in batches:
-            found = [score(t) for t in pdf["text"]]
+            found = score(pdf["text"])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
 
     return docs.select("doc_id", "text").mapInPandas(run, schema)
@@ -246,7 +277,7 @@ def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataF
     def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = sent.value.scorer()
         for text in texts:
-            found = [score(t) for t in text]
+            found = score(text)
             yield pd.Series([lang != "und" and s >= least for lang, s in found], dtype=bool)
 
     return docs.where(known("text"))
