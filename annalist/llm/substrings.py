@@ -9,14 +9,18 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.llm.common import Scratch, frames, table, width
 
 #: Words of the grams among which anchors are chosen.
 GRAM = 8
-#: Anchor entries of one reference shard, from which its passages are compared as hashed windows instead.
-SHARD_ENTRIES = 4000
+#: Words of the documents that one automaton holds: a larger shard has several, for documents in order of doc_id.
+SHARD_WORDS = 80_000
+#: Anchor entries of a shard (about one in 20 words) from which it is compared as hashed windows instead: a shard of
+#: so many automata would stream its documents through all of them.
+SHARD_ENTRIES = 200_000
 MEMORY = 300_000
 _BASE = 0x9E3779B97F4A7C15
 _B = np.uint64(_BASE)
@@ -198,7 +202,9 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
        streamed through the shard's suffix automaton of all smaller documents: matches of ``window`` words at least
        are spans to remove. Then its own passage extends the automaton. Automata are sent no wider than their
        shard: they grow with the corpus, so a broadcast would have no bound.
-    3. A shard of more than SHARD_ENTRIES anchors (one very common passage) is not built in one task: its windows
+       A shard of more than SHARD_WORDS is cut by doc_id into blocks, each with its own automaton; a document is
+       streamed through that of its own block and those of the blocks before.
+    3. A shard of more than SHARD_ENTRIES anchors (one extremely common passage) is not cut further: its windows
        are hashed to 64 bits, the least document of each is a pre-aggregated minimum, and later ones lose it.
     """
     box = Scratch(docs.sparkSession, "substrings")
@@ -239,7 +245,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     def stretch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed, reach = WordHash(), window - GRAM
         for pdf in batches:
-            out = {k: [] for k in ("doc_id", "sha", "owner", "begin", "words", "win")}
+            out = {k: [] for k in ("doc_id", "sha", "owner", "begin", "n", "words", "win")}
             for key, sha, text, marks in zip(pdf["doc_id"], pdf["sha"], pdf["text"], pdf["a"], strict=True):
                 words = text.split()
                 parts: list[list] = []
@@ -255,27 +261,32 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                     else:
                         parts.append([m["owner"], begin, end])
                 for owner, begin, end in parts:
-                    for c, v in zip(out, (key, sha, owner, begin, b" ".join(words[begin:end]), None), strict=True):
+                    for c, v in zip(out, (key, sha, owner, begin, end - begin, b" ".join(words[begin:end]), None), strict=True):
                         out[c].append(v)
                 if starts:
                     at = np.array(sorted(starts))
                     g = gram_hashes(hashed(words), window)[at].view(np.int64)
-                    for c, v in zip(out, (key, sha, None, None, None, [{"h": int(x), "begin": int(y)} for x, y in zip(g, at, strict=True)]), strict=True):
+                    for c, v in zip(out, (key, sha, None, None, None, None, [{"h": int(x), "begin": int(y)} for x, y in zip(g, at, strict=True)]), strict=True):
                         out[c].append(v)
-            yield pd.DataFrame({"doc_id": out["doc_id"], "sha": pd.Series(out["sha"], dtype=object), "owner": pd.array(out["owner"], dtype="Int64"), "begin": pd.array(out["begin"], dtype="Int32"), "words": pd.Series(out["words"], dtype=object), "win": pd.Series(out["win"], dtype=object)})
+            yield pd.DataFrame({"doc_id": out["doc_id"], "sha": pd.Series(out["sha"], dtype=object), "owner": pd.array(out["owner"], dtype="Int64"), "begin": pd.array(out["begin"], dtype="Int32"), "n": pd.array(out["n"], dtype="Int32"), "words": pd.Series(out["words"], dtype=object), "win": pd.Series(out["win"], dtype=object)})
 
-    cut = rows.join(lists, ["doc_id", "sha"]).mapInPandas(stretch, f"doc_id {kind}, sha binary, owner {kind}, begin int, words binary, win array<struct<h: long, begin: int>>")
+    cut = rows.join(lists, ["doc_id", "sha"]).mapInPandas(stretch, f"doc_id {kind}, sha binary, owner {kind}, begin int, n int, words binary, win array<struct<h: long, begin: int>>")
     cut = box.save(cut.dropDuplicates(["doc_id", "sha", "owner", "begin"]), "stretches")
-    shards = cut.where(F.col("win").isNull()).select("owner", "doc_id", "sha", "begin", "words").repartition(width(spark), "owner").sortWithinPartitions("owner", "doc_id", "sha", "begin")
+    stretches = cut.where(F.col("win").isNull()).drop("win")
+    # the frame holds all rows of a document at once, so that a document is in one block
+    upto = F.sum("n").over(W.partitionBy("owner").orderBy("doc_id").rangeBetween(W.unboundedPreceding, W.currentRow))
+    stretches = stretches.withColumn("block", ((upto - 1) / SHARD_WORDS).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("block"))))
+    order = ["owner", "part", "doc_id", "sha", "begin"]
+    shards = stretches.select(*order, (F.col("block") == F.col("part")).alias("refers"), "words").repartition(width(spark), "owner", "part").sortWithinPartitions(*order)
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner = doc = None
+        shard = doc = None
         automaton, held, out = SuffixAutomaton(), [], []
         for pdf in batches:
-            for o, key, sha, begin, text in zip(pdf["owner"], pdf["doc_id"], pdf["sha"], pdf["begin"], pdf["words"], strict=True):
+            for o, part, key, sha, begin, refers, text in zip(*(pdf[c] for c in (*order, "refers", "words")), strict=True):
                 words = text.split()
-                if o != owner:
-                    owner, doc, automaton, held = o, key, SuffixAutomaton(), []
+                if (o, part) != shard:
+                    shard, doc, automaton, held = (o, part), key, SuffixAutomaton(), []
                 elif key != doc:  # passages of smaller documents only are in the automaton
                     for w in held:
                         automaton.add(w)
@@ -283,7 +294,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                 told = automaton.statistics(words) if len(automaton.link) > 1 else []
                 spans = matched_spans(told, window)
                 out += [(key, sha, begin + a, begin + b) for a, b in spans]
-                if sum(b - a for a, b in spans) < len(words):
+                if refers and sum(b - a for a, b in spans) < len(words):
                     held.append(words)
             if len(out) > 10_000:
                 yield from frames(doc_id=[x[0] for x in out], sha=[x[1] for x in out], begin=[x[2] for x in out], end=[x[3] for x in out])
