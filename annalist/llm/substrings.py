@@ -270,7 +270,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                         out[c].append(v)
             yield pd.DataFrame({"doc_id": out["doc_id"], "sha": pd.Series(out["sha"], dtype=object), "owner": pd.array(out["owner"], dtype="Int64"), "begin": pd.array(out["begin"], dtype="Int32"), "n": pd.array(out["n"], dtype="Int32"), "words": pd.Series(out["words"], dtype=object), "win": pd.Series(out["win"], dtype=object)})
 
-    cut = rows.join(lists, ["doc_id", "sha"]).mapInPandas(stretch, f"doc_id {kind}, sha binary, owner {kind}, begin int, n int, words binary, win array<struct<h: long, begin: int>>")
+    cut = rows.join(lists.hint("merge"), ["doc_id", "sha"]).mapInPandas(stretch, f"doc_id {kind}, sha binary, owner {kind}, begin int, n int, words binary, win array<struct<h: long, begin: int>>")
     cut = box.save(cut.dropDuplicates(["doc_id", "sha", "owner", "begin"]), "stretches")
     stretches = cut.where(F.col("win").isNull()).drop("win")
     # the frame holds all rows of a document at once, so that a document is in one block
@@ -338,7 +338,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _rows(docs).join(spans, ["doc_id", "sha"], "left").select("doc_id", "text", "spans").mapInPandas(digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _rows(docs).join(spans.hint("merge"), ["doc_id", "sha"], "left").select("doc_id", "text", "spans").mapInPandas(digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeated(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -346,7 +346,7 @@ def remove_repeated(docs: DataFrame, window: int = 50) -> DataFrame:
     where there is such a column); texts of which nothing is left go; all others stay as they are."""
     spans = repeated_spans(docs, window).withColumnRenamed("doc_id", "_id").withColumnRenamed("sha", "_sha")
     named = docs.withColumn("_own", F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")))))
-    both = named.join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_sha")), "left").drop("_id", "_sha", "_own")
+    both = named.join(spans.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_sha")), "left").drop("_id", "_sha", "_own")
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, spans: pd.Series) -> pd.Series:
