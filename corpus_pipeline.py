@@ -39,7 +39,7 @@ def near_duplicates(spark, docs, sf_dir):
     """Five words, similarity 0.8: of each group of linked documents that of the smallest doc_id stays."""
     found = jaccard.jaccard_components(docs, 5, (80, 100))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 @_stage
