@@ -12,7 +12,19 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+#: Texts that a Python worker gets at once; with long texts Spark's own limit of bytes a batch comes first.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Fewer texts a batch than Spark's default, unless the session sets fewer itself."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

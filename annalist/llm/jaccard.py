@@ -21,7 +21,7 @@ COUNTERS = 1 << 18
 BITS = 1024
 #: Entries of an index list that one task compares with each other.
 BLOCK = 1024
-MEMORY = 300_000
+MEMORY = 150_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 

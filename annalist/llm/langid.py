@@ -21,7 +21,9 @@ _RUN = re.compile(r"[^\W\d_]+")
 #: Words this long are summed in logarithms; shorter ones can't underflow.
 LONG = 40
 #: Distinct words that a task remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 300_000
+#: Words whose segmentations are summed at once.
+TOGETHER = 8192
 
 
 def letters(text: str | None) -> list[str]:
@@ -171,7 +173,7 @@ class LanguageModel:
             fresh = list({w for words in lists for w in words}.difference(known))
             if fresh and langs:
                 known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-                logs = np.concatenate([logs, forward(lattice, fresh, self.probs)])
+                logs = np.concatenate([logs, *(forward(lattice, fresh[k : k + TOGETHER], self.probs) for k in range(0, len(fresh), TOGETHER))])
             for words in lists:
                 if not words or not langs:
                     yield "und", 0.0
@@ -185,7 +187,7 @@ class LanguageModel:
             for t in texts:
                 lists.append(letters(t))
                 n += len(lists[-1])
-                if n >= 200_000:
+                if n >= 100_000:
                     out += some(lists)
                     lists, n = [], 0
             return out + list(some(lists))

@@ -21,7 +21,7 @@ SHARD_WORDS = 80_000
 #: Anchor entries of a shard (about one in 20 words) from which it is compared as hashed windows instead: a shard of
 #: so many automata would stream its documents through all of them.
 SHARD_ENTRIES = 200_000
-MEMORY = 300_000
+MEMORY = 150_000
 _BASE = 0x9E3779B97F4A7C15
 _B = np.uint64(_BASE)
 

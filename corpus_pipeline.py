@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from annalist.llm import decontaminate, jaccard, langid, mixing, substrings
-from annalist.llm.common import Scratch, remove, table
+from annalist.llm.common import Scratch, bounded_batches, remove, table
 
 _held: list[str] = []
 
@@ -19,6 +19,7 @@ def _clear(spark: SparkSession) -> None:
 def _stage(f):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         _clear(spark)
+        bounded_batches(spark)
         before = len(Scratch.created)
         out = f(spark, docs, sf_dir)
         _held.extend(Scratch.created[before:])
