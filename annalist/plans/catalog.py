@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from annalist.plans import transcripts
+from annalist.plans import documents, transcripts, workflow
 
-_MODULES = (transcripts,)
+_MODULES = (transcripts, documents, workflow)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
