@@ -344,18 +344,18 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
 def remove_repeated(docs: DataFrame, window: int = 50) -> DataFrame:
     """``docs`` with repeated runs cut out: such texts become their kept words joined by a space (n_chars follows,
     where there is such a column); texts of which nothing is left go; all others stay as they are."""
-    spans = repeated_spans(docs, window).withColumnRenamed("doc_id", "_id").withColumnRenamed("sha", "_sha")
-    named = docs.withColumn("_own", F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")))))
-    both = named.join(spans.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_sha")), "left").drop("_id", "_sha", "_own")
+    spans = repeated_spans(docs, window).withColumnsRenamed({"doc_id": "__annalist_id", "sha": "__annalist_sha", "spans": "__annalist_spans"})
+    named = docs.withColumn("__annalist_own", F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")))))
+    both = named.join(spans.hint("merge"), (F.col("doc_id") == F.col("__annalist_id")) & (F.col("__annalist_own") == F.col("__annalist_sha")), "left").drop("__annalist_id", "__annalist_sha", "__annalist_own")
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([b" ".join(_kept(t, s)[1]).decode() if s is not None and t is not None else None for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    cut = F.when(F.col("spans").isNotNull(), rest(F.col("text").cast("binary"), "spans")).otherwise(F.col("text"))
-    out = both.withColumn("text", cut).where(F.col("spans").isNull() | (F.col("text") != ""))
+    cut = F.when(F.col("__annalist_spans").isNotNull(), rest(F.col("text").cast("binary"), "__annalist_spans")).otherwise(F.col("text"))
+    out = both.withColumn("text", cut).where(F.col("__annalist_spans").isNull() | (F.col("text") != ""))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__annalist_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
