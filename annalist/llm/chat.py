@@ -118,7 +118,8 @@ def canonical_json(df: DataFrame, column: str = "payload", key: str = "conv_id")
     schema = T.StructType([T.StructField(n, text) for n in sorted(fields)] + [T.StructField("messages", pair("role", "content")), T.StructField("conversations", pair("from", "value"))])
     read = df.select(key, F.from_json(column, schema).alias("j")).select(key, "j.*")
     paths = [F.when(F.col(n).isNotNull(), F.lit(f"{n}:text")) for n in sorted(fields)]
-    paths += [F.when(F.exists(F.col(c), lambda m, a=a: m[a].isNotNull()), F.lit(f"{c}[].{a}:text")) for c, two in (("messages", ("role", "content")), ("conversations", ("from", "value"))) for a in two]
+    has = lambda a: lambda m: m[a].isNotNull()
+    paths += [F.when(F.exists(F.col(c), has(a)), F.lit(f"{c}[].{a}:text")) for c, two in (("messages", ("role", "content")), ("conversations", ("from", "value"))) for a in two]
     # an absent optional "input" is the same instruction layout
     paths.append(F.when(F.col("instruction").isNotNull() & F.col("input").isNull(), F.lit("input:text")))
     digest = F.sha2(F.array_join(F.array_sort(F.array_compact(F.array(*paths))), "\n"), 256)

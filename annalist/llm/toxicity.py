@@ -27,7 +27,7 @@ _ABUSE = re.compile(r"(?i)\b(?:shut up|get lost|go to hell|drop dead|nobody like
 _SHOUT = re.compile(r"\b[A-Z]{4,}\b[^.?]{0,40}!{2,}")
 PREFIXES = (4, 5, 6, 7, 8)
 GROUPS = 5  # lexicon voters that share the learned entries
-VOTERS = 10
+VOTERS = 2 + GROUPS + 3
 
 
 def entries_of(word: str) -> list[str]:
@@ -118,7 +118,7 @@ def label_model(patterns: pd.DataFrame, rounds: int = 40) -> dict[str, np.ndarra
     own. EM; each voter's log odds are divided by one plus the sum of its absolute correlations with the others,
     measured within classes, so that dependent voters don't count again and again. Bounded: 3^voters patterns.
     """
-    codes = np.array([[{"t": 1, "c": 0, "-": 2}[ch] for ch in v] for v in patterns["votes"]], int).reshape(len(patterns), -1)
+    codes = np.array([[{"t": 1, "c": 0, "-": 2}[ch] for ch in v] for v in patterns["votes"]], int).reshape(len(patterns), VOTERS)
     gold = patterns["gold"].map({0: 0, 1: 1}).fillna(2).to_numpy(int)
     codes = np.column_stack([codes, gold])
     n = patterns["n"].to_numpy(float)
