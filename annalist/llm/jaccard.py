@@ -7,12 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.llm.common import Scratch, frames, table, width
+from annalist.llm.common import Scratch, WordHashes, frames, table, width
 from annalist.llm.components import connected_components
 
 #: Counters by which shingles are ordered from rare to frequent: bounded whatever the corpus, equal for all documents.
@@ -29,21 +28,10 @@ class Shingler:
     """Distinct 64-bit hashes of a text's word shingles (A-Z lowered; blanks are the six ASCII ones)."""
 
     def __init__(self, n: int):
-        self.n, self._known = n, {}
+        self.n, self._hashes = n, WordHashes(MEMORY)
 
     def words(self, text: bytes | None) -> np.ndarray:
-        if text is None:
-            return np.empty(0, np.uint64)
-        known, h = self._known, xxhash.xxh3_64_intdigest
-        if len(known) > MEMORY:
-            known.clear()
-        out = []
-        for w in text.lower().split():
-            k = known.get(w)
-            if k is None:
-                k = known[w] = h(w)
-            out.append(k)
-        return np.array(out, np.uint64)
+        return self._hashes.array(text.lower().split()) if text is not None else np.empty(0, np.uint64)
 
     def shingles(self, text: bytes | None) -> np.ndarray:
         h = self.words(text)

@@ -7,12 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.llm.common import Scratch, frames, table, width
+from annalist.llm.common import Scratch, WordHashes, frames, table, width
 
 #: Words of the grams among which anchors are chosen.
 GRAM = 8
@@ -26,25 +25,6 @@ _BASE = 0x9E3779B97F4A7C15
 _B = np.uint64(_BASE)
 
 
-class WordHash:
-    """64-bit hashes of words; a word is ``[^\\x20\\x09-\\x0D]+``, unchanged."""
-
-    def __init__(self):
-        self._known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, h = self._known, xxhash.xxh3_64_intdigest
-        if len(known) > MEMORY:
-            known.clear()
-        out = []
-        for w in words:
-            k = known.get(w)
-            if k is None:
-                k = known[w] = h(w)
-            out.append(k)
-        return np.array(out, np.uint64)
-
-
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words."""
     count = len(h) - n + 1
@@ -212,7 +192,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     rows = _rows(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
 
     def survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = WordHash()
+        hashed = WordHashes(MEMORY).array
         for pdf in batches:
             ids, shas, whole, lists, places = [], [], [], [], []
             for key, sha, text in zip(pdf["doc_id"], pdf["sha"], pdf["text"], strict=True):
@@ -243,7 +223,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     box.drop("meta", "owners")
 
     def stretch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, reach = WordHash(), window - GRAM
+        hashed, reach = WordHashes(MEMORY).array, window - GRAM
         for pdf in batches:
             out = {k: [] for k in ("doc_id", "sha", "owner", "begin", "n", "words", "win")}
             for key, sha, text, marks in zip(pdf["doc_id"], pdf["sha"], pdf["text"], pdf["a"], strict=True):
