@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.llm.common import Scratch, WordHashes, frames, table, width
+from annalist.llm.common import Scratch, frames, table, width, word_hashes
 from annalist.llm.components import connected_components
 
 #: Counters by which shingles are ordered from rare to frequent: bounded whatever the corpus, equal for all documents.
@@ -28,10 +28,10 @@ class Shingler:
     """Distinct 64-bit hashes of a text's word shingles (A-Z lowered; blanks are the six ASCII ones)."""
 
     def __init__(self, n: int):
-        self.n, self._hashes = n, WordHashes(MEMORY)
+        self.n = n
 
     def words(self, text: bytes | None) -> np.ndarray:
-        return self._hashes.array(text.lower().split()) if text is not None else np.empty(0, np.uint64)
+        return word_hashes(text.lower()) if text is not None else np.empty(0, np.uint64)
 
     def shingles(self, text: bytes | None) -> np.ndarray:
         h = self.words(text)
@@ -41,11 +41,13 @@ class Shingler:
         count = len(h) - n + 1
         k = np.full(count, n, np.uint64)
         for j in range(n):
-            k = k * _MULTIPLY + h[j : j + count]
-            k ^= k >> np.uint64(29)
+            k *= _MULTIPLY
+            k += h[j : j + count]
+        k ^= k >> np.uint64(29)
         k *= np.uint64(0xBF58476D1CE4E5B9)
         k ^= k >> np.uint64(32)
-        return np.unique(k)
+        k.sort()
+        return k[np.concatenate([[True], k[1:] != k[:-1]])]
 
 
 def parity(shingles: np.ndarray) -> bytes:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.llm.common import Scratch, WordHashes, frames, table, width
+from annalist.llm.common import Scratch, frames, table, width, word_hashes
 
 #: Words of the grams among which anchors are chosen.
 GRAM = 8
@@ -20,7 +20,6 @@ SHARD_WORDS = 80_000
 #: Anchor entries of a shard (about one in 20 words) from which it is compared as hashed windows instead: a shard of
 #: so many automata would stream its documents through all of them.
 SHARD_ENTRIES = 200_000
-MEMORY = 150_000
 _BASE = 0x9E3779B97F4A7C15
 _B = np.uint64(_BASE)
 
@@ -192,18 +191,16 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     rows = _rows(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
 
     def survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = WordHashes(MEMORY).array
         for pdf in batches:
             ids, shas, whole, lists, places = [], [], [], [], []
             for key, sha, text in zip(pdf["doc_id"], pdf["sha"], pdf["text"], strict=True):
-                words = text.split()
-                if len(words) < window:
+                h = word_hashes(text)
+                if len(h) < window:
                     continue
-                h = hashed(words)
                 at, a = anchors(h, window)
                 ids.append(key)
                 shas.append(sha)
-                whole.append(hashlib.blake2b(h.tobytes(), digest_size=12).digest() + len(words).to_bytes(4, "big"))
+                whole.append(hashlib.blake2b(h.tobytes(), digest_size=12).digest() + len(h).to_bytes(4, "big"))
                 lists.append(a.view(np.int64))
                 places.append(at.astype(np.int32))
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "sha": pd.Series(shas, dtype=object), "whole": pd.Series(whole, dtype=object), "anchors": pd.Series(lists, dtype=object), "places": pd.Series(places, dtype=object)})
@@ -223,7 +220,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     box.drop("meta", "owners")
 
     def stretch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, reach = WordHashes(MEMORY).array, window - GRAM
+        reach = window - GRAM
         for pdf in batches:
             out = {k: [] for k in ("doc_id", "sha", "owner", "begin", "n", "words", "win")}
             for key, sha, text, marks in zip(pdf["doc_id"], pdf["sha"], pdf["text"], pdf["a"], strict=True):
@@ -245,7 +242,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                         out[c].append(v)
                 if starts:
                     at = np.array(sorted(starts))
-                    g = gram_hashes(hashed(words), window)[at].view(np.int64)
+                    g = gram_hashes(word_hashes(text), window)[at].view(np.int64)
                     for c, v in zip(out, (key, sha, None, None, None, None, [{"h": int(x), "begin": int(y)} for x, y in zip(g, at, strict=True)]), strict=True):
                         out[c].append(v)
             yield pd.DataFrame({"doc_id": out["doc_id"], "sha": pd.Series(out["sha"], dtype=object), "owner": pd.array(out["owner"], dtype="Int64"), "begin": pd.array(out["begin"], dtype="Int32"), "n": pd.array(out["n"], dtype="Int32"), "words": pd.Series(out["words"], dtype=object), "win": pd.Series(out["win"], dtype=object)})
