@@ -19,9 +19,9 @@ def content_dedupe(spark, sf_dir):
 
 
 def dangling_refs(spark, sf_dir):
-    """Labels name documents by id; those that no stored object has. A source whose number is even isn't stored."""
-    d = read(spark, sf_dir, "documents").where("doc_id % 2 = 1").select("doc_id")
-    return read(spark, sf_dir, "labels").select("doc_id").distinct().join(d, "doc_id", "left_anti")
+    """Labels name documents by id; those whose content the deduplicated store holds under another document."""
+    kept = content_dedupe(spark, sf_dir).select(F.col("first_doc").alias("doc_id"))
+    return read(spark, sf_dir, "labels").select("doc_id").distinct().join(kept, "doc_id", "left_anti")
 
 
 def normalised_digests(spark, sf_dir):
@@ -86,7 +86,7 @@ found AS (SELECT m.doc_id, "start", "end", entity_type, substr(text, ("start" +
 reg AS (SELECT entity_type, surface, entity_type || '-' || lpad(CAST(row_number() OVER (PARTITION BY entity_type ORDER BY surface) AS VARCHAR), 3, '0') AS pseudonym FROM (SELECT DISTINCT entity_type, surface FROM found))"""
 SQL = {
     "content_dedupe": "SELECT sha256(text) AS address, min(doc_id) AS first_doc, count(*)::BIGINT AS copies FROM documents GROUP BY 1",
-    "dangling_refs": "SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 1)",
+    "dangling_refs": "SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT min(doc_id) FROM documents GROUP BY sha256(text))",
     "pii_spans": f"WITH {_MERGED} SELECT * FROM spans",
     "merge_spans": f"WITH {_MERGED} SELECT * FROM merged",
     "overlap_refusal": f"WITH {_MERGED} SELECT * FROM clash",

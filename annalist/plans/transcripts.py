@@ -10,12 +10,13 @@ from annalist.operators import spans
 from annalist.sources import srt
 from annalist.sources.tables import segments
 
-#: Fixture convention: every third segment of a record gets an anchor over its middle half.
+#: Fixture convention: segments of LONG code points or more get an anchor over their middle half.
+LONG = 200
 _SEGMENTS = "seg AS (SELECT conv_id AS record_id, turn AS idx, role AS speaker, text FROM conversations)"
 _ANCHORS_SQL = f"""{_SEGMENTS},
 sp AS (SELECT record_id, idx, s AS "start", s + length(text) AS "end" FROM (
          SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY record_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM seg)),
-an AS (SELECT record_id, "start" + ("end" - "start") // 4 AS "start", "end" - ("end" - "start") // 4 AS "end" FROM sp WHERE idx % 3 = 0),
+an AS (SELECT record_id, "start" + ("end" - "start") // 4 AS "start", "end" - ("end" - "start") // 4 AS "end" FROM sp WHERE "end" - "start" >= {LONG}),
 hit AS (SELECT DISTINCT s.record_id, s.idx FROM sp s WHERE EXISTS (SELECT 1 FROM an a WHERE a.record_id = s.record_id AND a."start" < s."end" AND a."end" > s."start"))"""
 BLOCK = 4
 
@@ -26,7 +27,7 @@ def _spans(spark, sf_dir):
 
 def _anchors(found):
     quarter = F.expr("(end - start) div 4")
-    return found.where("idx % 3 = 0").select("record_id", (F.col("start") + quarter).alias("start"), (F.col("end") - quarter).alias("end"))
+    return found.where(F.expr(f"end - start >= {LONG}")).select("record_id", (F.col("start") + quarter).alias("start"), (F.col("end") - quarter).alias("end"))
 
 
 def coverage_by_record(spark, sf_dir):
