@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,25 @@ def width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
 
 
+def released(run):
+    """A function of batches that gives back what it freed once it is done.
+
+    Python workers are used again by later stages; Arrow's pool and malloc would hold on to the memory of a stage's peak.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:  # glibc's
+                trim(0)
+
+    return wrapped
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder, so that a lost executor costs no recomputation.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annalist.llm.common import table
+from annalist.llm.common import released, table
 
 #: Words are runs of ASCII digits and letters and of all other characters: in UTF-8, of these bytes. A-Z are lowered.
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -195,7 +195,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
                 rows.append((key, len(words), hit, len(items.get(d, ())), hashlib.sha256(told.encode()).hexdigest(), hit > 0))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, schema)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(released(run), schema)
 
 
 def _owners(bench: Benchmark) -> dict[int, set]:
@@ -235,7 +235,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, sha
                         out.add((d, bench.items[bench.item[row]], a, b, n))
             yield pd.DataFrame([(keys[d], *rest) for d, *rest in sorted(out, key=str)], columns=schema.names)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, schema)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(released(run), schema)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 400_000, block_bytes: int = 8_000_000) -> DataFrame:

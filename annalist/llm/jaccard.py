@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.llm.common import Scratch, frames, table, width, word_hashes
+from annalist.llm.common import Scratch, frames, released, table, width, word_hashes
 from annalist.llm.components import connected_components
 
 #: Counters by which shingles are ordered from rare to frequent: bounded whatever the corpus, equal for all documents.
@@ -88,7 +88,7 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
         for part in frames(bucket=at, hits=hits[at]):
             yield pd.DataFrame({"doc_id": pd.Series([None] * len(part), dtype="Int64"), "n": pd.Series([None] * len(part), dtype="Int32"), "node": None, "bits": None, "bucket": part["bucket"].to_numpy(), "hits": part["hits"].to_numpy()})
 
-    return _texts(docs).mapInPandas(run, "doc_id long, n int, node binary, bits binary, bucket int, hits long")
+    return _texts(docs).mapInPandas(released(run), "doc_id long, n int, node binary, bits binary, bucket int, hits long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def index_entries(docs: DataFrame, n: int, num: int, den: int, hits: np.ndarray)
             if tokens:
                 yield from frames(token=np.concatenate(tokens), node=nodes, n=np.concatenate(sizes), pos=np.concatenate(places))
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(run, "token long, node binary, n int, pos int")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(released(run), "token long, node binary, n int, pos int")
 
 
 class Block:
@@ -232,7 +232,7 @@ def candidate_pairs(dealt: DataFrame, num: int, den: int, foreign: bool) -> Data
             group(rest)
         yield from out()
 
-    return rows.mapInPandas(run, "a binary, b binary").distinct()
+    return rows.mapInPandas(released(run), "a binary, b binary").distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -257,7 +257,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     arrays.append(s.view(np.int64))
             yield pd.DataFrame({"node": pd.Series(nodes, dtype=object), "s": pd.Series(arrays, dtype=object)})
 
-    return _texts(docs).join(wanted, "doc_id").select("node", "text").mapInPandas(run, "node binary, s array<long>").dropDuplicates(["node"])
+    return _texts(docs).join(wanted, "doc_id").select("node", "text").mapInPandas(released(run), "node binary, s array<long>").dropDuplicates(["node"])
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (85, 100)) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annalist.llm.common import Scratch, crc_mod, frames, table
+from annalist.llm.common import Scratch, crc_mod, frames, released, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -216,7 +216,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return docs.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInPandas(released(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, path: str = PIECES, rounds: int = 2, smooth: float = 0.05) -> LanguageModel:
@@ -248,7 +248,7 @@ def train(docs: DataFrame, path: str = PIECES, rounds: int = 2, smooth: float =
                 at = np.flatnonzero(total[i])
                 yield pd.DataFrame({"lang": i, "piece": at, "n": total[i][at]})
 
-        got = words.mapInPandas(step, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        got = words.mapInPandas(released(step), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         counts = np.full(probs.shape, smooth)
         counts[got["lang"].to_numpy(), got["piece"].to_numpy()] += got["n"].to_numpy()
         probs = counts / counts.sum(1, keepdims=True)
@@ -268,21 +268,20 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             found = score(pdf["text"])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInPandas(released(run), schema)
 
 
 def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is known: not ``und``, and a score of ``least`` or more."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
     def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = sent.value.scorer()
         for text in texts:
             found = score(text)
             yield pd.Series([lang != "und" and s >= least for lang, s in found], dtype=bool)
 
-    return docs.where(known("text"))
+    return docs.where(F.pandas_udf(released(known), "boolean")("text"))
 
 
 def held_out(key: str = "doc_id") -> F.Column:

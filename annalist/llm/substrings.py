@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.llm.common import Scratch, frames, table, width, word_hashes
+from annalist.llm.common import Scratch, frames, released, table, width, word_hashes
 
 #: Words of the grams among which anchors are chosen.
 GRAM = 8
@@ -206,7 +206,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "sha": pd.Series(shas, dtype=object), "whole": pd.Series(whole, dtype=object), "anchors": pd.Series(lists, dtype=object), "places": pd.Series(places, dtype=object)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    meta = box.save(rows.mapInPandas(survey, f"doc_id {kind}, sha binary, whole binary, anchors array<long>, places array<int>"), "meta")
+    meta = box.save(rows.mapInPandas(released(survey), f"doc_id {kind}, sha binary, whole binary, anchors array<long>, places array<int>"), "meta")
     first = meta.groupBy("whole").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = box.save(meta.select("doc_id", "sha", "whole").join(first, "whole").where(F.col("doc_id") > F.col("least_id")).select("doc_id", "sha", F.expr("cast(conv(hex(substring(whole, 13, 4)), 16, 10) as int)").alias("words")).distinct(), "copies")
     entries = meta.join(copies.select("doc_id", "sha"), ["doc_id", "sha"], "left_anti").select("doc_id", "sha", F.explode(F.arrays_zip("anchors", "places")).alias("x"))
@@ -247,7 +247,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                         out[c].append(v)
             yield pd.DataFrame({"doc_id": out["doc_id"], "sha": pd.Series(out["sha"], dtype=object), "owner": pd.array(out["owner"], dtype="Int64"), "begin": pd.array(out["begin"], dtype="Int32"), "n": pd.array(out["n"], dtype="Int32"), "words": pd.Series(out["words"], dtype=object), "win": pd.Series(out["win"], dtype=object)})
 
-    cut = rows.join(lists.hint("merge"), ["doc_id", "sha"]).mapInPandas(stretch, f"doc_id {kind}, sha binary, owner {kind}, begin int, n int, words binary, win array<struct<h: long, begin: int>>")
+    cut = rows.join(lists.hint("merge"), ["doc_id", "sha"]).mapInPandas(released(stretch), f"doc_id {kind}, sha binary, owner {kind}, begin int, n int, words binary, win array<struct<h: long, begin: int>>")
     cut = box.save(cut.dropDuplicates(["doc_id", "sha", "owner", "begin"]), "stretches")
     stretches = cut.where(F.col("win").isNull()).drop("win")
     # the frame holds all rows of a document at once, so that a document is in one block
@@ -278,7 +278,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                 out = []
         yield from frames(doc_id=[x[0] for x in out], sha=[x[1] for x in out], begin=[x[2] for x in out], end=[x[3] for x in out])
 
-    spans = shards.mapInPandas(stream, f"doc_id {kind}, sha binary, begin int, end int")
+    spans = shards.mapInPandas(released(stream), f"doc_id {kind}, sha binary, begin int, end int")
     wins = cut.where(F.col("win").isNotNull()).select("doc_id", "sha", F.explode("win").alias("w")).select("doc_id", "sha", "w.h", "w.begin")
     least = wins.groupBy("h").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id")).where(F.col("least_id") != F.col("most_id")).drop("most_id")
     common = wins.join(least, "h").where(F.col("doc_id") > F.col("least_id")).select("doc_id", "sha", "begin", (F.col("begin") + window).alias("end"))
@@ -315,7 +315,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _rows(docs).join(spans.hint("merge"), ["doc_id", "sha"], "left").select("doc_id", "text", "spans").mapInPandas(digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _rows(docs).join(spans.hint("merge"), ["doc_id", "sha"], "left").select("doc_id", "text", "spans").mapInPandas(released(digest), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeated(docs: DataFrame, window: int = 50) -> DataFrame:
