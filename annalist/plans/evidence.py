@@ -85,7 +85,7 @@ def instance_outcomes(spark, sf_dir):
 
 
 def ownership_ledger(spark, sf_dir):
-    """Fixture convention: purchases hand a user from the runtime of their predecessor's event parity to their own."""
+    """Fixture convention: purchases hand a user from the old runtime to the old one, or to the new one from a value of 60."""
     e = read(spark, sf_dir, "events").where("event_type = 'purchase'")
     return registers.ownership(e.select(F.col("user_id").alias("record_id"), F.col("event_id").alias("seq"), F.lit("old").alias("giver"), F.expr("CASE WHEN value < 60 THEN 'old' ELSE 'new' END").alias("taker")), "old")
 
