@@ -90,6 +90,32 @@ def test_substrings(spark, monkeypatch, words, entries):
     assert got == want and any(x[1] for x in want.values())
 
 
+def brute_substrings(rows):
+    """What every document keeps, by comparing all runs of 50 words."""
+    first, want = {}, {}
+    for i, text in rows:
+        w = text.split()
+        keep = [True] * len(w)
+        for p in range(len(w) - 49):
+            if first.setdefault(tuple(w[p : p + 50]), i) < i:
+                keep[p : p + 50] = [False] * 50
+        kept = [x for x, k in zip(w, keep, strict=True) if k]
+        want[i] = (len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+    return want
+
+
+def test_substrings_across_seams_of_matches(spark):
+    """P, P P, P[85:] P[:40] and Q..P, P Q, P[85:] Q[:40]: matches that touch cover the second document."""
+    rows = []
+    for k in range(60):
+        p, q, z = ([f"{name}{k}x{j}" for j in range(120)] for name in "pqz")
+        three = [p, p + p, z + p[85:] + p[:40]] if k % 2 else [q + [f"m{k}"] + p, p + q, z + p[85:] + q[:40]]
+        rows += [(3 * k + n, " ".join(w)) for n, w in enumerate(three)]
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_substrings(rows)
+    assert got == want and all(want[3 * k + 2][1] == 75 for k in range(60))
+
+
 def test_decontamination(spark):
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.encode().translate(LOWER).decode())
     bench = [*sql("SELECT item_id, text FROM benchmark")[1], (900, "Of the"), (901, None), (902, "")]
