@@ -226,6 +226,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
             for key, sha, text, marks in zip(pdf["doc_id"], pdf["sha"], pdf["text"], pdf["a"], strict=True):
                 words = text.split()
                 parts: list[list] = []
+                latest: dict = {}  # each owner's last part: parts of other owners may lie between, so begins differ
                 starts: set = set()
                 for m in marks:
                     p = m["place"]
@@ -233,10 +234,12 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                         starts.update(range(max(0, p - reach), min(p, len(words) - window) + 1))
                         continue
                     begin, end = max(0, p - reach), min(len(words), p + window)
-                    if parts and parts[-1][0] == m["owner"] and begin <= parts[-1][2]:
-                        parts[-1][2] = end
+                    part = latest.get(m["owner"])
+                    if part is not None and begin <= part[2]:
+                        part[2] = end
                     else:
-                        parts.append([m["owner"], begin, end])
+                        latest[m["owner"]] = part = [m["owner"], begin, end]
+                        parts.append(part)
                 for owner, begin, end in parts:
                     for c, v in zip(out, (key, sha, owner, begin, end - begin, b" ".join(words[begin:end]), None), strict=True):
                         out[c].append(v)
@@ -248,7 +251,8 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
             yield pd.DataFrame({"doc_id": out["doc_id"], "sha": pd.Series(out["sha"], dtype=object), "owner": pd.array(out["owner"], dtype="Int64"), "begin": pd.array(out["begin"], dtype="Int32"), "n": pd.array(out["n"], dtype="Int32"), "words": pd.Series(out["words"], dtype=object), "win": pd.Series(out["win"], dtype=object)})
 
     cut = rows.join(lists.hint("merge"), ["doc_id", "sha"]).mapInPandas(released(stretch), f"doc_id {kind}, sha binary, owner {kind}, begin int, n int, words binary, win array<struct<h: long, begin: int>>")
-    cut = box.save(cut.dropDuplicates(["doc_id", "sha", "owner", "begin"]), "stretches")
+    # repeated rows have equal stretches
+    cut = box.save(cut.dropDuplicates(["doc_id", "sha", "owner", "begin", "n"]), "stretches")
     stretches = cut.where(F.col("win").isNull()).drop("win")
     # the frame holds all rows of a document at once, so that a document is in one block
     upto = F.sum("n").over(W.partitionBy("owner").orderBy("doc_id").rangeBetween(W.unboundedPreceding, W.currentRow))

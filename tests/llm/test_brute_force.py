@@ -116,6 +116,18 @@ def test_substrings_across_seams_of_matches(spark):
     assert got == want and all(want[3 * k + 2][1] == 75 for k in range(60))
 
 
+def test_substrings_of_copies_that_differ_early(spark):
+    """The least copy has an edit in its first words, so another copy owns the anchors there, between two of the least's."""
+    rows = []
+    for k in range(60):
+        w = [f"w{k}x{j}" for j in range(200)]
+        edited = [*w]
+        edited[15 + k % 15] = f"edit{k}"
+        rows += [(4 * k + n, " ".join(x)) for n, x in enumerate((edited, w, w[:190], w[100:] + [f"end{k}"]))]
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_substrings(rows)
+
+
 def test_decontamination(spark):
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.encode().translate(LOWER).decode())
     bench = [*sql("SELECT item_id, text FROM benchmark")[1], (900, "Of the"), (901, None), (902, "")]
