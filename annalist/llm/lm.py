@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annalist.llm.common import frames, table
+from annalist.llm.common import Scratch, frames, table, word_hashes
 
 OFFSETS = (-2, -1, 1, 2)
 #: Tokens outside the vocabulary share this many tokens by crc32; the last token stands for what is beyond a text's ends.
 BUCKETS = 32
 MEMORY = 400_000
+#: Frequent words whose counts are sent to the tasks; all other counts are joined. Results don't depend on it.
+SENT = 50_000
+#: Logarithms are summed as whole multiples of one over this, so that the order of a shuffle changes nothing.
+UNIT = 1 << 32
 
 
 class Tokens:
@@ -36,6 +40,43 @@ class Tokens:
         return np.fromiter((i if (i := get(w)) is not None else n + zlib.crc32(w) % BUCKETS for w in words), np.int32, len(words))
 
 
+class Shares:
+    """Log shares of words in their buckets, as whole multiples of 1 / UNIT.
+
+    A word outside the vocabulary has the share n(word) / n(bucket) of its bucket's tokens, so every word of the corpus
+    has a probability of its own, and all of them sum to one. ``counts``: the most frequent words with theirs, the whole
+    vocabulary among them; ``sizes``: all tokens by crc32 bucket.
+    """
+
+    def __init__(self, words: list[bytes], counts: list[tuple[bytes, int]], sizes: list[int]):
+        head = {w: i for i, w in enumerate(words)}
+        bucket = [zlib.crc32(w) % BUCKETS for w, _ in counts]
+        sizes = list(sizes)
+        for (w, n), b in zip(counts, bucket, strict=True):
+            if w in head:
+                sizes[b] -= n
+        self.first = len(words)
+        self.whole = np.array([round(np.log(max(n, 1)) * UNIT) for n in sizes], np.int64)
+        self.index = {w: i for i, (w, _) in enumerate(counts)}
+        self.token = np.array([head.get(w, self.first + b) for (w, _), b in zip(counts, bucket, strict=True)] + [0], np.int32)
+        self.term = np.array([0 if w in head else round(np.log(n) * UNIT) - int(self.whole[b]) for (w, n), b in zip(counts, bucket, strict=True)] + [0], np.int64)
+
+    def look(self, text: bytes | None) -> tuple[np.ndarray, int, np.ndarray]:
+        """A text's tokens, its summed log shares without log n of words whose counts aren't here, and their hashes."""
+        if text is None:
+            return np.empty(0, np.int32), 0, np.empty(0, np.int64)
+        low, get = text.lower(), self.index.get
+        listed = low.split()
+        code = np.fromiter((get(w, -1) for w in listed), np.int32, len(listed))
+        ids, sums = self.token[code], int(self.term[code].sum())
+        out = np.flatnonzero(code < 0)
+        if not len(out):
+            return ids, sums, np.empty(0, np.int64)
+        bucket = np.fromiter((zlib.crc32(listed[i]) % BUCKETS for i in out.tolist()), np.int32, len(out))
+        ids[out] = self.first + bucket
+        return ids, sums - int(self.whole[bucket].sum()), word_hashes(low)[out].view(np.int64)
+
+
 class Network:
     """Embeddings of the window, a tanh layer, and a two-step softmax: a token's class, then the token in its class.
 
@@ -120,8 +161,8 @@ def windows(ids: np.ndarray, border: int) -> np.ndarray:
     return np.stack([padded[reach + o : reach + o + len(ids)] for o in OFFSETS], 1)
 
 
-def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
-    """The ``size`` most frequent words of all texts (ties by bytes), counted in each task before the shuffle."""
+def counted_words(docs: DataFrame) -> DataFrame:
+    """word, n: all words of all texts, counted in each task before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
@@ -134,8 +175,16 @@ def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
                 c = Counter()
         yield from frames(word=list(c), n=list(c.values()))
 
-    counted = _texts(docs).mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    return _texts(docs).mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counted: DataFrame, size: int) -> list:
+    return counted.orderBy(F.desc("n"), "word").limit(size).collect()
+
+
+def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
+    """The ``size`` most frequent words of all texts (ties by bytes)."""
+    return [bytes(r["word"]) for r in most_frequent(counted_words(docs), size)]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -197,18 +246,23 @@ def fit(docs: DataFrame, words: list[bytes], rounds: int = 2, masked: float = 0.
     return net
 
 
-def pseudo_likelihood(docs: DataFrame, net: Network, words: list[bytes], batch: int = 16_384) -> DataFrame:
-    """doc_id, n_tokens, pll (sum of log p of every token given both sides), pll_per_token (null without tokens)."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, net.flat()))
+def pseudo_likelihood(docs: DataFrame, net: Network, words: list[bytes], batch: int = 16_384, inside: Shares | None = None) -> DataFrame:
+    """doc_id, n_tokens, pll (sum of log p of every token given both sides), pll_per_token (null without tokens).
+
+    With ``inside`` two columns more: ``inside`` and ``rest``, the second and third of ``Shares.look``.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((words, net.flat(), inside))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("pll", T.DoubleType()), T.StructField("pll_per_token", T.DoubleType())])
+    if inside is not None:
+        schema = schema.add("inside", T.LongType()).add("rest", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        listed, flat = sent.value
+        listed, flat, shared = sent.value
         tokens = Tokens(listed)
         own = Network(tokens.size)
         own.load(flat)
 
-        def scored(keys, texts):
+        def scored(keys, texts, more):
             lengths = np.array([len(t) for t in texts])
             ids = np.concatenate(texts)
             around = np.concatenate([windows(t, tokens.border) for t in texts])
@@ -216,31 +270,78 @@ def pseudo_likelihood(docs: DataFrame, net: Network, words: list[bytes], batch:
             ends = np.cumsum(lengths)
             sums = np.concatenate([[0.0], np.cumsum(logs)])
             pll = [float(logs[e - n : e].sum()) for e, n in zip(ends, lengths, strict=True)] if len(sums) else []
-            return pd.DataFrame({"doc_id": keys, "n_tokens": lengths, "pll": pll, "pll_per_token": [p / n if n else None for p, n in zip(pll, lengths, strict=True)]})
+            out = pd.DataFrame({"doc_id": keys, "n_tokens": lengths, "pll": pll, "pll_per_token": [p / n if n else None for p, n in zip(pll, lengths, strict=True)]})
+            return out if shared is None else out.assign(inside=[x for x, _ in more], rest=pd.Series([x for _, x in more], dtype=object))
 
-        keys, texts, n = [], [], 0
+        keys, texts, more, n = [], [], [], 0
         for pdf in batches:
             for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 keys.append(key)
-                texts.append(tokens.ids(text))
+                if shared is None:
+                    texts.append(tokens.ids(text))
+                else:
+                    ids, *two = shared.look(text)
+                    texts.append(ids)
+                    more.append(two)
                 n += len(texts[-1])
                 if n >= 8 * batch:
-                    yield scored(keys, texts)
-                    keys, texts, n = [], [], 0
+                    yield scored(keys, texts, more)
+                    keys, texts, more, n = [], [], [], 0
         if keys:
-            yield scored(keys, texts)
+            yield scored(keys, texts, more)
 
     return _texts(docs).mapInPandas(run, schema)
 
 
+def shares(counted: DataFrame, top: list) -> Shares:
+    """``top``: the vocabulary's rows (word, n), which are sent whatever SENT is."""
+    sizes = {r["b"]: r["n"] for r in counted.groupBy((F.crc32("word") % BUCKETS).alias("b")).agg(F.sum("n").alias("n")).collect()}
+    # a least count from the counts' counts: a sort would send SENT rows of every task to the driver
+    least, room = None, len(top) + SENT
+    for r in sorted(counted.where("n > 1").groupBy("n").agg(F.count("*").alias("words")).collect(), reverse=True):
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["n"]
+    known = {bytes(r["word"]): r["n"] for r in top}
+    if least is not None:
+        known |= {bytes(r["word"]): r["n"] for r in counted.where(F.col("n") >= least).collect()}
+    return Shares([bytes(r["word"]) for r in top], list(known.items()), [sizes.get(b, 0) for b in range(BUCKETS)])
+
+
+def joined_counts(scored: DataFrame, counted: DataFrame) -> DataFrame:
+    """Adds the logarithms of the counts of each row's ``rest`` (word hashes) to its ``inside``; needs a column ``row``.
+
+    Words that occur once have log n = 0, so only the counts of the others are joined.
+    """
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            h = word_hashes(b" ".join(pdf["word"])) if len(pdf) else np.empty(0, np.uint64)
+            yield pd.DataFrame({"h": h.view(np.int64), "log_n": np.round(np.log(pdf["n"].to_numpy(float)) * UNIT).astype(np.int64)})
+
+    counts = counted.where("n > 1").mapInPandas(hashed, "h long, log_n long")
+    more = scored.select("row", F.explode("rest").alias("h")).join(counts, "h").groupBy("row").agg(F.sum("log_n").alias("more"))
+    return scored.drop("rest").join(more, "row", "left").withColumn("inside", F.col("inside") + F.coalesce("more", F.lit(0))).drop("row", "more")
+
+
 def score_documents(docs: DataFrame, size: int = 960, rounds: int = 2) -> DataFrame:
-    """Counts the vocabulary, trains the network and scores every whole text of ``docs`` (doc_id, text).
+    """Counts all words, trains the network and scores every whole text of ``docs`` (doc_id, text).
 
+    log p(token) is the network's for the ``size`` most frequent words. For every other word of the corpus it is that of
+    its bucket, from both sides, and of the word in its bucket, by its count: the counts grow with the corpus.
     Null and blank texts have no tokens: pll 0, pll_per_token null. Repeated rows get equal scores. An empty table
     gives an empty result (the network stays as it was initialised). Other columns are ignored.
     """
-    words = vocabulary(docs, size)
-    return pseudo_likelihood(docs, fit(docs, words, rounds), words)
+    box = Scratch(docs.sparkSession, "lm")
+    counted = box.save(counted_words(docs), "counts")
+    top = most_frequent(counted, size)
+    words = [bytes(r["word"]) for r in top]
+    scored = pseudo_likelihood(docs, fit(docs, words, rounds), words, inside=shares(counted, top))
+    # saved, so that a row keeps its number
+    scored = joined_counts(box.save(scored.withColumn("row", F.monotonically_increasing_id()), "scored"), counted)
+    pll = F.col("pll") + F.col("inside") / F.lit(float(UNIT))
+    return scored.select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("pll_per_token"))
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -197,3 +197,29 @@ def test_pseudo_likelihood_is_of_both_sides(spark):
     probs = np.exp(net.log_prob(np.zeros((net.size, 4), np.int32), np.arange(net.size)))
     assert abs(probs.sum() - 1) < 1e-3
     assert Counter(r.n_tokens for r in seen) == {120: 40}
+
+
+def test_every_word_has_a_probability_of_its_own(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    text = [" ".join(["a", "b"] * 20 + [f"t{x}" for x in rng.zipf(1.3, 60) % 5000]) for _ in range(30)]
+    rows = [*enumerate(text), (30, text[0]), (31, None), (32, ""), (33, "Zq7"), (33, "Zq7"), (34, "t1"), (35, "b\x0ct1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = lm.vocabulary(docs, 8)
+    counts = Counter(w for _, t in rows for w in (t or "").lower().encode().split())
+    bucket = lambda w: lm.zlib.crc32(w) % lm.BUCKETS
+    sizes = Counter()
+    for w, n in counts.items():
+        if w not in words:
+            sizes[bucket(w)] += n
+    net = lm.fit(docs, words, 2)
+    plain = {r.doc_id: r.pll for r in lm.pseudo_likelihood(docs, net, words).collect()}
+    share = lambda t: sum(np.log(counts[w] / sizes[bucket(w)]) for w in t.lower().encode().split() if w not in words)
+    monkeypatch.setattr(lm, "fit", lambda *_: net)
+    for sent in (0, 20, 50_000):  # counts that are joined, or sent
+        monkeypatch.setattr(lm, "SENT", sent)
+        found = lm.score_documents(docs, 8).collect()
+        assert len(found) == len(rows)
+        for r in found:
+            assert abs(r.pll - plain[r.doc_id] - share(dict(rows)[r.doc_id] or "")) < 1e-6
+        by = {r.doc_id: r.pll_per_token for r in found}
+        assert by[31] is None and abs(by[0] - by[30]) < 1e-6
