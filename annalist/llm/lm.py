@@ -191,11 +191,21 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
 
-def fit(docs: DataFrame, words: list[bytes], rounds: int = 2, masked: float = 0.12, batch: int = 2048, rate: float = 0.1) -> Network:
+def targets(text: bytes, n: int, step: int, rounds: int, masked: float | None) -> np.ndarray:
+    """The places of a text of n words that round ``step`` predicts."""
+    if n <= 8:
+        return np.arange(n)
+    if masked is None:
+        return np.flatnonzero(np.random.default_rng(zlib.crc32(text)).integers(rounds, size=n) == step)
+    return np.flatnonzero(np.random.default_rng(zlib.crc32(text) + step).random(n) < masked)
+
+
+def fit(docs: DataFrame, words: list[bytes], rounds: int = 2, masked: float | None = None, batch: int = 2048, rate: float = 0.1) -> Network:
     """Trains over all documents: every task learns from its texts, then parameters are averaged by tokens seen.
 
-    In every text a share ``masked`` of the places, chosen by a seed from the text, is predicted; another choice in
-    each round. The sums of parameters are shuffled by parameter, so one row for each comes to the driver.
+    The places of every text are dealt to the rounds by a seed from the text, so that each is predicted in one of them
+    (in texts of 8 words or less, in all). With ``masked``, each round predicts such a share of the places instead.
+    The sums of parameters are shuffled by parameter, so one row for each comes to the driver.
     """
     spark = docs.sparkSession
     net = Network(Tokens(words).size)
@@ -225,8 +235,7 @@ def fit(docs: DataFrame, words: list[bytes], rounds: int = 2, masked: float = 0.
                     ids = tokens.ids(text)
                     if not len(ids):
                         continue
-                    rng = np.random.default_rng(zlib.crc32(text) + step)
-                    at = np.flatnonzero(rng.random(len(ids)) < masked) if len(ids) > 8 else np.arange(len(ids))
+                    at = targets(text, len(ids), step, rounds, masked)
                     held_w.append(windows(ids, tokens.border)[at])
                     held_t.append(ids[at])
                     held += len(at)

@@ -223,3 +223,20 @@ def test_every_word_has_a_probability_of_its_own(spark, monkeypatch):
             assert abs(r.pll - plain[r.doc_id] - share(dict(rows)[r.doc_id] or "")) < 1e-6
         by = {r.doc_id: r.pll_per_token for r in found}
         assert by[31] is None and abs(by[0] - by[30]) < 1e-6
+
+
+def test_every_token_is_a_training_target(spark, tmp_path, monkeypatch):
+    text = " ".join(f"w{x}" for x in range(500))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    words, seen = [w.encode() for w in text.split()], tmp_path / "seen"
+    learn = lm.Network.learn
+
+    class Noted(lm.Network):
+        def learn(self, window, token, *rest):
+            with open(seen, "a") as f:
+                f.writelines(f"{t}\n" for t in token)
+            learn(self, window, token, *rest)
+
+    monkeypatch.setattr(lm, "Network", Noted)
+    lm.fit(docs, words)
+    assert Counter(map(int, seen.read_text().split())) == Counter(range(500))
