@@ -11,7 +11,7 @@ from annalist.llm.common import Scratch, table
 
 def word_count(text: str = "text") -> F.Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null and blank texts have none."""
-    bare = F.expr(f"btrim({text}, ' \\t\\n\\u000B\\f\\r')")
+    bare = F.expr(f"btrim({text}, ' \\t\\n\\u000B\\u000C\\r')")  # SQL has no \f: that is the letter
     return F.when(F.col(text).isNull() | (bare == ""), F.lit(0)).otherwise(F.size(F.split(bare, r"[ \t-\r]+"))).cast("long")
 
 

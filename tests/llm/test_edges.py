@@ -129,3 +129,9 @@ def test_mix_is_exact_and_stable(spark):
     for rs in by.values():
         assert 0 <= rs[0].target - sum(r.taken for r in rs) < 1 and rs[0].target <= 2 * rs[0].source_size
     assert abs(sum(rs[0].target for rs in by.values()) - 1.5 * total) < 1e-6
+
+
+def test_words_at_the_ends_are_counted(spark):
+    texts = {"f hello f": 3, "f": 1, "ff": 1, "hello\x0c": 1, "\x0chello f\x0c": 2, "\x0c": 0, " \t\n\x0b\x0c\r": 0, "\x0b a\rb\t": 2}
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", mixing.word_count().alias("n")).collect()
+    assert {r.text: r.n for r in found} == texts
