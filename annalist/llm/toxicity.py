@@ -179,18 +179,21 @@ def held_out(key: str = "doc_id") -> F.Column:
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, size: int = 400) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
-    ``sample``: labelled rows, chosen by hash of doc_id, that the lexicon and the classifier are fitted on (all, if
-    there are fewer). ``size``: learned lexicon entries. The label model's votes are counted over all documents.
+    ``sample``: labelled rows, chosen by hash of doc_id, that the classifier is fitted on (all, if there are fewer).
+    ``size``: learned lexicon entries, counted over all labelled rows. The label model's votes are counted over all
+    documents, with all labels.
     Only rows that aren't held out give labels; a doc_id with several labels counts as toxic if one says so, null
     labels are none. Null and empty texts have no hits and get the score of such texts. Without labels the score is
     the label model's posterior.
     """
     spark = docs.sparkSession
     gold = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("gold"))
+    n_of = {r["gold"]: r["n"] for r in gold.groupBy("gold").agg(F.count("*").alias("n")).collect()}
     picked = gold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = {r["doc_id"]: r["gold"] for r in picked.collect()}  # at most ``sample`` rows
     told = F.broadcast(spark.createDataFrame(list(known.items()), T.StructType([labels.schema["doc_id"], T.StructField("gold", T.IntegerType())])))
     texts = docs.select("doc_id", "text").join(told, "doc_id")
+    labelled = docs.select("doc_id", "text").join(gold, "doc_id")  # all of them: no broadcast unless small
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: dict[str, list[int]] = {}
@@ -203,9 +206,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, siz
                 c = {}
         yield from frames(entry=list(c), clean=[x[0] for x in c.values()], toxic=[x[1] for x in c.values()])
 
-    counted = texts.mapInPandas(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    n_toxic = sum(known.values())
-    n_clean = len(known) - n_toxic
+    counted = labelled.mapInPandas(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    n_toxic, n_clean = n_of.get(1, 0), n_of.get(0, 0)
     # four times the share among toxic rows, as induce() asks, and the most frequent of them: bounded
     lift = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
     few = counted.where((F.col("toxic") >= 3) & (lift >= 4)).orderBy(F.desc(F.col("toxic") - F.col("clean") * (n_toxic / max(n_clean, 1))), "entry").limit(20 * size).toPandas()
@@ -214,14 +216,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, siz
     lexicon = spark.sparkContext.broadcast((chosen["entry"].tolist(), strong))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex, c = Lexicon(*lexicon.value), Counter()
+        lex = Lexicon(*lexicon.value)
         for pdf in batches:
-            for text, y in zip(pdf["text"], pdf["gold"], strict=True):
+            cast = []
+            for text in pdf["text"]:
                 found, fixed, _ = lex.hits(text)
-                c[lex.votes(text, found, fixed), -1 if pd.isna(y) else int(y)] += 1
-        yield from frames(votes=[v for v, _ in c], gold=[y for _, y in c], n=list(c.values()))
+                cast.append(lex.votes(text, found, fixed))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "votes": cast})
 
-    patterns = docs.select("doc_id", "text").join(told, "doc_id", "left").mapInPandas(vote, "votes string, gold int, n long").groupBy("votes", "gold").agg(F.sum("n").alias("n")).orderBy("votes", "gold").toPandas()
+    # votes are joined, not texts
+    votes = docs.select("doc_id", "text").mapInPandas(vote, T.StructType([docs.schema["doc_id"], T.StructField("votes", T.StringType())]))
+    votes = votes.join(gold, "doc_id", "left").withColumn("gold", F.coalesce("gold", F.lit(-1)))
+    patterns = votes.groupBy("votes", "gold").agg(F.count("*").alias("n")).orderBy("votes", "gold").toPandas()
     patterns["gold"] = patterns["gold"].replace(-1, np.nan)
     model = label_model(patterns)
 

@@ -135,3 +135,15 @@ def test_words_at_the_ends_are_counted(spark):
     texts = {"f hello f": 3, "f": 1, "ff": 1, "hello\x0c": 1, "\x0chello f\x0c": 2, "\x0c": 0, " \t\n\x0b\x0c\r": 0, "\x0b a\rb\t": 2}
     found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", mixing.word_count().alias("n")).collect()
     assert {r.text: r.n for r in found} == texts
+
+
+def test_lexicon_and_votes_use_all_labels(spark, monkeypatch):
+    rows = [(i, "a calm word" if i % 2 else "a zorbly word") for i in range(200)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, 1 - i % 2) for i, _ in rows], LABELS)
+    told, entries, model, induce = [], [], toxicity.label_model, toxicity.induce
+    monkeypatch.setattr(toxicity, "label_model", lambda patterns: told.append(patterns) or model(patterns))
+    monkeypatch.setattr(toxicity, "induce", lambda *a: entries.append(induce(*a)) or entries[-1])
+    assert toxicity.score_toxicity(docs, labels, sample=4).count() == 200
+    given = labels.where(~toxicity.held_out()).count()
+    assert told[0]["n"][told[0]["gold"].notna()].sum() == given and told[0]["n"].sum() == 200
+    assert entries[0].set_index("entry").loc["zorbly", "toxic"] == labels.where(~toxicity.held_out() & (F.col("toxic") == 1)).count()
