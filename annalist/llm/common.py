@@ -138,6 +138,49 @@ def word_hashes(text: bytes) -> np.ndarray:
     return h
 
 
+#: Bytes of texts that are hashed at once.
+TOGETHER = 1 << 20
+
+
+def _pieces(text: bytes) -> list[bytes]:
+    """A text in pieces of about TOGETHER bytes, cut at blanks; a longer word stays whole."""
+    out, at = [], 0
+    while len(text) - at > TOGETHER:
+        cut = at + TOGETHER
+        blank = _BLANK[np.frombuffer(text, np.uint8, offset=cut)].argmax() if len(text) > cut else 0
+        if not _BLANK[text[cut + blank]]:
+            break
+        out.append(text[at : cut + blank])
+        at = cut + blank
+    return [*out, text[at:]]
+
+
+def hash_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and the 64-bit hashes of all words in order; many texts are hashed at once."""
+    counts, hashes, held, size = np.zeros(len(texts), np.int64), [], [], 0
+
+    def flush() -> None:
+        nonlocal held, size
+        if held:
+            joined = b"\n".join(t for _, t in held)
+            a = _BLANK[np.frombuffer(joined, np.uint8)]
+            first = np.flatnonzero(~a & np.concatenate([[True], a[:-1]])) if len(a) else np.empty(0, np.int64)
+            ends = np.cumsum([len(t) + 1 for _, t in held])
+            n = np.diff(np.searchsorted(first, ends), prepend=0)
+            np.add.at(counts, [i for i, _ in held], n)
+            hashes.append(word_hashes(joined))
+            held, size = [], 0
+
+    for i, text in enumerate(texts):
+        for piece in _pieces(text) if text else ():
+            held.append((i, piece))
+            size += len(piece)
+            if size >= TOGETHER:
+                flush()
+    flush()
+    return counts, np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+
+
 def crc_mod(key: str, m: int) -> F.Column:
     """crc32 of the key as text, modulo m (null key: null)."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(m)

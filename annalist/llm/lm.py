@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,69 +10,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annalist.llm.common import Scratch, frames, table, word_hashes
+from annalist.llm.common import Scratch, frames, hash_texts, released, table, width
 
 OFFSETS = (-2, -1, 1, 2)
-#: Tokens outside the vocabulary share this many tokens by crc32; the last token stands for what is beyond a text's ends.
+REACH = 2
+#: Tokens outside the vocabulary share this many tokens by hash; the last token stands for what is beyond a text's ends.
 BUCKETS = 32
-MEMORY = 400_000
+#: Words that a task counts at once.
+MEMORY = 2_000_000
 #: Frequent words whose counts are sent to the tasks; all other counts are joined. Results don't depend on it.
-SENT = 50_000
-#: Logarithms are summed as whole multiples of one over this, so that the order of a shuffle changes nothing.
-UNIT = 1 << 32
+SENT = 200_000
+#: Words of a shard, the unit of training: texts are dealt to shards by hash, so results don't depend on partitions.
+SHARD_WORDS = 1 << 22
+#: Parameters that are summed together.
+CHUNK = 4096
+#: Logarithms and parameters are summed as whole multiples of one over these, so that the order of a shuffle changes nothing.
+UNIT, FINE = 1 << 32, 1 << 24
 
 
 class Tokens:
-    """Lower-cased (A-Z) words as numbers: the vocabulary by frequency, then buckets, then the border."""
+    """Words (hashes) as numbers: the vocabulary by frequency, then buckets, then the border; and log shares of words.
 
-    def __init__(self, words: list[bytes]):
-        self.index = {w: i for i, w in enumerate(words)}
+    A word outside the vocabulary has the share n(word) / n(bucket) of its bucket's tokens, so every word of the corpus
+    has a probability of its own, and all of them sum to one. ``words``: hashes of the vocabulary by frequency;
+    ``sizes``: all tokens by bucket; ``counts``: hashes and counts of frequent words.
+    """
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, counts: tuple[np.ndarray, np.ndarray]):
+        self.words = words
         self.border = len(words) + BUCKETS
         self.size = self.border + 1
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.order = np.argsort(words, kind="stable")
+        self.sorted = words[self.order]
+        h, n = counts
+        at = np.argsort(h, kind="stable")
+        self.known, self.logs = h[at], np.round(np.log(n[at].astype(float)) * UNIT).astype(np.int64)
+        inside = np.isin(h, words)
+        sizes = sizes - np.bincount(self.bucket(h[inside]), n[inside], BUCKETS).astype(np.int64)
+        self.whole = np.round(np.log(np.maximum(sizes, 1).astype(float)) * UNIT).astype(np.int64)
 
-    def ids(self, text: bytes | None) -> np.ndarray:
-        if text is None:
-            return np.empty(0, np.int32)
-        get, n = self.index.get, len(self.index)
-        words = text.lower().split()
-        return np.fromiter((i if (i := get(w)) is not None else n + zlib.crc32(w) % BUCKETS for w in words), np.int32, len(words))
-
-
-class Shares:
-    """Log shares of words in their buckets, as whole multiples of 1 / UNIT.
-
-    A word outside the vocabulary has the share n(word) / n(bucket) of its bucket's tokens, so every word of the corpus
-    has a probability of its own, and all of them sum to one. ``counts``: the most frequent words with theirs, the whole
-    vocabulary among them; ``sizes``: all tokens by crc32 bucket.
-    """
+    @staticmethod
+    def bucket(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(40)).astype(np.int64) % BUCKETS
 
-    def __init__(self, words: list[bytes], counts: list[tuple[bytes, int]], sizes: list[int]):
-        head = {w: i for i, w in enumerate(words)}
-        bucket = [zlib.crc32(w) % BUCKETS for w, _ in counts]
-        sizes = list(sizes)
-        for (w, n), b in zip(counts, bucket, strict=True):
-            if w in head:
-                sizes[b] -= n
-        self.first = len(words)
-        self.whole = np.array([round(np.log(max(n, 1)) * UNIT) for n in sizes], np.int64)
-        self.index = {w: i for i, (w, _) in enumerate(counts)}
-        self.token = np.array([head.get(w, self.first + b) for (w, _), b in zip(counts, bucket, strict=True)] + [0], np.int32)
-        self.term = np.array([0 if w in head else round(np.log(n) * UNIT) - int(self.whole[b]) for (w, n), b in zip(counts, bucket, strict=True)] + [0], np.int64)
-
-    def look(self, text: bytes | None) -> tuple[np.ndarray, int, np.ndarray]:
-        """A text's tokens, its summed log shares without log n of words whose counts aren't here, and their hashes."""
-        if text is None:
-            return np.empty(0, np.int32), 0, np.empty(0, np.int64)
-        low, get = text.lower(), self.index.get
-        listed = low.split()
-        code = np.fromiter((get(w, -1) for w in listed), np.int32, len(listed))
-        ids, sums = self.token[code], int(self.term[code].sum())
-        out = np.flatnonzero(code < 0)
-        if not len(out):
-            return ids, sums, np.empty(0, np.int64)
-        bucket = np.fromiter((zlib.crc32(listed[i]) % BUCKETS for i in out.tolist()), np.int32, len(out))
-        ids[out] = self.first + bucket
-        return ids, sums - int(self.whole[bucket].sum()), word_hashes(low)[out].view(np.int64)
+    @staticmethod
+    def _find(sorted_: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(sorted_):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)
+        return at, sorted_[at] == h
+
+    def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers, and which words aren't in the vocabulary."""
+        at, hit = self._find(self.sorted, h)
+        out = len(self.words) + self.bucket(h)
+        out[hit] = self.order[at[hit]]
+        return out.astype(self.kind), ~hit
+
+    def shares(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For words outside the vocabulary: log shares in multiples of 1 / UNIT, without log n where it isn't known here."""
+        at, hit = self._find(self.known, h)
+        out = -self.whole[self.bucket(h)]
+        out[hit] += self.logs[at[hit]]
+        return out, hit
 
 
 class Network:
@@ -83,7 +82,7 @@ class Network:
     Classes are runs of equal length in the order of the vocabulary. All parameters are one float32 vector.
     """
 
-    def __init__(self, size: int, dim: int = 12, hidden: int = 24, seed: int = 7):
+    def __init__(self, size: int, dim: int = 8, hidden: int = 16, seed: int = 7):
         self.size, self.dim, self.hidden = size, dim, hidden
         self.per = int(np.ceil(np.sqrt(size)))
         self.classes = int(np.ceil(size / self.per))
@@ -106,250 +105,292 @@ class Network:
 
     def _hidden(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = self.w[0][window].reshape(len(window), -1)
-        return x, np.tanh(x @ self.w[1] + self.w[2])
+        h = x @ self.w[1]
+        h += self.w[2]
+        return x, np.tanh(h, out=h)
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
+    def _softmax(z: np.ndarray) -> np.ndarray:
         z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
         return z
 
+    def _sorted(self, token: np.ndarray):
+        """Rows in the order of their tokens, so that each class is a slice: order, class, place in it, slices."""
+        order = np.argsort(token, kind="stable")
+        own, place = np.divmod(token[order].astype(np.int64), self.per)
+        ends = np.searchsorted(own, np.arange(self.classes + 1))
+        return order, own, place, [(c, ends[c], ends[c + 1]) for c in np.flatnonzero(np.diff(ends)).tolist()]
+
     def log_prob(self, window: np.ndarray, token: np.ndarray) -> np.ndarray:
         """log p(token | window) for rows of a batch."""
-        _, h = self._hidden(window)
-        own, place = np.divmod(token, self.per)
-        out = self._log_softmax(h @ self.w[3] + self.w[4])[np.arange(len(token)), own].astype(np.float64)
-        order = np.argsort(own, kind="stable")
-        ends = np.searchsorted(own[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            rows = order[ends[c] : ends[c + 1]]
-            out[rows] += self._log_softmax(h[rows] @ self.w[5][c] + self.w[6][c])[np.arange(len(rows)), place[rows]]
+        order, own, place, slices = self._sorted(token)
+        _, h = self._hidden(window[order])
+        z = h @ self.w[3]
+        z += self.w[4]
+        p = self._softmax(z)[np.arange(len(token)), own]
+        for c, a, b in slices:
+            p[a:b] *= self._softmax(h[a:b] @ self.w[5][c] + self.w[6][c])[np.arange(b - a), place[a:b]]
+        out = np.empty(len(token))
+        out[order] = np.log(np.maximum(p.astype(np.float64), 1e-30))
         return out
 
     def learn(self, window: np.ndarray, token: np.ndarray, square: list[np.ndarray], rate: float) -> None:
         """One Adagrad step on a batch."""
+        order, own, place, slices = self._sorted(token)
+        window = window[order]
         x, h = self._hidden(window)
         n = len(token)
-        own, place = np.divmod(token, self.per)
-        g = [np.zeros_like(v) for v in self.w]
-        d = np.exp(self._log_softmax(h @ self.w[3] + self.w[4]))
+        g = [None] * 5 + [np.zeros_like(self.w[5]), np.zeros_like(self.w[6])]
+        z = h @ self.w[3]
+        z += self.w[4]
+        d = self._softmax(z)
         d[np.arange(n), own] -= 1
         g[3], g[4] = h.T @ d, d.sum(0)
         dh = d @ self.w[3].T
-        order = np.argsort(own, kind="stable")
-        ends = np.searchsorted(own[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            rows = order[ends[c] : ends[c + 1]]
-            e = np.exp(self._log_softmax(h[rows] @ self.w[5][c] + self.w[6][c]))
-            e[np.arange(len(rows)), place[rows]] -= 1
-            g[5][c], g[6][c] = h[rows].T @ e, e.sum(0)
-            dh[rows] += e @ self.w[5][c].T
-        dh *= 1 - h * h
+        for c, a, b in slices:
+            e = self._softmax(h[a:b] @ self.w[5][c] + self.w[6][c])
+            e[np.arange(b - a), place[a:b]] -= 1
+            g[5][c], g[6][c] = h[a:b].T @ e, e.sum(0)
+            dh[a:b] += e @ self.w[5][c].T
+        h *= h
+        dh *= 1 - h
         g[1], g[2] = x.T @ dh, dh.sum(0)
         dx = (dh @ self.w[1].T).reshape(-1, self.dim)
-        np.add.at(g[0], window.ravel(), dx)
+        seen = window.ravel()
+        g[0] = np.stack([np.bincount(seen, dx[:, k], self.size) for k in range(self.dim)], 1).astype(np.float32)
         for v, a, k in zip(self.w, square, g, strict=True):
             k /= n
             a += k * k
             v -= rate * k / (np.sqrt(a) + 1e-6)
 
 
-def windows(ids: np.ndarray, border: int) -> np.ndarray:
-    """Row i: the tokens around place i."""
-    reach = max(map(abs, OFFSETS))
-    padded = np.concatenate([np.full(reach, border, np.int32), ids, np.full(reach, border, np.int32)])
-    return np.stack([padded[reach + o : reach + o + len(ids)] for o in OFFSETS], 1)
+def windows(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Row i: the tokens around place ``at[i]`` of texts that have REACH borders before, between and behind them."""
+    return np.stack([flat[at + o] for o in OFFSETS], 1).astype(np.int64)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+
+
+def lowered(texts) -> list[bytes | None]:
+    return [None if t is None else t.lower() for t in texts]
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
-    """word, n: all words of all texts, counted in each task before the shuffle."""
+    """h (64-bit hash of a lower-cased word), n: all words of all texts, counted in each task before the shuffle."""
+
+    def told(parts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        h, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        yield from frames(200_000, h=h.view(np.int64), n=n.astype(np.int64))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
+        parts, size = [], 0
         for pdf in batches:
-            for text in pdf["text"]:
-                if text is not None:
-                    c.update(text.lower().split())
-            if len(c) > MEMORY:
-                yield from frames(word=list(c), n=list(c.values()))
-                c = Counter()
-        yield from frames(word=list(c), n=list(c.values()))
+            h = hash_texts(lowered(pdf["text"]))[1]
+            parts.append(h)
+            size += len(h)
+            if size > MEMORY:
+                yield from told(parts)
+                parts, size = [], 0
+        yield from told(parts)
 
-    return _texts(docs).mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return _texts(docs).mapInPandas(released(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counted: DataFrame, size: int) -> list:
-    return counted.orderBy(F.desc("n"), "word").limit(size).collect()
-
-
-def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
-    """The ``size`` most frequent words of all texts (ties by bytes)."""
-    return [bytes(r["word"]) for r in most_frequent(counted_words(docs), size)]
+def vocabulary(counted: DataFrame, size: int) -> Tokens:
+    """The ``size`` most frequent words (ties by hash), bucket sizes, and the counts of at most SENT further words."""
+    top = counted.orderBy(F.desc("n"), "h").limit(size).collect()
+    by_bucket = {r["b"]: r["n"] for r in counted.groupBy((F.shiftrightunsigned("h", 40) % BUCKETS).alias("b")).agg(F.sum("n").alias("n")).collect()}
+    # a least count from the counts' counts: a sort would send SENT rows of every task to the driver
+    least, room = None, len(top) + SENT
+    for r in sorted(counted.where("n > 1").groupBy("n").agg(F.count("*").alias("words")).collect(), reverse=True):
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["n"]
+    known = {r["h"]: r["n"] for r in top}
+    if least is not None:
+        found = counted.where(F.col("n") >= least).toPandas()
+        known |= dict(zip(found["h"].tolist(), found["n"].tolist(), strict=True))
+    words = np.array([r["h"] for r in top], np.int64).view(np.uint64)
+    pair = np.fromiter(known, np.int64, len(known)).view(np.uint64), np.fromiter(known.values(), np.int64, len(known))
+    return Tokens(words, np.array([by_bucket.get(b, 0) for b in range(BUCKETS)], np.int64), pair)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+def tokenise(docs: DataFrame, tokens: Tokens) -> DataFrame:
+    """doc_id, n_tokens, ids (binary), inside (sum of log shares in 1 / UNIT), rest (hashes whose log n is missing)."""
+    sent = docs.sparkSession.sparkContext.broadcast(tokens)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("inside", T.LongType()), T.StructField("rest", T.ArrayType(T.LongType()))])
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sent.value
+        for pdf in batches:
+            counts, h = hash_texts(lowered(pdf["text"]))
+            ids, outside = own.ids(h)
+            ends = np.cumsum(counts)
+            begins = ends - counts
+            lost = np.flatnonzero(outside)
+            share, hit = own.shares(h[lost])
+            total = np.concatenate([[0], np.cumsum(share)])
+            a, b = np.searchsorted(lost, begins), np.searchsorted(lost, ends)
+            miss = lost[~hit]
+            c, d = np.searchsorted(miss, begins), np.searchsorted(miss, ends)
+            unknown = h[miss].view(np.int64)
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"], "n_tokens": counts, "ids": pd.Series([ids[x:y].tobytes() for x, y in zip(begins, ends, strict=True)], dtype=object),
+                "inside": total[b] - total[a], "rest": pd.Series([unknown[x:y] for x, y in zip(c, d, strict=True)], dtype=object)})
+
+    return _texts(docs).mapInPandas(released(run), schema)
+
+
+def shards(tokenised: DataFrame, tokens: Tokens, total: int, words: int) -> DataFrame:
+    """ids: about ``words`` words of texts a row, with borders between texts. Which texts, and in which order, follows
+    from hashes of doc_id and tokens alone."""
+    n = max(1, -(-total // max(words, 1)))
+    key = F.xxhash64("ids", "doc_id")
+    dealt = tokenised.where("n_tokens > 0").select("ids", key.alias("key")).withColumn("shard", F.pmod(F.shiftright("key", 16), F.lit(n)))
+    dealt = dealt.repartition(width(tokenised.sparkSession), "shard").sortWithinPartitions("shard", "key", "ids")
+    gap = np.full(REACH, tokens.border, tokens.kind).tobytes()
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, held, size = None, [], 0
+        for pdf in batches:
+            for s, ids in zip(pdf["shard"], pdf["ids"], strict=True):
+                # a shard of far more words than expected (rows repeated under one doc_id) is cut, so that memory is bounded
+                if held and (s != shard or size > 8 * words):
+                    yield pd.DataFrame({"ids": [gap + gap.join(held) + gap]})
+                    held, size = [], 0
+                shard = s
+                held.append(ids)
+                size += len(ids) // len(gap) * REACH
+        if held:
+            yield pd.DataFrame({"ids": [gap + gap.join(held) + gap]})
 
-def targets(text: bytes, n: int, step: int, rounds: int, masked: float | None) -> np.ndarray:
-    """The places of a text of n words that round ``step`` predicts."""
-    if n <= 8:
-        return np.arange(n)
-    if masked is None:
-        return np.flatnonzero(np.random.default_rng(zlib.crc32(text)).integers(rounds, size=n) == step)
-    return np.flatnonzero(np.random.default_rng(zlib.crc32(text) + step).random(n) < masked)
+    return dealt.select("shard", "ids").mapInPandas(released(pack), "ids binary")
 
 
-def fit(docs: DataFrame, words: list[bytes], rounds: int = 2, masked: float | None = None, batch: int = 2048, rate: float = 0.1) -> Network:
-    """Trains over all documents: every task learns from its texts, then parameters are averaged by tokens seen.
+def fit(dealt: DataFrame, tokens: Tokens, rounds: int = 2, batch: int = 8192, rate: float = 0.1) -> Network:
+    """Trains over all texts: each shard is learnt from the shared parameters, then parameters are averaged by places seen.
 
-    The places of every text are dealt to the rounds by a seed from the text, so that each is predicted in one of them
-    (in texts of 8 words or less, in all). With ``masked``, each round predicts such a share of the places instead.
-    The sums of parameters are shuffled by parameter, so one row for each comes to the driver.
+    The places of all texts are dealt to the rounds by hash, so that each is predicted in one of them. Sums are of
+    whole numbers and are shuffled by parameter, so one row for each comes to the driver.
     """
-    spark = docs.sparkSession
-    net = Network(Tokens(words).size)
+    spark = dealt.sparkSession
+    net = Network(tokens.size)
     for step in range(rounds):
-        sent = spark.sparkContext.broadcast((words, net.flat()))
+        sent = spark.sparkContext.broadcast((net.flat(), tokens.border, np.dtype(tokens.kind).str))
 
         def learn(batches: Iterator[pd.DataFrame], sent=sent, step=step) -> Iterator[pd.DataFrame]:
-            listed, flat = sent.value
-            tokens = Tokens(listed)
-            own = Network(tokens.size)
-            own.load(flat)
-            square = [np.full_like(v, 1e-4) for v in own.w]
-            seen, held_w, held_t, held = 0, [], [], 0
-
-            def flush():
-                nonlocal held_w, held_t, held, seen
-                w, t = np.concatenate(held_w), np.concatenate(held_t)
-                mix = np.random.default_rng(len(t) + step).permutation(len(t))
-                for k in range(0, len(t), batch):
-                    at = mix[k : k + batch]
-                    own.learn(w[at], t[at], square, rate)
-                seen += len(t)
-                held_w, held_t, held = [], [], 0
-
+            flat, border, kind = sent.value
+            total, weight = np.zeros(len(flat), np.int64), 0
             for pdf in batches:
-                for text in pdf["text"]:
-                    ids = tokens.ids(text)
-                    if not len(ids):
+                for packed in pdf["ids"]:
+                    ids = np.frombuffer(packed, kind)
+                    at = np.flatnonzero(ids != border)
+                    mark = (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                    at = at[mark % np.uint64(rounds) == step]
+                    if not len(at):
                         continue
-                    at = targets(text, len(ids), step, rounds, masked)
-                    held_w.append(windows(ids, tokens.border)[at])
-                    held_t.append(ids[at])
-                    held += len(at)
-                    if held >= 32 * batch:
-                        flush()
-            if held:
-                flush()
-            if seen:
-                # what each round adds; text order decides nothing beyond a task's own steps
-                yield pd.DataFrame({"i": np.arange(len(flat)), "v": own.flat().astype(np.float64) * seen, "n": seen})
-
-        got = _texts(docs).mapInPandas(learn, "i int, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
-        if len(got):
-            flat = net.flat()
-            flat[got["i"].to_numpy()] = got["v"].to_numpy()
-            net.load(flat)
+                    own = Network(border + 1)
+                    own.load(flat)
+                    square = [np.full_like(v, 1e-4) for v in own.w]
+                    at = at[np.random.default_rng(len(at)).permutation(len(at))]
+                    for k in range(0, len(at), batch):
+                        some = at[k : k + batch]
+                        own.learn(windows(ids, some), ids[some], square, rate)
+                    n = len(at) // 1024 + 1
+                    total += np.round(own.flat().astype(np.float64) * FINE).astype(np.int64) * n
+                    weight += n
+            if weight:
+                cuts = range(0, len(total), CHUNK)
+                yield pd.DataFrame({"chunk": range(len(cuts)), "v": [total[k : k + CHUNK].tobytes() for k in cuts], "n": weight})
+
+        got = summed(dealt.mapInPandas(released(learn), "chunk int, v binary, n long")).orderBy("chunk").collect()  # the parameters once
+        if got:
+            net.load(np.concatenate([np.frombuffer(r["v"], np.int64) / FINE / r["n"] for r in got]))
     return net
 
 
-def pseudo_likelihood(docs: DataFrame, net: Network, words: list[bytes], batch: int = 16_384, inside: Shares | None = None) -> DataFrame:
-    """doc_id, n_tokens, pll (sum of log p of every token given both sides), pll_per_token (null without tokens).
+def summed(parts: DataFrame) -> DataFrame:
+    """chunk, v, n: sums of vectors of whole numbers (binary) by chunk; a task holds one chunk at a time."""
 
-    With ``inside`` two columns more: ``inside`` and ``rest``, the second and third of ``Shares.look``.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast((words, net.flat(), inside))
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("pll", T.DoubleType()), T.StructField("pll_per_token", T.DoubleType())])
-    if inside is not None:
-        schema = schema.add("inside", T.LongType()).add("rest", T.ArrayType(T.LongType()))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, total, weight = None, None, 0
+        for pdf in batches:
+            for c, v, n in zip(pdf["chunk"], pdf["v"], pdf["n"], strict=True):
+                if c != chunk:
+                    if chunk is not None:
+                        yield pd.DataFrame({"chunk": [chunk], "v": [total.tobytes()], "n": [weight]})
+                    chunk, total, weight = c, np.zeros(len(v) // 8, np.int64), 0
+                total += np.frombuffer(v, np.int64)
+                weight += n
+        if chunk is not None:
+            yield pd.DataFrame({"chunk": [chunk], "v": [total.tobytes()], "n": [weight]})
+
+    return parts.repartition(width(parts.sparkSession), "chunk").sortWithinPartitions("chunk").mapInPandas(released(run), parts.schema)
+
+
+def pseudo_likelihood(tokenised: DataFrame, net: Network, tokens: Tokens, batch: int = 16_384) -> DataFrame:
+    """``tokenised`` with pll in place of ids: the sum of log p of every token (a word or its bucket) given both sides."""
+    sent = tokenised.sparkSession.sparkContext.broadcast((net.flat(), tokens.border, np.dtype(tokens.kind).str))
+    schema = T.StructType([T.StructField("pll", T.DoubleType()) if f.name == "ids" else f for f in tokenised.schema])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        listed, flat, shared = sent.value
-        tokens = Tokens(listed)
-        own = Network(tokens.size)
+        flat, border, kind = sent.value
+        own = Network(border + 1)
         own.load(flat)
-
-        def scored(keys, texts, more):
-            lengths = np.array([len(t) for t in texts])
-            ids = np.concatenate(texts)
-            around = np.concatenate([windows(t, tokens.border) for t in texts])
-            logs = np.concatenate([own.log_prob(around[k : k + batch], ids[k : k + batch]) for k in range(0, len(ids), batch)]) if len(ids) else np.empty(0)
+        gap = np.full(REACH, border, kind).tobytes()
+        for pdf in batches:
+            ids = np.frombuffer(gap + gap.join(pdf["ids"]) + gap, kind)
+            lengths = pdf["n_tokens"].to_numpy()
+            at = np.flatnonzero(ids != border)
+            logs = np.empty(len(at) + 1)
+            logs[-1] = 0
+            for k in range(0, len(at), batch):
+                some = at[k : k + batch]
+                logs[k : k + len(some)] = own.log_prob(windows(ids, some), ids[some])
             ends = np.cumsum(lengths)
-            sums = np.concatenate([[0.0], np.cumsum(logs)])
-            pll = [float(logs[e - n : e].sum()) for e, n in zip(ends, lengths, strict=True)] if len(sums) else []
-            out = pd.DataFrame({"doc_id": keys, "n_tokens": lengths, "pll": pll, "pll_per_token": [p / n if n else None for p, n in zip(pll, lengths, strict=True)]})
-            return out if shared is None else out.assign(inside=[x for x, _ in more], rest=pd.Series([x for _, x in more], dtype=object))
+            sums = np.where(lengths > 0, np.add.reduceat(logs, np.minimum(ends - lengths, len(at))), 0.0) if len(lengths) else np.empty(0)
+            yield pdf.assign(ids=sums).rename(columns={"ids": "pll"})[schema.names]
 
-        keys, texts, more, n = [], [], [], 0
-        for pdf in batches:
-            for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                keys.append(key)
-                if shared is None:
-                    texts.append(tokens.ids(text))
-                else:
-                    ids, *two = shared.look(text)
-                    texts.append(ids)
-                    more.append(two)
-                n += len(texts[-1])
-                if n >= 8 * batch:
-                    yield scored(keys, texts, more)
-                    keys, texts, more, n = [], [], [], 0
-        if keys:
-            yield scored(keys, texts, more)
-
-    return _texts(docs).mapInPandas(run, schema)
-
-
-def shares(counted: DataFrame, top: list) -> Shares:
-    """``top``: the vocabulary's rows (word, n), which are sent whatever SENT is."""
-    sizes = {r["b"]: r["n"] for r in counted.groupBy((F.crc32("word") % BUCKETS).alias("b")).agg(F.sum("n").alias("n")).collect()}
-    # a least count from the counts' counts: a sort would send SENT rows of every task to the driver
-    least, room = None, len(top) + SENT
-    for r in sorted(counted.where("n > 1").groupBy("n").agg(F.count("*").alias("words")).collect(), reverse=True):
-        room -= r["words"]
-        if room < 0:
-            break
-        least = r["n"]
-    known = {bytes(r["word"]): r["n"] for r in top}
-    if least is not None:
-        known |= {bytes(r["word"]): r["n"] for r in counted.where(F.col("n") >= least).collect()}
-    return Shares([bytes(r["word"]) for r in top], list(known.items()), [sizes.get(b, 0) for b in range(BUCKETS)])
+    return tokenised.mapInPandas(released(run), schema)
 
 
-def joined_counts(scored: DataFrame, counted: DataFrame) -> DataFrame:
-    """Adds the logarithms of the counts of each row's ``rest`` (word hashes) to its ``inside``; needs a column ``row``.
+def joined_counts(read: DataFrame, counted: DataFrame) -> DataFrame:
+    """row, more: the summed logarithms of the counts of each row's ``rest`` (word hashes), in multiples of 1 / UNIT.
 
-    Words that occur once have log n = 0, so only the counts of the others are joined.
+    Words that occur once have log n = 0, so only the counts of the others are joined. Frequent words never are in
+    ``rest``, so no key of this join is hot.
     """
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            h = word_hashes(b" ".join(pdf["word"])) if len(pdf) else np.empty(0, np.uint64)
-            yield pd.DataFrame({"h": h.view(np.int64), "log_n": np.round(np.log(pdf["n"].to_numpy(float)) * UNIT).astype(np.int64)})
-
-    counts = counted.where("n > 1").mapInPandas(hashed, "h long, log_n long")
-    more = scored.select("row", F.explode("rest").alias("h")).join(counts, "h").groupBy("row").agg(F.sum("log_n").alias("more"))
-    return scored.drop("rest").join(more, "row", "left").withColumn("inside", F.col("inside") + F.coalesce("more", F.lit(0))).drop("row", "more")
+    log_n = F.round(F.log(F.col("n").cast("double")) * UNIT).cast("long")
+    counts = counted.where("n > 1").select("h", log_n.alias("log_n"))
+    return read.select("row", F.explode("rest").alias("h")).join(counts.hint("merge"), "h").groupBy("row").agg(F.sum("log_n").alias("more"))
 
 
-def score_documents(docs: DataFrame, size: int = 960, rounds: int = 2) -> DataFrame:
-    """Counts all words, trains the network and scores every whole text of ``docs`` (doc_id, text).
+def score_documents(docs: DataFrame, size: int = 4000, rounds: int = 2, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, n_tokens, pll, pll_per_token: counts all words, trains the network and scores every whole text.
 
     log p(token) is the network's for the ``size`` most frequent words. For every other word of the corpus it is that of
-    its bucket, from both sides, and of the word in its bucket, by its count: the counts grow with the corpus.
-    Null and blank texts have no tokens: pll 0, pll_per_token null. Repeated rows get equal scores. An empty table
-    gives an empty result (the network stays as it was initialised). Other columns are ignored.
+    its bucket, from both sides, and of the word in its bucket, by its count: the counts grow with the corpus. Words are
+    lower-cased (A-Z) and named by 64-bit hashes. Training has the order of hashes, so rows in other partitions get
+    the same scores (up to rounding of sums). Null and blank texts have no tokens: pll 0, pll_per_token null. Repeated
+    rows get equal scores. An empty table gives an empty result (the network stays as it was initialised). Texts of any
+    length are scored whole. Other columns are ignored, whatever their names.
     """
     box = Scratch(docs.sparkSession, "lm")
     counted = box.save(counted_words(docs), "counts")
-    top = most_frequent(counted, size)
-    words = [bytes(r["word"]) for r in top]
-    scored = pseudo_likelihood(docs, fit(docs, words, rounds), words, inside=shares(counted, top))
+    tokens = vocabulary(counted, size)
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # saved, so that a row keeps its number
-    scored = joined_counts(box.save(scored.withColumn("row", F.monotonically_increasing_id()), "scored"), counted)
-    pll = F.col("pll") + F.col("inside") / F.lit(float(UNIT))
+    read = box.save(tokenise(docs, tokens).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    dealt = box.save(shards(read, tokens, total, shard_words), "shards")
+    net = fit(dealt, tokens, rounds)
+    box.drop("shards")
+    scored = pseudo_likelihood(read.drop("rest"), net, tokens).join(joined_counts(read, counted).hint("merge"), "row", "left")
+    pll = F.col("pll") + (F.col("inside") + F.coalesce("more", F.lit(0))) / F.lit(float(UNIT))
     return scored.select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("pll_per_token"))
 
 
