@@ -137,13 +137,32 @@ def test_words_at_the_ends_are_counted(spark):
     assert {r.text: r.n for r in found} == texts
 
 
-def test_lexicon_and_votes_use_all_labels(spark, monkeypatch):
+def test_lexicon_and_votes_use_all_rows(spark, monkeypatch):
     rows = [(i, "a calm word" if i % 2 else "a zorbly word") for i in range(200)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, 1 - i % 2) for i, _ in rows], LABELS)
-    told, entries, model, induce = [], [], toxicity.label_model, toxicity.induce
-    monkeypatch.setattr(toxicity, "label_model", lambda patterns: told.append(patterns) or model(patterns))
-    monkeypatch.setattr(toxicity, "induce", lambda *a: entries.append(induce(*a)) or entries[-1])
+    told, entries, model, learned = [], [], toxicity.label_model, toxicity.learned_entries
+    monkeypatch.setattr(toxicity, "label_model", lambda patterns, prior: told.append(patterns.toPandas()) or model(patterns, prior))
+    monkeypatch.setattr(toxicity, "learned_entries", lambda *a: entries.extend(learned(*a)) or entries)
     assert toxicity.score_toxicity(docs, labels, sample=4).count() == 200
-    given = labels.where(~toxicity.held_out()).count()
-    assert told[0]["n"][told[0]["gold"].notna()].sum() == given and told[0]["n"].sum() == 200
-    assert entries[0].set_index("entry").loc["zorbly", "toxic"] == labels.where(~toxicity.held_out() & (F.col("toxic") == 1)).count()
+    assert told[0]["n"].sum() == 200
+    gold = labels.where(~toxicity.held_out()).select("doc_id", F.col("toxic").alias("gold"))
+    n = [gold.where(f"gold = {y}").count() for y in (0, 1)]
+    lift = {r["entry"]: r["lift"] for r in entries}["zorbly"]
+    assert abs(lift - (n[1] + 0.5) / (3 * n[1] + 1) / (0.5 / (3 * n[0] + 1))) < 1e-9
+
+
+def test_label_model_finds_accuracies_and_correlations(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    y = rng.random(20_000) < 0.2
+    sure = np.where(rng.random((20_000, toxicity.VOTERS)) < 0.8, y[:, None], ~y[:, None])
+    sure[:, 3] = np.where(rng.random(20_000) < 0.95, sure[:, 7], sure[:, 3])  # a voter that mostly repeats another
+    votes = ["".join(np.where(r, "t", "c")) for r in sure]
+    patterns = spark.createDataFrame([(v, 1) for v in votes], "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+    model, counts = toxicity.label_model(patterns, 0.2)
+    assert model.parents[7] == 3 or model.parents[3] == 7
+    found = model.correlations(counts)
+    assert found[3, 7] > 0.8 and abs(found[1, 2]) < 0.1
+    q = model.posterior(toxicity.LabelModel.codes(votes))
+    assert ((q > 0.5) == y).mean() > 0.99
