@@ -17,8 +17,8 @@ from annalist.llm.common import Scratch, frames, released, table, width, word_ha
 GRAM = 8
 #: Words of the documents that one automaton holds: a larger shard has several, for documents in order of doc_id.
 SHARD_WORDS = 80_000
-#: Anchor entries of a shard (about one in 20 words) from which it is compared as hashed windows instead: a shard of
-#: so many automata would stream its documents through all of them.
+#: Anchor entries of a shard (about one in 20 words) from which its windows are dealt out one by one, by digest: in a
+#: shard of so many automata every document would be streamed through all of them.
 SHARD_ENTRIES = 200_000
 _BASE = 0x9E3779B97F4A7C15
 _B = np.uint64(_BASE)
@@ -182,9 +182,11 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
        are spans to remove. Then its own passage extends the automaton. Automata are sent no wider than their
        shard: they grow with the corpus, so a broadcast would have no bound.
        A shard of more than SHARD_WORDS is cut by doc_id into blocks, each with its own automaton; a document is
-       streamed through that of its own block and those of the blocks before.
-    3. A shard of more than SHARD_ENTRIES anchors (one extremely common passage) is not cut further: its windows
-       are hashed to 64 bits, the least document of each is a pre-aggregated minimum, and later ones lose it.
+       streamed through that of its own block and those of the blocks before. The automaton of a block is sent to
+       as many tasks as there are 4 * SHARD_WORDS words to stream, and each later document goes to one of them.
+    3. A shard of more than SHARD_ENTRIES anchors (one extremely common passage) is split to its windows: each goes by
+       the 128-bit BLAKE2 digest of its words, the least document of each is a pre-aggregated minimum, and later
+       ones lose it. Equal digests are taken for equal words, as in the copies above.
     """
     box = Scratch(docs.sparkSession, "substrings")
     spark = docs.sparkSession
@@ -244,36 +246,39 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                     for c, v in zip(out, (key, sha, owner, begin, end - begin, b" ".join(words[begin:end]), None), strict=True):
                         out[c].append(v)
                 if starts:
-                    at = np.array(sorted(starts))
-                    g = gram_hashes(word_hashes(text), window)[at].view(np.int64)
-                    for c, v in zip(out, (key, sha, None, None, None, None, [{"h": int(x), "begin": int(y)} for x, y in zip(g, at, strict=True)]), strict=True):
+                    named = [{"h": hashlib.blake2b(b" ".join(words[y : y + window]), digest_size=16).digest(), "begin": y} for y in sorted(starts)]
+                    for c, v in zip(out, (key, sha, None, None, None, None, named), strict=True):
                         out[c].append(v)
             yield pd.DataFrame({"doc_id": out["doc_id"], "sha": pd.Series(out["sha"], dtype=object), "owner": pd.array(out["owner"], dtype="Int64"), "begin": pd.array(out["begin"], dtype="Int32"), "n": pd.array(out["n"], dtype="Int32"), "words": pd.Series(out["words"], dtype=object), "win": pd.Series(out["win"], dtype=object)})
 
-    cut = rows.join(lists.hint("merge"), ["doc_id", "sha"]).mapInPandas(released(stretch), f"doc_id {kind}, sha binary, owner {kind}, begin int, n int, words binary, win array<struct<h: long, begin: int>>")
+    cut = rows.join(lists.hint("merge"), ["doc_id", "sha"]).mapInPandas(released(stretch), f"doc_id {kind}, sha binary, owner {kind}, begin int, n int, words binary, win array<struct<h: binary, begin: int>>")
     # repeated rows have equal stretches
     cut = box.save(cut.dropDuplicates(["doc_id", "sha", "owner", "begin", "n"]), "stretches")
     stretches = cut.where(F.col("win").isNull()).drop("win")
-    # the frame holds all rows of a document at once, so that a document is in one block
-    upto = F.sum("n").over(W.partitionBy("owner").orderBy("doc_id").rangeBetween(W.unboundedPreceding, W.currentRow))
-    stretches = stretches.withColumn("block", ((upto - 1) / SHARD_WORDS).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("block"))))
-    order = ["owner", "part", "doc_id", "sha", "begin"]
-    shards = stretches.select(*order, (F.col("block") == F.col("part")).alias("refers"), "words").repartition(width(spark), "owner", "part").sortWithinPartitions(*order)
+    # the frame holds all rows of a document at once, so that a document is in one block; an owner has at most SHARD_ENTRIES rows
+    by_owner = W.partitionBy("owner")
+    upto = F.sum("n").over(by_owner.orderBy("doc_id").rangeBetween(W.unboundedPreceding, W.currentRow))
+    stretches = stretches.withColumn("block", ((upto - 1) / SHARD_WORDS).cast("int")).withColumn("salts", F.ceil(F.sum("n").over(by_owner) / (4 * SHARD_WORDS)).cast("int"))
+    stretches = stretches.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("block")))).withColumn("refers", F.col("block") == F.col("part"))
+    one = F.pmod(F.xxhash64("doc_id", "sha"), "salts").cast("int")
+    stretches = stretches.withColumn("salt", F.explode(F.when(F.col("refers"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(one))))
+    order = ["owner", "part", "salt", "doc_id", "sha", "begin"]
+    shards = stretches.select(*order, "refers", "words").repartition(width(spark), "owner", "part", "salt").sortWithinPartitions(*order)
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard = doc = None
         automaton, held, out = SuffixAutomaton(), [], []
         for pdf in batches:
-            for o, part, key, sha, begin, refers, text in zip(*(pdf[c] for c in (*order, "refers", "words")), strict=True):
+            for o, part, salt, key, sha, begin, refers, text in zip(*(pdf[c] for c in (*order, "refers", "words")), strict=True):
                 words = text.split()
-                if (o, part) != shard:
-                    shard, doc, automaton, held = (o, part), key, SuffixAutomaton(), []
+                if (o, part, salt) != shard:
+                    shard, doc, automaton, held = (o, part, salt), key, SuffixAutomaton(), []
                 elif key != doc:  # passages of smaller documents only are in the automaton
                     for w in held:
                         automaton.add(w)
                     doc, held = key, []
                 told = automaton.statistics(words) if len(automaton.link) > 1 else []
-                spans = matched_spans(told, window)
+                spans = matched_spans(told, window) if not (refers and salt) else []  # a block's own rows tell once
                 out += [(key, sha, begin + a, begin + b) for a, b in spans]
                 # only a single match of all its words is in the automaton whole: several that cover them leave seams
                 if refers and not (told and told[-1] == len(words)):
@@ -345,5 +350,17 @@ def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50),
+v AS MATERIALIZED (SELECT rid, doc_id, p, md5(array_to_string(w[p:p+49], ' ')) AS h FROM s),
+f AS (SELECT h, min(doc_id) AS least_id FROM v GROUP BY h),
+g AS (SELECT DISTINCT rid, unnest(range(p, p + 50)) AS i FROM v JOIN f USING (h) WHERE least_id < doc_id),
+x AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT x.rid, string_agg(x.word, ' ' ORDER BY x.i) AS kept, count(*) AS n FROM x ANTI JOIN g ON x.rid = g.rid AND x.i = g.i GROUP BY x.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
+
 QUERIES = {"op6_substring_dedup": op6_substring_dedup}
-SQL: dict[str, str] = {}
+SQL = {"op6_substring_dedup": OP6_SQL}
