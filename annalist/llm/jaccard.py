@@ -100,17 +100,23 @@ def index_entries(docs: DataFrame, n: int, num: int, den: int, hits: np.ndarray)
     sent = docs.sparkSession.sparkContext.broadcast(hits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make, rank = Shingler(n), sent.value
+        make, rank, seen = Shingler(n), sent.value, set()
         for pdf in batches:
             tokens, nodes, sizes, places = [], [], [], []
+            if len(seen) > MEMORY:
+                seen.clear()
             for text in pdf["text"]:
                 s = make.shingles(text)
                 if not len(s):
                     continue
+                node = hashlib.blake2b(s.tobytes(), digest_size=12).digest()
+                if node in seen:  # a copy in this task: its set is indexed already
+                    continue
+                seen.add(node)
                 p = prefix(len(s), num, den)
                 order = np.lexsort((s, rank[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:p]
                 tokens.append(s[order].view(np.int64))
-                nodes += [hashlib.blake2b(s.tobytes(), digest_size=12).digest()] * p
+                nodes += [node] * p
                 sizes.append(np.full(p, len(s), np.int32))
                 places.append(np.arange(p, dtype=np.int32))
             if tokens:
@@ -331,5 +337,21 @@ def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT rid, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [md5(array_to_string(w, ' '))]
+                                         ELSE list_transform(range(1, len(w) - 2), lambda i: md5(array_to_string(w[i:i+3], ' '))) END) AS g
+  FROM w),
+u AS MATERIALIZED (SELECT rid, len(g) AS n, unnest(g) AS h FROM s),
+i AS (SELECT a.rid AS a, b.rid AS b, a.n AS na, b.n AS nb, count(*) AS n FROM u a JOIN u b ON a.h = b.h AND a.rid <> b.rid AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM i WHERE 100 * n >= 85 * (na + nb - n)),
+r AS (SELECT rid AS a, rid AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS rid, min(s.doc_id) AS component_id FROM r JOIN s ON r.b = s.rid GROUP BY r.a)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN c USING (rid)
+"""
+
 QUERIES = {"op2_jaccard_join": op2_jaccard_join}
-SQL: dict[str, str] = {}
+SQL = {"op2_jaccard_join": OP2_SQL}
