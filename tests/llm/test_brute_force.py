@@ -146,12 +146,31 @@ def test_decontamination(spark):
                     items |= windows[k]
         want[i] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest(), bool(hit))
     docs, b = spark.createDataFrame(documents(), "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
-    for size in (8_000_000, 500):  # one block of items, and many
-        assert {r.doc_id: tuple(r)[1:] for r in decontaminate.contamination(docs, b, block_bytes=size).collect()} == want
-    clean = {r.doc_id for r in decontaminate.remove_contaminated(docs, b).collect()}
-    assert clean == {i for i, x in want.items() if not x[4]}
-    longest = decontaminate.longest_matches(docs, b).collect()
-    assert {r.doc_id for r in longest} == {i for i, x in want.items() if x[4]}
+    full = [(i, words(x or "")) for i, x in bench]
+
+    def longest(w):
+        """Length and place of the longest verbatim match that holds a window, by dynamic programming."""
+        best = (0, None)
+        for _, x in full:
+            before = [0] * (len(x) + 1)
+            for p, a in enumerate(w):
+                now = [0] * (len(x) + 1)
+                for q, c in enumerate(x, 1):
+                    if a == c:
+                        now[q] = n = before[q - 1] + 1
+                        if n >= min(10, len(x)) and n > best[0] or n == best[0] and best[1] is not None and p + 1 - n < best[1]:
+                            best = (n, p + 1 - n)
+                before = now
+        return best
+
+    told = dict(documents())
+    dirty = [i for i, x in want.items() if x[4]]
+    for size in (8_000_000, 15_000):  # one block of items, and some
+        found = {r.doc_id: tuple(r)[1:] for r in decontaminate.contamination(docs, b, block_bytes=size).collect()}
+        assert {i: x[:5] for i, x in found.items()} == want
+        assert all(found[i][5:] == longest(words(told[i])) for i in dirty[:6]) and all(x[5:] == (0, None) for i, x in found.items() if not x[4])
+        clean = {r.doc_id for r in decontaminate.remove_contaminated(docs, b, block_bytes=size).collect()}
+        assert clean == set(want) - set(dirty)
 
 
 def test_segmentations_are_summed():
