@@ -57,7 +57,8 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), cap: int = 2, digits:
     A source's target holds whole epochs (each takes every document whole) and a rest, for which the documents
     in random order are taken until the budget is exact: the document on the cut gives only its first words.
     The prefix sums are distributed: keys are uniform, so their first ``digits`` hex digits range-sort a source
-    into even buckets; bucket totals (at most 16^digits a source) get prefix sums, then each bucket sums on.
+    into even buckets; bucket totals (at most 16^digits a source) get prefix sums, then each bucket sums on. Sources are
+    named categories: their totals, a row each, are sorted in one task.
     Null text counts 0 words, null source is a source of its own, an empty table gives an empty result;
     columns besides the three are ignored. ``taken`` never exceeds ``cap`` times ``size``.
     """
@@ -70,8 +71,14 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), cap: int = 2, digits:
     )
     buckets = box.save(base.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     plan = targets(buckets.groupBy("source").agg(F.sum("words").alias("words")), weights, share, cap)
-    ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = buckets.select("source", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("start"))
+    # prefix sums in two levels, so that no task holds more than 16^(digits / 2) buckets of a source
+    buckets = buckets.withColumn("head", F.substring("bucket", 1, digits // 2))
+    heads = buckets.groupBy("source", "head").agg(F.sum("words").alias("words"))
+    of_heads = W.partitionBy("source").orderBy("head").rowsBetween(W.unboundedPreceding, -1)
+    heads = heads.select(F.col("source").alias("hs"), F.col("head").alias("hh"), F.coalesce(F.sum("words").over(of_heads), F.lit(0)).alias("base"))
+    ahead = W.partitionBy("source", "head").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = buckets.withColumn("inner", F.coalesce(F.sum("words").over(ahead), F.lit(0))).join(heads, F.col("source").eqNullSafe(F.col("hs")) & (F.col("head") == F.col("hh")))
+    starts = starts.select("source", "bucket", (F.col("base") + F.col("inner")).alias("start"))
     starts = starts.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     starts = box.save(starts.withColumnsRenamed({"source": "s", "bucket": "b"}), "starts")
     rows = base.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
