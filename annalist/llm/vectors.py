@@ -50,20 +50,16 @@ def unit(vectors) -> np.ndarray:
 def place(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, list[np.ndarray]]:
     """For unit vectors: the home cell (nearest pivot) and the lower-numbered cells they must visit.
 
-    A vector y of cell q is no farther from q than from any other pivot p. By the triangle inequality (in its form
+    A vector y of cell q is no farther from q than from the home pivot p of x. By the triangle inequality (in its form
     for the plane between p and q) x can be within ``radius`` of such a y only if
-    (d(x,q)^2 - d(x,p)^2) / (2 d(p,q)) <= radius for every p. Visiting lower cells is enough: the pair meets
-    in the lower of its two home cells, once.
+    (d(x,q)^2 - d(x,p)^2) / (2 d(p,q)) <= radius. Visiting lower cells is enough: the pair meets in the lower of its
+    two home cells, once.
     """
     squares = np.maximum(2 - 2 * x @ pivots.T, 0)
     apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
     home = squares.argmin(1)
-    far = np.full(squares.shape, -np.inf)
-    for p in range(len(pivots)):
-        with np.errstate(divide="ignore"):
-            scale = np.where(apart[p] > 1e-9, 1 / (2 * apart[p]), 0)
-        np.maximum(far, (squares - squares[:, p : p + 1]) * scale, out=far)
-    visits = far <= radius + 1e-9
+    own = squares[np.arange(len(x)), home]
+    visits = squares - own[:, None] <= 2 * apart[home] * radius + 1e-9
     visits &= np.arange(len(pivots)) < home[:, None]
     return home, [np.flatnonzero(v) for v in visits]
 
@@ -96,7 +92,7 @@ def range_join(embeddings: DataFrame, least: float = 0.9, pivots: int | None = N
     Equal vectors are one class with a multiplicity, so copies are never paired. Class representatives go to the
     cell of the nearest pivot and visit the cells that the triangle inequality can't rule out; a cell is cut into
     blocks of at most about BLOCK rows by hash, and block pairs are independent groups. A group returns counts and
-    spanning links, not pairs. ``pivots``: default half the square root of the classes, 4 to 512, chosen by hash.
+    spanning links, not pairs. ``pivots``: default half the square root of the classes, chosen by hash (so many come to the driver).
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing: n_links 0, component_id
     their own vec_id. Vectors of different lengths don't link. Rows with one vec_id are separate rows. An empty
@@ -107,7 +103,7 @@ def range_join(embeddings: DataFrame, least: float = 0.9, pivots: int | None = N
     rows = box.save(keyed(embeddings), "rows")
     classes = box.save(rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("mult"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("least_id")), "classes")
     n = classes.count()
-    k = pivots or int(min(512, max(4, round(n**0.5 / 2))))
+    k = pivots or max(4, round(n**0.5 / 2))
     chosen = [r["embedding"] for r in classes.orderBy(F.xxhash64("key"), "key").select("embedding").limit(k).collect()]  # at most k vectors
     by_length: dict[int, list] = {}
     for v in chosen:
