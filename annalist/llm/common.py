@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else (tests) one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session; where it is unset and Spark runs in one
+    process (tests), a folder of our own. On a cluster without the setting this raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="annalist-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -65,21 +71,34 @@ def released(run):
     return wrapped
 
 
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def collected() -> Iterator[list[str]]:
+    """The folders of all Scratch instances that the block makes, for ``remove`` once nothing reads them any more."""
+    mine: list[str] = []
+    token = _made.set(mine)
+    try:
+        yield mine
+    finally:
+        _made.reset(token)
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder, so that a lost executor costs no recomputation.
 
-    ``save`` writes and rereads; ``drop`` deletes tables that nothing reads any more.
+    ``save`` writes and rereads; ``drop`` deletes tables that nothing reads any more. Results are lazy and read these
+    tables, so what is left stays until the caller is done: ``collected`` tells which folders a block of code made.
     """
 
-    #: Folders of all instances, in order; a pipeline removes those of a stage once its output is written.
-    created: list[str] = []
-
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
         self.n = 0
-        Scratch.created.append(self.base)
+        if (made := _made.get()) is not None:
+            made.append(self.base)
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> str:
         self.n += 1
@@ -181,6 +200,28 @@ def hash_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return counts, np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
 
 
+#: Rows of one key that may meet in one task of a join.
+HOT_ROWS = 10_000
+
+
+def hot_keys(rows: DataFrame, key: str, least: int = HOT_ROWS) -> DataFrame:
+    """key, salts: the keys of more than ``least`` rows, or of one in 10,000 of all rows if that is more, and the number of
+    parts to deal them to. These are 10,000 rows at most, whatever the table, so they can be broadcast."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*").alias("total"))
+    limit = F.greatest(F.lit(least), F.ceil(F.col("total") / 10_000))
+    return counts.crossJoin(F.broadcast(total)).where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("salts"))
+
+
+def salted(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, by: F.Column) -> DataFrame:
+    """Left join of ``many`` with ``one`` (one row a key) on ``key``: the rows of a hot key are dealt out by ``by``, and
+    that key's row of ``one`` goes to each part."""
+    parts = F.broadcast(hot.withColumnsRenamed({key: "__hot", "salts": "__salts"}))
+    left = many.join(parts, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__hot", "__salts")
+    right = one.join(parts, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__hot", "__salts")
+    return left.join(right.hint("merge"), [key, "__salt"], "left").drop("__salt")
+
+
 def crc_mod(key: str, m: int) -> F.Column:
     """crc32 of the key as text, modulo m (null key: null)."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(m)

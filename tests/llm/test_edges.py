@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from annalist.llm import chat, decontaminate, jaccard, langid, lm, mixing, substrings, toxicity, vectors, warc
+from annalist.llm import chat, common, decontaminate, jaccard, langid, lm, mixing, substrings, toxicity, vectors, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, node string, key string, spans string, score double, size long, words string, block int"
 LONG = " ".join(f"w{k % 7919}" for k in range(60_000))
@@ -80,6 +80,90 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert kept == {1, 7, 11, 12, None}  # 2 and 8 are near copies, 3 to 6 have no language, 9 is in the benchmark
 
 
+def brute_pipeline(spark, kept, bench):
+    """doc_id and words of what the stages after language ID leave, by plain loops over the rows it kept."""
+    words = {i: (t or "").encode().split() for i, t in kept}
+    lower = {i: (t or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split() for i, t in kept}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in lower.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    left = sorted(i for i in sets if find(i) == i)
+    first = {}
+    for i in left:
+        for p in range(len(words[i]) - 49):
+            first.setdefault(tuple(words[i][p : p + 50]), i)
+    texts = {}
+    for i in left:
+        w = words[i]
+        keep = [True] * len(w)
+        for p in range(len(w) - 49):
+            if first[tuple(w[p : p + 50])] < i:
+                keep[p : p + 50] = [False] * 50
+        if all(keep):
+            texts[i] = dict(kept)[i]
+        elif any(keep):
+            texts[i] = b" ".join(x for x, k in zip(w, keep, strict=True) if k).decode()
+    grams = set()
+    for _, t in bench:
+        w = decontaminate.bench_words((t or "").encode())
+        grams |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    clean = {}
+    for i, t in texts.items():
+        w = decontaminate.bench_words((t or "").encode())
+        if not any(tuple(w[k : k + n]) in grams for n in {len(g) for g in grams} for k in range(len(w) - n + 1)):
+            clean[i] = len((t or "").encode().split())
+    return clean
+
+
+def test_pipeline_against_loops(spark, tmp_path):
+    """All stages at once on a small table: what language ID keeps goes through plain loops; two runs at a time."""
+    data = "/root/testdata/sf0.001"
+    first = corpus_pipeline.run(spark, data)
+    second = corpus_pipeline.run(spark, data)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.STAGES[0][1](spark, docs, data).collect()]
+    bench = [tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
+    want = brute_pipeline(spark, kept, bench)
+    got = sorted(map(tuple, first.collect()), key=str)
+    assert {r[0]: r[2] for r in got} == want and len(got) == len(want)
+    sizes = {}
+    for _, source, size, *_ in got:
+        sizes[source] = sizes.get(source, 0) + size
+    assert all(r[3] == sizes[r[1]] and 0 <= r[5] <= 2 * r[2] for r in got)
+    for source in sizes:
+        mine = [r for r in got if r[1] == source]
+        assert 0 <= mine[0][4] - sum(r[5] for r in mine) < 1
+    assert sorted(map(tuple, second.collect()), key=str) == got  # the first run's tables aren't the second's
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", BENCH)):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch_root(Session())
+
+
 def test_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [0.0, 1.0]), (10, [1.0, 0.0, 0.0]), (11, [1.0, None])]
@@ -88,13 +172,55 @@ def test_vectors(spark):
     assert all(found[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11))
 
 
-def test_warc(spark, tmp_path):
+PAGES = "page_id long, url string, html string, cut int, payload string"
+
+
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_warc(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(warc, "hot_keys", lambda rows, key: common.hot_keys(rows, key, hot))
     big = "é" * 600
-    pages = spark.createDataFrame([(1, "u", big, 0), (2, None, big, 0), (3, "a\r\nb", None, 0), (4, "u", "", 0), (5, "u", "x\r\n\r\ny", 0)], "page_id long, url string, html string, cut int")
-    warc.write_archive(pages, str(tmp_path / "a"))
-    found = {r.page_id: r for r in warc.parse_records(warc.read_archive(spark, str(tmp_path / "a"))).collect()}
-    assert (found[1].record_type, found[1].refers_to, found[2].record_type, found[2].refers_to) == ("revisit", 2, "response", None)
+    rows = [(1, "u", big, 0, ""), (2, None, big, 0, ""), (3, "a\r\nb", None, 0, ""), (4, "u", "", 0, ""), (5, "u", "x\r\n\r\ny", 0, ""), (None, "u", big, 0, ""), (1, "u", big, 0, ""), (6, "u", "z" * 999, 0, ""), (7, "u", "z" * 999, 0, "")]
+    rows += [(k, "e", "", 0, "") for k in range(100, 140)]
+    warc.write_archive(spark.createDataFrame(rows, PAGES), str(tmp_path / "a"))
+    records = warc.read_archive(spark, str(tmp_path / "a"))
+    parsed = warc.parse_records(records).collect()
+    found = {r.page_id: r for r in parsed}
+    assert len(parsed) == len(rows)
+    assert (found[1].record_type, found[1].refers_to, found[2].record_type, found[2].refers_to, found[None].record_type) == ("revisit", 2, "response", None, "revisit")
     assert bytes(found[1].payload) == big.encode() and found[5].payload_bytes == 6 and found[3].payload_digest == hashlib.sha1(b"").hexdigest()
+    assert found[6].record_type == found[7].record_type == "response"
+    warc.export_warc(records, str(tmp_path / "w"))
+    seen = []
+    for f in (tmp_path / "w").glob("part-*"):
+        data = f.read_bytes()
+        while data:  # a reader of WARC files
+            head, _, rest = data.partition(b"\r\n\r\n")
+            fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+            assert head.startswith(b"WARC/1.1\r\n") and {b"WARC-Type", b"WARC-Record-ID", b"WARC-Date", b"Content-Length"} <= set(fields)
+            assert (fields[b"WARC-Type"] == b"revisit") == (b"WARC-Profile" in fields)
+            n = int(fields[b"Content-Length"])
+            seen.append((fields[b"WARC-Type"], rest[:n].partition(b"\r\n\r\n")[2]))
+            assert rest[n : n + 4] == b"\r\n\r\n"
+            data = rest[n + 4 :]
+    assert sorted(seen) == sorted((r.record_type.encode(), bytes(r.payload) if r.record_type == "response" else b"") for r in parsed)
+
+
+def test_warc_of_no_pages_and_altered_bytes(spark, tmp_path):
+    warc.write_archive(spark.createDataFrame([], PAGES), str(tmp_path / "none"))
+    assert warc.parse_records(warc.read_archive(spark, str(tmp_path / "none"))).collect() == []
+    warc.write_archive(spark.createDataFrame([(1, "u", "x", 0, "")], PAGES), str(tmp_path / "a"))
+    p = spark.read.parquet(str(tmp_path / "a" / "payloads"))
+    p.select("sha256", F.lit("y").cast("binary").alias("payload")).write.parquet(str(tmp_path / "b" / "payloads"))
+    spark.read.parquet(str(tmp_path / "a" / "headers")).write.parquet(str(tmp_path / "b" / "headers"))
+    with pytest.raises(Exception, match="payload missing or altered"):
+        warc.read_archive(spark, str(tmp_path / "b")).collect()
+
+
+def test_vectors_of_clashing_columns_and_many_components(spark):
+    rows = [(k, [float(x == k % 3) for x in range(900)], 0, 0.0, "k", True) for k in range(7)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell int, n double, key string, home boolean")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in vectors.range_join(d).collect()}
+    assert found == {k: (len(range(k % 3, 7, 3)) - 1, k % 3) for k in range(7)}
 
 
 def test_chat_layouts(spark):
