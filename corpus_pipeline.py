@@ -1,29 +1,22 @@
-"""From documents to a training mix in five stages; each is written as Parquet and read again by the next."""
+"""From documents to a training mix in five stages; each is written as Parquet and read again by the next.
+
+Every stage keeps rows with null doc_id, takes repeated rows as they are, gives an empty result for an empty table and
+ignores columns it doesn't know. Its intermediate tables lie in the shared folder and belong to the caller: results
+read them lazily. ``run`` removes those of a stage once the stage's own output is written.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from annalist.llm import decontaminate, jaccard, langid, mixing, substrings
-from annalist.llm.common import Scratch, bounded_batches, remove, table
-
-_held: list[str] = []
-
-
-def _clear(spark: SparkSession) -> None:
-    """Removes what the stage before kept in the shared folder: its output is written by now."""
-    remove(spark, *_held)
-    _held.clear()
+from annalist.llm.common import Scratch, bounded_batches, collected, remove, table
 
 
 def _stage(f):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _clear(spark)
         bounded_batches(spark)
-        before = len(Scratch.created)
-        out = f(spark, docs, sf_dir)
-        _held.extend(Scratch.created[before:])
-        return out
+        return f(spark, docs, sf_dir)
 
     run_stage.__name__, run_stage.__doc__ = f.__name__, f.__doc__
     return run_stage
@@ -31,13 +24,16 @@ def _stage(f):
 
 @_stage
 def language_id(spark, docs, sf_dir):
-    """Learns from the rows with a language; drops rows whose language can't be told."""
+    """Learns from the rows with a language; drops rows whose language can't be told (null texts, texts without a letter)."""
     return langid.accepted(docs, langid.train(docs.where(~langid.held_out())))
 
 
 @_stage
 def near_duplicates(spark, docs, sf_dir):
-    """Five words, similarity 0.8: of each group of linked documents that of the smallest doc_id stays."""
+    """Five words, similarity 0.8: of each group of linked documents that of the smallest doc_id stays.
+
+    Rows without words link with nothing and stay; of rows that share a doc_id all stay or all go.
+    """
     found = jaccard.jaccard_components(docs, 5, (80, 100))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
@@ -45,13 +41,13 @@ def near_duplicates(spark, docs, sf_dir):
 
 @_stage
 def substring_dedup(spark, docs, sf_dir):
-    """Cuts runs of 50 words that an earlier document has; texts of which nothing is left go."""
+    """Cuts runs of 50 words that an earlier document has; texts of which nothing is left go, null texts stay."""
     return substrings.remove_repeated(docs)
 
 
 @_stage
 def decontamination(spark, docs, sf_dir):
-    """Drops documents that hold ten consecutive words of a benchmark item (or a shorter item whole)."""
+    """Drops documents that hold ten consecutive words of a benchmark item (or a shorter item whole); null texts stay."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -69,7 +65,7 @@ STAGES = [
     ("source_mix", source_mix),
 ]
 
-#: Three stages can't be written in SQL; tests/llm holds the pipeline against a brute-force version.
+#: Language ID can't be written in SQL; tests/llm holds all other stages against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -77,5 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     box = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = box.save(stage(spark, docs, sf_dir), name)
+        with collected() as made:
+            docs = box.save(stage(spark, docs, sf_dir), name)
+        remove(spark, *made)
     return STAGES[-1][1](spark, docs, sf_dir)
