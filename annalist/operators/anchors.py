@@ -1,54 +1,30 @@
-"""Re-anchoring of quotes in a changed text."""
+"""Re-anchoring of quotes in a changed text, as Column expressions."""
 
 from __future__ import annotations
 
-import hashlib
-import unicodedata
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-REACH = 64
-
-
-def context_digest(text: str, start: int, end: int) -> str:
-    joined = text[max(0, start - REACH) : start] + "\0" + text[end : end + REACH]
-    lines = unicodedata.normalize("NFC", joined).replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    return hashlib.sha256(("\n".join(x.rstrip() for x in lines).rstrip("\n") + "\n").encode()).hexdigest()
-
-
-def find_all(text: str, quote: str) -> list[int]:
-    """All places, overlapping ones too."""
-    out, at = [], text.find(quote) if quote else -1
-    while at >= 0:
-        out.append(at)
-        at = text.find(quote, at + 1)
-    return out
-
-
-def reanchor(old: str, start: int, end: int, new: str) -> tuple[str, int | None]:
-    """exact: same text or the quote at its old place; unique_move: one place, or one whose context is the old one;
-    ambiguous: several; missing: none (or a null text)."""
-    if old is None or new is None:
-        return "missing", None
-    quote = old[start:end]
-    if old == new or new[start:end] == quote and end <= len(new):
-        return "exact", start
-    found = find_all(new, quote)
-    if len(found) == 1:
-        return "unique_move", found[0]
-    if found:
-        told = context_digest(old, start, end)
-        same = [p for p in found if context_digest(new, p, p + len(quote)) == told]
-        return ("unique_move", same[0]) if len(same) == 1 else ("ambiguous", None)
-    return "missing", None
-
-
-_FOUND = T.StructType([T.StructField("outcome", T.StringType()), T.StructField("new_start", T.LongType())])
-
 
-@F.pandas_udf(_FOUND)
-def reanchored(old: pd.Series, start: pd.Series, end: pd.Series, new: pd.Series) -> pd.DataFrame:
-    rows = [reanchor(o, int(s), int(e), n) for o, s, e, n in zip(old, start, end, new, strict=True)]
-    return pd.DataFrame({"outcome": [r[0] for r in rows], "new_start": pd.array([r[1] for r in rows], dtype="Int64")})
+from annalist.functions.text import context, occurrences, text_digest
+
+
+def reanchored(old: Column, start: Column, end: Column, new: Column) -> Column:
+    """struct(outcome, new_start, candidates) of the quote ``old[start:end]`` in ``new``.
+
+    exact: the same text, or the quote still at its place. Else by the quote's places in the new text: missing (none),
+    unique_move (one; or of several the only one whose context of 64 code points on either side is the old one), else
+    ambiguous. A null text: missing. The texts must be NFC.
+    """
+    quote = F.substring(old, start + 1, end - start)
+    size = F.length(quote)
+    places = occurrences(new, quote)
+    told = text_digest(context(old, start, end))
+    alike = F.filter(places, lambda p: text_digest(context(new, p, p + size)) == told)
+    exact = (old == new) | ((F.substring(new, start + 1, end - start) == quote) & (end <= F.length(new)))
+    some = lambda outcome, at: F.struct(F.lit(outcome).alias("outcome"), at.cast("long").alias("new_start"), places.alias("candidates"))
+    none = F.lit(None).cast("long")
+    return (
+        F.when(old.isNull() | new.isNull(), F.struct(F.lit("missing").alias("outcome"), none.alias("new_start"), F.array().cast("array<int>").alias("candidates")))
+        .when(exact, some("exact", start)).when(F.size(places) == 0, some("missing", none)).when(F.size(places) == 1, some("unique_move", places[0]))
+        .when(F.size(alike) == 1, some("unique_move", alike[0])).otherwise(some("ambiguous", none))
+    )

@@ -11,22 +11,46 @@ GENESIS = "0" * 64
 RANK = ["STOP", "CONFIG", "REVIEW_REQUIRED", "STALE", "EXCLUDED", "ACTION_NEEDED", "READY"]
 
 
-def envelope_digest(events: DataFrame) -> Column:
-    """Digest of an event's canonical JSON (keys in order, nulls kept)."""
-    return F.sha2(F.to_json(F.struct(F.col("kind"), F.col("payload"), F.col("record_id"), F.col("seq")), {"ignoreNullFields": "false"}), 256)
+def envelope(kind: Column, payload: Column, prev: Column, record_id: Column, seq: Column) -> Column:
+    """An event's canonical JSON: keys in order, nulls kept, the digest before it inside."""
+    return F.to_json(F.struct(kind.alias("kind"), payload.alias("payload"), prev.alias("prev"), record_id.alias("record_id"), seq.alias("seq")), {"ignoreNullFields": "false"})
 
 
-def chain(events: DataFrame) -> DataFrame:
-    """seq, digest, gap, linked: each event's digest, whether its seq follows, and its predecessor's digest.
+def seal(events: DataFrame) -> DataFrame:
+    """record_id, seq, kind, payload, prev, digest: each record's journal as a hash chain, numbered from 1.
 
-    Events carry independent digests; the order is one range-partitioned sort, with the neighbour by ``lag``.
+    A digest covers the event and the digest before it, so a chain is a fold over one record's events in their order;
+    records are independent. Events: record_id, seq (any order), kind, payload.
     """
-    told = events.select("seq", envelope_digest(events).alias("digest"))
-    # neighbours by an equi join on seq - 1 instead of a window without partitions
-    before = told.select((F.col("seq") + 1).alias("seq"), F.col("digest").alias("prev"))
-    least = told.agg(F.min("seq").alias("first"))
-    joined = told.join(before, "seq", "left").crossJoin(F.broadcast(least))
-    return joined.select("seq", "digest", F.coalesce("prev", F.lit(GENESIS)).alias("prev"), (F.col("prev").isNull() & (F.col("seq") != F.col("first"))).alias("gap"))
+    listed = F.array_sort(F.collect_list(F.struct("seq", "kind", "payload")))
+    rows = events.groupBy("record_id").agg(listed.alias("e"))
+    start = F.struct(F.lit(GENESIS).alias("digest"), F.lit(1).cast("long").alias("seq"), F.array().cast("array<struct<prev:string,digest:string>>").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        digest = F.sha2(envelope(x["kind"], x["payload"], state["digest"], F.col("record_id"), state["seq"]), 256)
+        link = F.struct(state["digest"].alias("prev"), digest.alias("digest"))
+        return F.struct(digest.alias("digest"), (state["seq"] + 1).alias("seq"), F.concat(state["out"], F.array(link)).alias("out"))
+
+    chained = rows.withColumn("links", F.aggregate("e", start, step)["out"]).select("record_id", F.posexplode(F.arrays_zip("e", "links")).alias("at", "x"))
+    return chained.select("record_id", (F.col("at") + 1).cast("long").alias("seq"), "x.e.kind", "x.e.payload", "x.links.prev", "x.links.digest")
+
+
+def verify(journal: DataFrame) -> DataFrame:
+    """record_id, seq, problem for every row of a sealed journal; null where all is well.
+
+    gap: seq doesn't follow the one before (from 1); link: prev isn't the stored digest before; altered: the stored digest
+    isn't that of the row. The first that fits. One sort by record.
+    """
+    order = W.partitionBy("record_id").orderBy("seq")
+    before, number = F.coalesce(F.lag("digest").over(order), F.lit(GENESIS)), F.coalesce(F.lag("seq").over(order), F.lit(0))
+    told = F.sha2(envelope(*map(F.col, ("kind", "payload", "prev", "record_id", "seq"))), 256)
+    problem = F.when(F.col("seq") != number + 1, "gap").when(~F.col("prev").eqNullSafe(before), "link").when(~F.col("digest").eqNullSafe(told), "altered")
+    return journal.select("record_id", "seq", problem.alias("problem"))
+
+
+def head(journal: DataFrame) -> DataFrame:
+    """record_id, seq, digest of the last event: what the next one is sealed to."""
+    return journal.groupBy("record_id").agg(F.max("seq").alias("seq"), F.max_by("digest", "seq").alias("digest"))
 
 
 def latest(events: DataFrame, *keys: str) -> DataFrame:
@@ -73,11 +97,14 @@ def facts(events: DataFrame) -> DataFrame:
 
 
 def ladder(binding: Column, derivation: Column, decision: Column, enabled: Column) -> Column:
-    """The status of an artifact from its three axes; the first rule that fits decides."""
+    """The status of an artifact from its three axes; the first rule that fits decides. What no rule covers (unknown
+    values, nulls) is STOP, never READY."""
+    ready = binding.isin("bound", "n/a") & derivation.isin("current", "n/a") & decision.isin("accepted", "n/a")
     return (
-        F.when(~enabled, "EXCLUDED").when(binding == "unknown", "STOP").when(derivation == "unverifiable", "STOP")
+        F.when(F.coalesce(~enabled, F.lit(False)), "EXCLUDED").when(binding == "unknown", "STOP").when(derivation == "unverifiable", "STOP")
         .when(decision.isin("rejected", "withdrawn"), "EXCLUDED").when(binding == "drifted", "REVIEW_REQUIRED")
-        .when(derivation == "stale", "STALE").when(decision == "undecided", "ACTION_NEEDED").otherwise("READY")
+        .when(derivation == "stale", "STALE").when(decision == "undecided", "ACTION_NEEDED")
+        .when(ready & enabled, "READY").otherwise("STOP")
     )
 
 

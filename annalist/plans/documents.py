@@ -65,7 +65,7 @@ def reanchor_outcome(spark, sf_dir):
     """Anchors over code points 10 to 40 of every text, in a revision with its first word twice and its last 50 characters gone."""
     d = _docs(spark, sf_dir).where(F.length("text") >= 40)
     new = F.concat(F.substring_index("text", " ", 1), F.lit(" "), F.expr("left(text, length(text) - 50)"))
-    return d.select("doc_id", anchors.reanchored("text", F.lit(10), F.lit(40), new).alias("r")).select("doc_id", "r.outcome", "r.new_start")
+    return d.select("doc_id", anchors.reanchored(F.col("text"), F.lit(10), F.lit(40), new).alias("r")).select("doc_id", "r.outcome", "r.new_start")
 
 
 QUERIES = {f.__name__: f for f in (content_dedupe, dangling_refs, normalised_digests, pii_spans, merge_spans, overlap_refusal, mention_ids, register, pseudonymise, replacement_sums, reanchor_outcome)}
@@ -84,7 +84,30 @@ found AS (SELECT m.doc_id, "start", "end", entity_type, substr(text, ("start" +
   'MEN-' || left(sha256('annalist:mention:v1|' || sha256(text) || '|0|' || "start" || '|' || "end" || '|' || entity_type), 24) AS mention_id
   FROM merged m JOIN documents d USING (doc_id) WHERE m.doc_id NOT IN (SELECT doc_id FROM clash)),
 reg AS (SELECT entity_type, surface, entity_type || '-' || lpad(CAST(row_number() OVER (PARTITION BY entity_type ORDER BY surface) AS VARCHAR), 3, '0') AS pseudonym FROM (SELECT DISTINCT entity_type, surface FROM found))"""
+def _normal(text: str) -> str:
+    """SQL of a text's normalised form."""
+    lines = rf"list_transform(string_split(regexp_replace({text}, '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '[\s\p{{Z}}\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}]+$', ''))"
+    return f"(rtrim(array_to_string({lines}, chr(10)), chr(10)) || chr(10))"
+
+
+def _around(text: str, at: str) -> str:
+    """SQL of the digest of a quote's context (30 code points from ``at``)."""
+    return "sha256(" + _normal(f"(substr({text}, greatest({at} - 64, 0) + 1, {at} - greatest({at} - 64, 0)) || chr(0) || substr({text}, {at} + 31, 64))") + ")"
+
+
+def _blob(data: bytes) -> str:
+    return f"from_hex('{data.hex()}')"
+
+
+_BLOCK = b"fixture-key".ljust(64, b"\0")
 SQL = {
+    "normalised_digests": f"""SELECT doc_id, sha256({_normal('text')}) AS text_sha256,
+sha256({_blob(bytes(b ^ 0x5C for b in _BLOCK))} || from_hex(sha256({_blob(bytes(b ^ 0x36 for b in _BLOCK))} || encode(text)))) AS token FROM documents""",
+    "reanchor_outcome": f"""WITH d AS (SELECT doc_id, text AS o, substr(text, 11, 30) AS q, string_split(text, ' ')[1] || ' ' || left(text, greatest(length(text) - 50, 0)::INT) AS n FROM documents WHERE length(text) >= 40),
+p AS (SELECT *, list_filter(range(0, greatest(length(n) - 29, 0)), lambda i: substr(n, i + 1, 30) = q) AS places FROM d),
+c AS (SELECT *, list_filter(places, lambda i: {_around('n', 'i')} = {_around('o', '10')}) AS alike, o = n OR (substr(n, 11, 30) = q AND length(n) >= 40) AS exact FROM p)
+SELECT doc_id, CASE WHEN exact THEN 'exact' WHEN len(places) = 0 THEN 'missing' WHEN len(places) = 1 OR len(alike) = 1 THEN 'unique_move' ELSE 'ambiguous' END AS outcome,
+CASE WHEN exact THEN 10 WHEN len(places) = 1 THEN places[1] WHEN len(alike) = 1 THEN alike[1] END::BIGINT AS new_start FROM c""",
     "content_dedupe": "SELECT sha256(text) AS address, min(doc_id) AS first_doc, count(*)::BIGINT AS copies FROM documents GROUP BY 1",
     "dangling_refs": "SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT min(doc_id) FROM documents GROUP BY sha256(text))",
     "pii_spans": f"WITH {_MERGED} SELECT * FROM spans",

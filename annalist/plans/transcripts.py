@@ -103,8 +103,27 @@ def srt_roundtrip(spark, sf_dir):
     return srt.parse(srt.render(_timed(spark, sf_dir))).select("record_id", F.col("idx").cast("long").alias("idx"), "start_ms", "end_ms", "speaker", "text", "problem")
 
 
-QUERIES = {f.__name__: f for f in (coverage_by_record, segment_spans, uncovered_segments, coverage_gate, transcript_profile, speaker_profile, block_plan, block_profile, project_fulltext, revision_identity, turn_contiguity, srt_roundtrip)}
+def srt_refusals(spark, sf_dir):
+    """Fixture convention: by record_id modulo 6, the second block of a rendered file has no time (1), begins too early (2),
+    ends too early (3), has no words (4), or its speaker's label stands on the second line (5)."""
+    rendered = srt.render(_timed(spark, sf_dir))
+    block = r"(?s)(\n\n2\n)(\S+) --> (\S+)\n(.*?)(?=\n\n3\n|\n*\z)"
+    swapped = {1: "$1$2 -> $3\n$4", 2: "$100:00:00,000 --> $3\n$4", 3: "$1$3 --> $2\n$4", 4: "$1$2 --> $3\nNAME:", 5: "$1$2 --> $3\nfirst\n$4"}
+    broken = F.col("srt")
+    for m, new in swapped.items():
+        broken = F.when(F.col("record_id") % 6 == m, F.regexp_replace("srt", block, new)).otherwise(broken)
+    return srt.accepted(srt.parse(rendered.select("record_id", broken.alias("srt"))))
+
+
+QUERIES = {f.__name__: f for f in (coverage_by_record, segment_spans, uncovered_segments, coverage_gate, transcript_profile, speaker_profile, block_plan, block_profile, project_fulltext, revision_identity, turn_contiguity, srt_roundtrip, srt_refusals)}
 SQL = {
+    "srt_refusals": f"""WITH {_ANCHORS_SQL}, t AS (SELECT record_id, idx, "start" * 10 AS a, "end" * 10 AS b FROM sp),
+u AS (SELECT record_id, idx, CASE WHEN idx <> 1 THEN a WHEN record_id % 6 = 1 THEN NULL WHEN record_id % 6 = 2 THEN 0 WHEN record_id % 6 = 3 THEN b ELSE a END AS a,
+             CASE WHEN idx <> 1 THEN b WHEN record_id % 6 = 1 THEN NULL WHEN record_id % 6 = 3 THEN a ELSE b END AS b, idx = 1 AND record_id % 6 = 4 AS empty FROM t),
+w AS (SELECT *, a < max(b) OVER o OR a < max(a) OVER o AS late FROM u WINDOW o AS (PARTITION BY record_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT record_id, idx, CASE WHEN a IS NULL THEN 'time' WHEN b < a THEN 'order' WHEN empty THEN 'empty' WHEN late THEN 'overlap' END AS problem FROM w)
+SELECT record_id, CASE WHEN count(problem) = 0 THEN count(*)::BIGINT END AS segments,
+coalesce(array_to_string(list(idx || ':' || problem ORDER BY idx) FILTER (problem IS NOT NULL)[1:5], ','), '') AS problems FROM p GROUP BY 1""",
     "coverage_by_record": f"""WITH {_ANCHORS_SQL}
 SELECT sp.record_id, count(hit.idx)::BIGINT AS covered, count(*)::BIGINT AS total, count(hit.idx) / count(*) AS ratio, count(hit.idx) / count(*) >= 0.5 AS passed
 FROM sp LEFT JOIN hit USING (record_id, idx) GROUP BY sp.record_id""",

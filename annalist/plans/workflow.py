@@ -19,8 +19,25 @@ def events(spark, sf_dir):
     return e.select(F.col("event_id").alias("seq"), F.expr(_CASE).alias("kind"), F.col("user_id").alias("record_id"), F.get_json_object("props", "$.k").cast("long").alias("payload"))
 
 
-def journal_chain(spark, sf_dir):
-    return journal.chain(events(spark, sf_dir))
+def journal_seal(spark, sf_dir):
+    return journal.seal(events(spark, sf_dir))
+
+
+def _tampered(spark, sf_dir):
+    """Fixture convention: by (7 seq + record_id) modulo 50, rows of a sealed journal are altered (0), lost (1), or begin
+    a chain of their own (2)."""
+    j = journal_seal(spark, sf_dir).withColumn("m", (F.col("seq") * 7 + F.col("record_id")) % 50).where("m <> 1")
+    fresh = F.sha2(journal.envelope(F.col("kind"), F.col("payload"), F.lit(journal.GENESIS), F.col("record_id"), F.col("seq")), 256)
+    return j.select("record_id", "seq", "kind", F.when(F.col("m") == 0, F.col("payload") + 1).otherwise(F.col("payload")).alias("payload"),
+                    F.when(F.col("m") == 2, journal.GENESIS).otherwise(F.col("prev")).alias("prev"), F.when(F.col("m") == 2, fresh).otherwise(F.col("digest")).alias("digest"))
+
+
+def journal_verify(spark, sf_dir):
+    return journal.verify(_tampered(spark, sf_dir))
+
+
+def journal_head(spark, sf_dir):
+    return journal.head(journal_seal(spark, sf_dir))
 
 
 def latest_by_kind(spark, sf_dir):
@@ -56,10 +73,12 @@ def workspace_status(spark, sf_dir):
 
 
 AXES = (("n/a", "bound", "drifted", "unknown"), ("n/a", "current", "stale", "unverifiable"), ("n/a", "accepted", "undecided", "rejected", "withdrawn"))
+#: With values that no axis knows, and none at all.
+WIDER = tuple((*a, "other", None) for a in AXES)
 
 
 def status_truth_table(spark, sf_dir):
-    d = spark.createDataFrame(list(product(*AXES)), "binding string, derivation string, decision string")
+    d = spark.createDataFrame(list(product(*WIDER)), "binding string, derivation string, decision string")
     return d.withColumn("status", journal.ladder(F.col("binding"), F.col("derivation"), F.col("decision"), F.lit(True)))
 
 
@@ -93,7 +112,7 @@ def recovery_matrix(spark, sf_dir):
     return d.withColumn("class", graph.recovery(*c))
 
 
-QUERIES = {f.__name__: f for f in (journal_chain, latest_by_kind, append_once, receipt_asof_decision, withdrawal_latch, replay_facts, artifact_status, workspace_status, status_truth_table, graph_upstream, egress_paths, next_steps, contract_totality, recovery_matrix)}
+QUERIES = {f.__name__: f for f in (journal_seal, journal_verify, journal_head, latest_by_kind, append_once, receipt_asof_decision, withdrawal_latch, replay_facts, artifact_status, workspace_status, status_truth_table, graph_upstream, egress_paths, next_steps, contract_totality, recovery_matrix)}
 
 _EV = f"ev AS (SELECT event_id AS seq, {_CASE} AS kind, user_id AS record_id, CAST(regexp_extract(props, '-?[0-9]+') AS BIGINT) AS payload FROM events)"
 _LATCH = "la AS (SELECT *, coalesce(last_value(CASE kind WHEN 'decision.withdrawn' THEN true WHEN 'record.registered' THEN false END IGNORE NULLS) OVER (PARTITION BY record_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS latched FROM ev)"
@@ -108,10 +127,19 @@ st AS (SELECT *, CASE WHEN derivation = 'unverifiable' THEN 'STOP' WHEN decision
 _STEPS = "s(step, kind, req, produces, gate) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{d}', {str(e).lower()})" for a, b, c, d, e in graph.STEPS) + ")"
 _EDGES = f"""{_STEPS}, need AS (SELECT step, unnest(string_split(req, ' ')) AS artifact FROM s WHERE req <> ''),
 ed AS (SELECT s.step AS source, need.step AS target FROM need JOIN s ON s.produces = need.artifact)"""
-_AXES = ", ".join(f"{n} AS (SELECT unnest([{', '.join(repr(v) for v in a)}]) AS {n})" for n, a in zip(("binding", "derivation", "decision"), AXES, strict=True))
+_AXES = ", ".join(f"{n} AS (SELECT unnest([{', '.join('NULL' if v is None else repr(v) for v in a)}]) AS {n})" for n, a in zip(("binding", "derivation", "decision"), WIDER, strict=True))
+_ENVELOPE = """'{"kind":"' || e.kind || '","payload":' || e.payload || ',"prev":"' || %s || '","record_id":' || e.record_id || ',"seq":' || e.seq || '}'"""
+_ZERO = "repeat('0', 64)"
+_SEALED = f"""{_EV}, nu AS (SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY seq) AS seq, kind, payload FROM ev),
+ch AS (SELECT e.record_id, e.seq, e.kind, e.payload, {_ZERO} AS prev, sha256({_ENVELOPE % _ZERO}) AS digest FROM nu e WHERE seq = 1
+  UNION ALL SELECT e.record_id, e.seq, e.kind, e.payload, ch.digest, sha256({_ENVELOPE % 'ch.digest'}) FROM ch JOIN nu e ON e.record_id = ch.record_id AND e.seq = ch.seq + 1)"""
 SQL = {
-    "journal_chain": f"""WITH {_EV}, d AS (SELECT seq, sha256('{{"kind":"' || kind || '","payload":' || payload || ',"record_id":' || record_id || ',"seq":' || seq || '}}') AS digest FROM ev)
-SELECT seq, digest, coalesce(lag(digest) OVER (ORDER BY seq), repeat('0', 64)) AS prev, coalesce(seq <> lag(seq) OVER (ORDER BY seq) + 1, false) AS gap FROM d""",
+    "journal_seal": f"WITH RECURSIVE {_SEALED} SELECT * FROM ch",
+    "journal_head": f"WITH RECURSIVE {_SEALED} SELECT record_id, max(seq) AS seq, arg_max(digest, seq) AS digest FROM ch GROUP BY 1",
+    "journal_verify": f"""WITH RECURSIVE {_SEALED}, m AS (SELECT *, (seq * 7 + record_id) % 50 AS m FROM ch),
+t AS (SELECT record_id, seq, kind, payload + (m = 0)::INT AS payload, CASE WHEN m = 2 THEN {_ZERO} ELSE prev END AS prev, CASE WHEN m = 2 THEN sha256({_ENVELOPE % _ZERO}) ELSE digest END AS digest FROM m e WHERE m <> 1),
+o AS (SELECT *, coalesce(lag(digest) OVER w, {_ZERO}) AS before, coalesce(lag(seq) OVER w, 0) AS number FROM t WINDOW w AS (PARTITION BY record_id ORDER BY seq))
+SELECT record_id, seq, CASE WHEN seq <> number + 1 THEN 'gap' WHEN prev <> before THEN 'link' WHEN digest <> sha256({_ENVELOPE % 'e.prev'}) THEN 'altered' END AS problem FROM o e""",
     "latest_by_kind": f"WITH {_EV} SELECT record_id, kind, max(seq) AS seq, arg_max(payload, seq) AS payload FROM ev GROUP BY 1, 2",
     "append_once": f"WITH {_EV} SELECT record_id, kind, payload, min(seq) AS seq FROM ev GROUP BY 1, 2, 3",
     "receipt_asof_decision": f"WITH {_EV} SELECT l.record_id, l.seq, r.seq AS decision_seq FROM (SELECT * FROM ev WHERE kind = 'artifact.produced') l ASOF LEFT JOIN (SELECT * FROM ev WHERE kind = 'decision.recorded') r ON l.record_id = r.record_id AND l.seq > r.seq",
@@ -120,7 +148,7 @@ SELECT seq, digest, coalesce(lag(digest) OVER (ORDER BY seq), repeat('0', 64)) A
     "artifact_status": f"WITH {_FACTS} SELECT * FROM st",
     "workspace_status": f"WITH {_FACTS} SELECT status, count(*)::BIGINT AS records, CASE status WHEN 'STOP' THEN 1 WHEN 'STALE' THEN 4 WHEN 'EXCLUDED' THEN 5 WHEN 'ACTION_NEEDED' THEN 6 ELSE 7 END AS rank FROM st GROUP BY 1",
     "status_truth_table": f"""WITH {_AXES} SELECT *, CASE WHEN binding = 'unknown' OR derivation = 'unverifiable' THEN 'STOP' WHEN decision IN ('rejected', 'withdrawn') THEN 'EXCLUDED' WHEN binding = 'drifted' THEN 'REVIEW_REQUIRED'
-WHEN derivation = 'stale' THEN 'STALE' WHEN decision = 'undecided' THEN 'ACTION_NEEDED' ELSE 'READY' END AS status FROM binding, derivation, decision""",
+WHEN derivation = 'stale' THEN 'STALE' WHEN decision = 'undecided' THEN 'ACTION_NEEDED' WHEN binding IN ('n/a', 'bound') AND derivation IN ('n/a', 'current') AND decision IN ('n/a', 'accepted') THEN 'READY' ELSE 'STOP' END AS status FROM binding, derivation, decision""",
     "graph_upstream": f"WITH RECURSIVE {_EDGES}, r AS (SELECT target AS step, source AS ancestor FROM ed UNION SELECT r.step, ed.source FROM r JOIN ed ON ed.target = r.ancestor) SELECT * FROM r",
     "egress_paths": f"""WITH RECURSIVE {_EDGES}, p AS (SELECT step AS model, step AS here, [step] AS path FROM s WHERE kind = 'model' UNION ALL
 SELECT p.model, ed.target, list_append(p.path, ed.target) FROM p JOIN ed ON ed.source = p.here WHERE NOT list_contains(p.path, ed.target))

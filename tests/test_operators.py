@@ -36,26 +36,40 @@ def test_srt_problems(spark):
         (1500, "INTERVIEWER", "Guten Tag", None), (1000, None, "x", "overlap"), (None, None, "y", "time"), (4000, "NARRATOR", "", "empty"), (9000, None, "z", "order")]
 
 
-def test_reanchor():
-    assert anchors.reanchor("abcdef", 1, 3, "abcdef") == ("exact", 1)
-    assert anchors.reanchor("abcdef", 1, 3, "zzabcdef") == ("unique_move", 3)
-    assert anchors.reanchor("abcdef", 1, 3, "bczbc") == ("ambiguous", None)
-    assert anchors.reanchor("abcdef", 1, 3, "xyz") == ("missing", None)
-    assert anchors.reanchor(None, 1, 3, "xyz") == ("missing", None)
+def test_reanchor(spark):
+    cases = [("abcdef", 1, 3, "abcdef", "exact", 1), ("abcdef", 1, 3, "zzabcdef", "unique_move", 3), ("abcdef", 1, 3, "bczbc", "ambiguous", None), ("abcdef", 1, 3, "xyz", "missing", None),
+             (None, 1, 3, "xyz", "missing", None), ("abcdef", 1, 3, None, "missing", None), ("xaay", 1, 3, "aa b aa", "ambiguous", None), ("a.\\E*b", 1, 5, "zz.\\E*", "unique_move", 2), ("pbcq", 1, 3, "bcz pbcq", "ambiguous", None)]
+    d = spark.createDataFrame([c[:4] for c in cases], "o string, s int, e int, n string")
+    got = [tuple(r) for r in d.select(anchors.reanchored(F.col("o"), F.col("s"), F.col("e"), F.col("n")).alias("r")).select("r.outcome", "r.new_start").collect()]
+    assert got == [c[4:] for c in cases]
 
 
-def test_chain_tells_gaps(spark):
-    e = spark.createDataFrame([(1, "a", 1, 5), (2, "b", 1, 6), (4, "c", 2, 7)], "seq long, kind string, record_id long, payload long")
-    got = journal.chain(e).orderBy("seq").collect()
-    assert [r.gap for r in got] == [False, False, True]
-    assert got[1].prev == got[0].digest and got[0].prev == journal.GENESIS
+def test_occurrences_overlap_and_are_literal(spark):
+    cases = [("aaaa", "aa", [0, 1, 2]), ("é😀aé😀", "é😀", [0, 3]), ("a.b", "a.", [0]), ("axb", "a.", []), ("", "a", []), ("ab", "", []), ("x\\Ey", "\\E", [1])]
+    d = spark.createDataFrame([c[:2] for c in cases], "t string, q string")
+    assert [r[0] for r in d.select(T.occurrences(F.col("t"), F.col("q"))).collect()] == [c[2] for c in cases]
+
+
+def test_sealed_journal_tells_tampering(spark):
+    e = spark.createDataFrame([(k, "a", 1 + k % 2, k) for k in range(1, 13)], "seq long, kind string, record_id long, payload long")
+    j = journal.seal(e).cache()
+    problems = lambda d: sorted((r.record_id, r.seq, r.problem) for r in journal.verify(d).collect() if r.problem)
+    assert j.count() == 12 and problems(j) == []
+    here = (F.col("record_id") == 1) & (F.col("seq") == 3)
+    assert problems(j.withColumn("payload", F.when(here, 99).otherwise(F.col("payload")))) == [(1, 3, "altered")]
+    assert problems(j.where(~here)) == [(1, 4, "gap")]
+    assert problems(j.withColumn("digest", F.when(here, "x").otherwise(F.col("digest")))) == [(1, 3, "altered"), (1, 4, "link")]
+    first = journal.GENESIS
+    assert {r.prev for r in j.where("seq = 1").collect()} == {first} and journal.head(j).where("record_id = 2").first().seq == 6
 
 
 def test_ready_rows_of_the_ladder(spark):
     from annalist.plans.workflow import status_truth_table
 
     found = [r.status for r in status_truth_table(spark, "").collect()]
-    assert len(found) == 80 and found.count("READY") == 8
+    assert len(found) == 6 * 6 * 7 and found.count("READY") == 8
+    unknown = spark.createDataFrame([(None, "current", "accepted"), ("bound", "other", "accepted"), ("bound", "current", None)], "b string, d string, c string")
+    assert {r[0] for r in unknown.select(journal.ladder(F.col("b"), F.col("d"), F.col("c"), F.lit(True))).collect()} == {"STOP"}
 
 
 def test_every_egress_path_has_a_gate(spark):
