@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from annalist.plans import documents, evidence, transcripts, workflow
+from annalist.plans import documents, evidence, governance, transcripts, workflow
 
-_MODULES = (transcripts, documents, workflow, evidence)
+_MODULES = (transcripts, documents, workflow, evidence, governance)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
