@@ -35,14 +35,18 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     return F.sha2(F.concat(F.lit(bytearray(outer)), F.unhex(F.sha2(F.concat(F.lit(bytearray(inner)), message.cast("binary")), 256))), 256)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, though lambdas inside use it for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def occurrences(text: Column, quote: Column) -> Column:
     """0-based places of all occurrences of the quote, overlapping ones too.
 
     The text is cut before each occurrence in one pass (a look-ahead of the quoted text); places are what lies before.
     """
     ahead = F.concat(F.lit(r"(?=\Q"), F.replace(quote, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
-    pieces = F.split(text, ahead, -1)
-    cuts = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda _, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x)))
+    cuts = let(F.split(text, ahead, -1), lambda pieces: F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda _, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x))))
     first = F.when(F.startswith(text, quote), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
     return F.when(F.length(quote) > 0, F.concat(first, F.filter(cuts, lambda i: i > 0))).otherwise(F.array().cast("array<int>"))
 
