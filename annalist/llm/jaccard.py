@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.llm.common import Scratch, frames, released, table, width, word_hashes
+from annalist.llm.common import HOT_ROWS, Scratch, frames, hot_keys, released, table, width, word_hashes
 from annalist.llm.components import connected_components
 
 #: Counters by which shingles are ordered from rare to frequent: bounded whatever the corpus, equal for all documents.
@@ -95,8 +96,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def index_entries(docs: DataFrame, n: int, num: int, den: int, hits: np.ndarray) -> DataFrame:
-    """token, node, n, pos: the prefix of every set in the common order (rare counters first, then by hash)."""
+def index_entries(docs: DataFrame, n: int, num: int, den: int, hits: np.ndarray, least: int = 0) -> DataFrame:
+    """token, node, n, pos: the prefix of every set in the common order (rare counters first, then by hash); with ``least``
+    only tokens whose counter is above it."""
     sent = docs.sparkSession.sparkContext.broadcast(hits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,11 +116,13 @@ def index_entries(docs: DataFrame, n: int, num: int, den: int, hits: np.ndarray)
                     continue
                 seen.add(node)
                 p = prefix(len(s), num, den)
-                order = np.lexsort((s, rank[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:p]
-                tokens.append(s[order].view(np.int64))
-                nodes += [node] * p
-                sizes.append(np.full(p, len(s), np.int32))
-                places.append(np.arange(p, dtype=np.int32))
+                own = rank[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                order = np.lexsort((s, own))[:p]
+                place = np.flatnonzero(own[order] > least)
+                tokens.append(s[order[place]].view(np.int64))
+                nodes += [node] * len(place)
+                sizes.append(np.full(len(place), len(s), np.int32))
+                places.append(place.astype(np.int32))
             if tokens:
                 yield from frames(token=np.concatenate(tokens), node=nodes, n=np.concatenate(sizes), pos=np.concatenate(places))
 
@@ -190,9 +194,9 @@ def deal(shared: DataFrame, num: int, den: int) -> DataFrame:
 
     Every pair of blocks whose sizes can link is a group; others are skipped. ``side`` tells the blocks of a pair.
     """
-    small = shared.where(F.col("cnt") <= BLOCK).withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
+    small = shared.where(F.col("cnt") <= BLOCK).withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long"), "side": F.lit(0)})
     by_size = W.partitionBy("token").orderBy("n", "pos", "node")
-    large = shared.where(F.col("cnt") > BLOCK).withColumn("b", ((F.row_number().over(by_size) - 1) / BLOCK).cast("int"))
+    large = shared.where(F.col("cnt") > BLOCK).withColumn("b", ((F.row_number().over(by_size) - 1) / BLOCK).cast("long"))
     ranges = large.groupBy("token", "b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     ranges = ranges.groupBy("token").agg(F.collect_list(F.struct("b", "lo", "hi")).alias("blocks"))  # one per BLOCK entries
     mine = F.expr("filter(blocks, x -> x.b = b)[0]")
@@ -203,10 +207,29 @@ def deal(shared: DataFrame, num: int, den: int) -> DataFrame:
     return small.unionByName(large.drop("blocks", "mine", "x", "b"))
 
 
+def deal_hot(hot: DataFrame, num: int, den: int, pairs: bool) -> DataFrame:
+    """Index lists of very common shingles as groups (token, i, j) of bounded size, without ever sorting a whole list.
+
+    Entries of a list are dealt by class of size (sets of classes that aren't the same or next to each other can't link)
+    and within it by hash to blocks of about BLOCK. Groups are single blocks, or with ``pairs`` all pairs of blocks whose
+    classes can link. Rows per list and class are counted before the shuffle.
+    """
+    size = F.floor(F.log("n") / math.log(den / num) + 1e-9).cast("long")
+    h = hot.withColumn("c", size)
+    blocks = h.groupBy("token", "c").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))  # hot tokens (see hot_keys) times classes
+    h = h.join(F.broadcast(blocks), ["token", "c"]).withColumn("b", F.col("c") * (1 << 40) + F.pmod(F.xxhash64("node"), "nb"))
+    if not pairs:
+        return h.withColumns({"i": F.col("b"), "j": F.col("b"), "side": F.lit(0)}).drop("c", "nb", "b")
+    near = blocks.select("token", F.col("c").alias("oc"), F.col("nb").alias("on"))
+    h = h.join(F.broadcast(near), "token").where(F.abs(F.col("c") - F.col("oc")) <= 1)
+    h = h.withColumn("x", F.explode(F.sequence(F.col("oc") * (1 << 40), F.col("oc") * (1 << 40) + F.col("on") - 1)))
+    h = h.withColumns({"i": F.least("b", "x"), "j": F.greatest("b", "x")}).withColumn("side", (F.col("b") != F.col("i")).cast("int"))
+    return h.drop("c", "nb", "b", "oc", "on", "x")
+
+
 def candidate_pairs(dealt: DataFrame, num: int, den: int, foreign: bool) -> DataFrame:
     """Distinct pairs (a, b) from sorted groups: a spanning forest of each, or all pairs of different roots."""
-    columns = ["token", "i", "j", "side", "node", "n", "pos", "bits", "root"]
-    rows = dealt.select(*columns).repartition(width(dealt.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "pos", "node")
+    rows = dealt.select("token", "i", "j", "side", "node", "n", "pos", "bits", "root").repartition(width(dealt.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "pos", "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs: set = set()
@@ -278,8 +301,11 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
        lists of a shingle that one node alone has are dropped.
     2. Lists of two give their pair. Longer ones are cut into bounded blocks, pairs are skipped by size, position
        and parity map, and only a spanning forest of what remains is verified.
+       The list of a very common shingle (more than HOT_ROWS sets, or one in 10,000 entries) is dealt to blocks by
+       size and hash instead of being sorted; each block has a forest of its own.
     3. Where all pairs of a forest are verified, its answers decide those of all pairs in that list. Lists with a
-       pair that failed are read again, and all remaining pairs between different components are verified.
+       pair that failed, and common ones with more than one component, are read again, and all remaining pairs between
+       different components are verified.
 
     Sets are hashed to 64 bits a shingle and 96 bits a set. An empty table gives an empty result.
     """
@@ -292,9 +318,17 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
     hits[counted["bucket"].to_numpy()] = counted["hits"].to_numpy()
     meta = pass1.where(F.col("bucket").isNull())
     nodes = box.save(meta.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+    # very common shingles are told apart first: their lists would be sorted in one task each
+    limit, hot = max(HOT_ROWS, int(hits.sum()) // 10_000), None
+    if (hits > limit).any():
+        maybe = box.save(index_entries(docs, n, num, den, hits, limit).dropDuplicates(["token", "node"]), "maybe")
+        common = box.save(hot_keys(maybe, "token", HOT_ROWS).select("token"), "common")  # 10,000 rows at most
+        hot = maybe.join(F.broadcast(common), "token", "left_semi")
     # lists in order of size: repeated nodes fall together and go, then nodes that are alone in their list
     in_list = W.partitionBy("token").orderBy("n", "node")
-    entries = index_entries(docs, n, num, den, hits).withColumn("same", F.lag("node").over(in_list)).where(F.col("same").isNull() | (F.col("same") != F.col("node"))).drop("same")
+    entries = index_entries(docs, n, num, den, hits)
+    entries = entries if hot is None else entries.join(F.broadcast(common), "token", "left_anti")
+    entries = entries.withColumn("same", F.lag("node").over(in_list)).where(F.col("same").isNull() | (F.col("same") != F.col("node"))).drop("same")
     entry = F.struct("node", "n", "pos")
     shared = entries.withColumns({"before": F.lag(entry).over(in_list), "behind": F.lead("node").over(in_list)})
     shared = shared.where(F.col("before").isNotNull() | F.col("behind").isNotNull()).drop("behind")
@@ -305,7 +339,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
     twos = shared.where((F.col("cnt") == 2) & x.isNotNull() & fits).select(F.least(x["node"], F.col("node")).alias("a"), F.greatest(x["node"], F.col("node")).alias("b")).distinct()
     lists = shared.where("cnt > 2").drop("before")
     bits = nodes.select("node", "bits")
-    forest = candidate_pairs(deal(lists, num, den).join(bits, "node").withColumn("root", F.lit(None).cast("binary")), num, den, False)
+    columns = ["token", "i", "j", "side", "node", "n", "pos"]
+    dealt = deal(lists, num, den).select(*columns)
+    dealt = dealt if hot is None else dealt.unionByName(deal_hot(hot, num, den, False).select(*columns))
+    forest = candidate_pairs(dealt.join(bits, "node").withColumn("root", F.lit(None).cast("binary")), num, den, False)
     pairs = box.save(twos.unionByName(forest).distinct(), "pairs")
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
@@ -316,10 +353,16 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
     box.drop("sets", "pairs")
     roots = box.save(connected_components(checked.where("linked").select("a", "b")), "roots")
     failed = checked.where(~F.col("linked")).select("a", "b")
-    if not failed.isEmpty():
+    if hot is not None or not failed.isEmpty():
         doubtful = failed.select(F.col("a").alias("node")).unionByName(failed.select(F.col("b").alias("node"))).distinct()
         tokens = lists.join(doubtful, "node", "left_semi").select("token").distinct()
-        again = deal(lists.join(tokens, "token", "left_semi"), num, den).join(bits, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        again = deal(lists.join(tokens, "token", "left_semi"), num, den).select(*columns)
+        if hot is not None:
+            # a list in which all sets are of one component has nothing left to find
+            parts = hot.join(roots, "node", "left").groupBy("token").agg(F.min(F.coalesce("root", "node")).alias("a"), F.max(F.coalesce("root", "node")).alias("b"))
+            several = box.save(parts.where("a <> b").select("token"), "several")
+            again = again.unionByName(deal_hot(hot.join(F.broadcast(several), "token", "left_semi"), num, den, True).select(*columns))
+        again = again.join(bits, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         more = box.save(candidate_pairs(again, num, den, True).join(failed, ["a", "b"], "left_anti"), "more")
         late = box.save(verify(more, sets_of(more, "late_sets"), num, den), "late")
         box.drop("late_sets")

@@ -56,9 +56,11 @@ def components(sets, num, den):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "threshold", "block"), [(4, (85, 100), 1024), (5, (80, 100), 1024), (4, (85, 100), 3)])
-def test_jaccard(spark, monkeypatch, n, threshold, block):
+@pytest.mark.parametrize(("n", "threshold", "block", "hot"), [(4, (85, 100), 1024, 10_000), (5, (80, 100), 1024, 10_000), (4, (85, 100), 3, 10_000), (4, (85, 100), 3, 4), (5, (80, 100), 1024, 2)])
+def test_jaccard(spark, monkeypatch, n, threshold, block, hot):
+    """``hot``: entries of a list from which it is dealt by hash instead of sorted."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "HOT_ROWS", hot)
     rows = documents()
     # near copies in a chain, so that some forest pairs fail and others must be found
     base = [f"v{k}" for k in range(60)]
