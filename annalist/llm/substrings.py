@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.llm.common import Scratch, frames, released, table, width, word_hashes
+from annalist.llm.common import Scratch, frames, hot_keys, released, salted, table, width, word_hashes
 
 #: Words of the grams among which anchors are chosen.
 GRAM = 8
@@ -291,7 +291,8 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     spans = shards.mapInPandas(released(stream), f"doc_id {kind}, sha binary, begin int, end int")
     wins = cut.where(F.col("win").isNotNull()).select("doc_id", "sha", F.explode("win").alias("w")).select("doc_id", "sha", "w.h", "w.begin")
     least = wins.groupBy("h").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id")).where(F.col("least_id") != F.col("most_id")).drop("most_id")
-    common = wins.join(least, "h").where(F.col("doc_id") > F.col("least_id")).select("doc_id", "sha", "begin", (F.col("begin") + window).alias("end"))
+    # a window that very many documents have is dealt to many tasks
+    common = salted(wins, least, "h", hot_keys(wins, "h"), F.col("doc_id")).where(F.col("doc_id") > F.col("least_id")).select("doc_id", "sha", "begin", (F.col("begin") + window).alias("end"))
     all_spans = spans.unionByName(common).unionByName(copies.select("doc_id", "sha", F.lit(0).alias("begin"), F.col("words").alias("end")))
     return box.save(all_spans.groupBy("doc_id", "sha").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans")), "spans")
 
