@@ -91,9 +91,11 @@ def forward(lattice: Lattice, words: list[str], probs: np.ndarray) -> np.ndarray
     """
     out = np.zeros((len(words), len(probs)))
     short = [i for i, w in enumerate(words) if len(w) < LONG]
-    for i, w in enumerate(words):
-        if len(w) >= LONG:
-            out[i] = _long(lattice, w, np.log(probs))[0][-1]
+    if len(short) < len(words):
+        logs = np.log(probs)
+        for i, w in enumerate(words):
+            if len(w) >= LONG:
+                out[i] = _long(lattice, w, logs)[0][-1]
     if short:
         begin, end, piece, offset, _, first, last = lattice.edges([words[i] for i in short])
         a = np.zeros((int(last[-1]) + 1, len(probs)))
@@ -289,7 +291,13 @@ def held_out(key: str = "doc_id") -> F.Column:
 
 
 def identify(docs: DataFrame, path: str = PIECES) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: learns from rows that aren't held out, then predicts every row."""
+    """doc_id, held_out, lang_pred, score: learns from rows that aren't held out, then predicts every row.
+
+    Null texts and texts without a letter: ``und``, 0. Rows without a language teach nothing; if none has one, every row is
+    ``und``. Texts of any length are read whole. Repeated rows count as often as they come, and get equal predictions;
+    ties go to the language first by name. An empty table gives an empty result; other columns are ignored, whatever
+    their names. A null doc_id isn't held out.
+    """
     model = train(docs.where(~held_out()), path)
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 

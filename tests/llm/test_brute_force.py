@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -199,6 +200,50 @@ def test_segmentations_are_summed():
     assert np.allclose(langid.expected(lattice, words, np.full(4, 3.0), p[0]), want)
 
 
+def test_language_of_whole_texts(spark):
+    """All predictions of a small table against plain sums over segmentations, from EM on."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the hat", "en"), ("le chat et le chapeau", "fr"), ("the end", "en"), ("la fin", "fr"), ("the " + "x" * 45 + " y", "en"), ("chat hat", None), ("", "en"), (None, "fr"), ("12 !", None)] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces = langid.load_pieces()
+    v = len(pieces)
+
+    def edges(word):
+        s = langid.MARK + word
+        return [(a, b, k if (k := pieces.get(s[a:b])) is not None else v) for b in range(1, len(s) + 1) for a in range(b) if s[a:b] in pieces or (b == a + 1 and s[a:b] != langid.MARK)], len(s)
+
+    def sums(word, p):
+        e, n = edges(word)
+        f, g = np.zeros(n + 1), np.zeros(n + 1)
+        f[0] = g[n] = 1
+        for a, b, k in sorted(e, key=lambda x: x[1]):
+            f[b] += f[a] * p[k]
+        for a, b, k in sorted(e, key=lambda x: -x[0]):
+            g[a] += p[k] * g[b]
+        return f, g, e
+
+    langs = ["en", "fr"]
+    told = [r for r in rows if r[2] is not None and r[1] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    words = {x: Counter(w for _, t, lang in told if lang == x for w in langid.letters(t)) for x in langs}
+    probs = np.full((2, v + 1), 1 / (v + 1))
+    for _ in range(2):
+        counts = np.full(probs.shape, 0.05)
+        for i, x in enumerate(langs):
+            for w, n in words[x].items():
+                f, g, e = sums(w, probs[i])
+                for a, b, k in e:
+                    counts[i, k] += n * f[a] * probs[i, k] * g[b] / f[-1]
+        probs = counts / counts.sum(1, keepdims=True)
+    prior = np.array([words[x].total() for x in langs], float)
+    want = {}
+    for i, t, _ in rows:
+        w = langid.letters(t)
+        total = np.log(prior / prior.sum()) + sum(np.array([np.log(sums(x, p)[0][-1]) for p in probs]) for x in w)
+        want[i] = (langs[int(total.argmax())], 1 / np.exp(total - total.max()).sum()) if w else ("und", 0.0)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-6 for i in want)
+
+
 def test_held_out_accuracy(spark):
     truth = dict(sql("SELECT doc_id, lang FROM documents")[1])
     found = [r for r in catalog.QUERIES["op1_language_id"](spark, DATA).collect() if r.held_out]
