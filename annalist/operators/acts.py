@@ -48,18 +48,26 @@ def key_gate(prefix: str, digits: int, kinds: list[str]) -> Column:
     )
 
 
-def derivation(artifacts: DataFrame, last: DataFrame) -> DataFrame:
+def derivation(artifacts: DataFrame, last: DataFrame, gate: bool = False) -> DataFrame:
     """record_id, artifact, kind, sha256 of what a derivation appends: artifact.produced, anchor.checked if it is bound, and
-    receipt.recorded; nothing that is current already.
+    receipt.recorded, and for a ``gate`` decision.recorded too; nothing that is current already.
 
     Artifacts: record_id, artifact, sha256, bind; last: record_id, artifact, kind, sha256 of the latest event of each kind.
     """
-    kinds = F.array(F.lit("artifact.produced"), F.when(F.col("bind"), F.lit("anchor.checked")), F.lit("receipt.recorded"))
+    decision = [F.lit("decision.recorded")] if gate else []
+    kinds = F.array(F.lit("artifact.produced"), *decision, F.when(F.col("bind"), F.lit("anchor.checked")), F.lit("receipt.recorded"))
     rows = artifacts.select("record_id", "artifact", "sha256", F.explode(F.array_compact(kinds)).alias("kind"))
     j = rows.join(last.select("record_id", "artifact", "kind", F.col("sha256").alias("now")), ["record_id", "artifact", "kind"], "left")
     return j.where(F.when(F.col("kind") == "anchor.checked", F.col("now").isNull()).otherwise(~F.col("now").eqNullSafe(F.col("sha256")))).select("record_id", "artifact", "kind", "sha256")
 
 
+def differences(stored: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows (with ``side``: stored or again) that a package has and its recomputation hasn't, or the other way round, repeated
+    rows counted; none: the package is verified."""
+    again = again.select(stored.columns)
+    return stored.exceptAll(again).withColumn("side", F.lit("stored")).unionByName(again.exceptAll(stored).withColumn("side", F.lit("again")))
+
+
 def moved_inputs(planned: DataFrame, current: DataFrame) -> DataFrame:
     """record_id, artifact, planned, now: inputs of a plan that are others by now, or not usable any more (null)."""
     j = planned.select("record_id", "artifact", F.col("sha256").alias("planned")).join(current.select("record_id", "artifact", F.col("sha256").alias("now")), ["record_id", "artifact"], "left")

@@ -77,6 +77,33 @@ def latch(events: DataFrame, sets: Column, clears: Column) -> DataFrame:
     return events.withColumn("latched", F.coalesce(F.last(turn, ignorenulls=True).over(before), F.lit(False)))
 
 
+def decide(decisions: DataFrame) -> DataFrame:
+    """``decisions`` with ``effective`` and ``withdrawal``: which acts of a record's artifact count, in journal order.
+
+    A WITHDRAW always counts and blocks what follows. An UNDO counts only by an active human (``human``) and if it names the
+    withdrawal that blocks then (``undo_of``); it lifts the block. ACCEPT and REJECT count while nothing blocks.
+    ``withdrawal``: the one that blocks after the act (its seq, else null). Rows: record_id, artifact, seq, verdict, undo_of,
+    human. The block is always the last withdrawal, until it is undone: two windows by artifact, no fold.
+    """
+    before = W.partitionBy("record_id", "artifact").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    is_withdraw = F.col("verdict") == "WITHDRAW"
+    d = decisions.withColumn("last", F.last(F.when(is_withdraw, F.col("seq")), ignorenulls=True).over(before))
+    lifts = F.coalesce((F.col("verdict") == "UNDO") & F.col("human") & (F.col("undo_of") == F.col("last")), F.lit(False))
+    since = W.partitionBy("record_id", "artifact", "last").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumn("lifts", lifts).withColumn("lifted", F.coalesce(F.bool_or("lifts").over(since), F.lit(False)))
+    blocked = F.col("last").isNotNull() & ~F.col("lifted")
+    effective = F.when(is_withdraw, True).when(F.col("verdict") == "UNDO", F.col("lifts") & blocked).otherwise(~blocked)
+    after = F.when(is_withdraw, F.col("seq")).when(blocked & ~F.col("lifts"), F.col("last"))
+    return d.withColumns({"effective": effective, "withdrawal": after}).drop("last", "lifts", "lifted")
+
+
+def effective(decided: DataFrame) -> DataFrame:
+    """record_id, artifact, seq, verdict of the last act that counts, and withdrawn: whether the artifact is blocked."""
+    return decided.groupBy("record_id", "artifact").agg(
+        F.max(F.when(F.col("effective"), F.col("seq"))).alias("seq"), F.max_by(F.when(F.col("effective"), F.col("verdict")), F.when(F.col("effective"), F.col("seq"))).alias("verdict"),
+        F.max_by(F.col("withdrawal").isNotNull(), "seq").alias("withdrawn"))
+
+
 def facts(events: DataFrame) -> DataFrame:
     """Per record, what replay leaves: last source, last produced bytes, effective decision, withdrawal.
 

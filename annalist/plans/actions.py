@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annalist.operators import acts, planning
+from annalist.plans.documents import _MERGED, render_report
 from annalist.plans.workflow import _EV, _FACTS, _SEALED, artifact_status, events, journal_seal
 from annalist.sources import ingest
 from annalist.sources.tables import read
@@ -89,6 +90,21 @@ def derivation_events(spark, sf_dir):
     return acts.derivation(_artifacts(spark, sf_dir), last)
 
 
+def gate_events(spark, sf_dir):
+    """Gates against the journal of ``derivation_events``, whose decisions are the table's withdrawals."""
+    e = events(spark, sf_dir).where("kind in ('source.ingested', 'decision.withdrawn')")
+    kind = F.when(F.col("kind") == "source.ingested", "artifact.produced").otherwise("decision.recorded")
+    last = e.groupBy("record_id", F.concat(F.lit("a"), (F.col("payload") % 4).cast("string")).alias("artifact"), kind.alias("kind")).agg(_SHA(F.max_by(F.col("payload") % 10, "seq")).alias("sha256"))
+    return acts.derivation(_artifacts(spark, sf_dir), last, True)
+
+
+def package_differences(spark, sf_dir):
+    """Reports of documents as stored, of which every fifth entry was changed and every seventh is lost, against a new rendering."""
+    again = render_report(spark, sf_dir).select("doc_id", "start", "value")
+    stored = again.where("start % 7 > 0").select("doc_id", "start", F.when(F.col("start") % 5 == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value")).alias("value"))
+    return acts.differences(stored, again)
+
+
 def moved_inputs(spark, sf_dir):
     a = _artifacts(spark, sf_dir)
     p = events(spark, sf_dir).where("kind = 'decision.recorded'").groupBy("record_id", F.concat(F.lit("a"), (F.col("payload") % 5).cast("string")).alias("artifact")).agg(_SHA(F.max_by(F.col("payload") % 10, "seq")).alias("sha256"))
@@ -134,7 +150,7 @@ def reports(spark, sf_dir):
     return s.select("record_id", text.alias("report"))
 
 
-QUERIES = {f.__name__: f for f in (ingest_plan, ingest_events, observed_inputs, key_sets, decision_check, key_gate, derivation_events, moved_inputs, resolved_humans, confirmed_texts, release_digests, human_history, reports)}
+QUERIES = {f.__name__: f for f in (ingest_plan, ingest_events, observed_inputs, key_sets, decision_check, key_gate, derivation_events, gate_events, package_differences, moved_inputs, resolved_humans, confirmed_texts, release_digests, human_history, reports)}
 
 _H = lambda x: f"sha256(CAST({x} AS VARCHAR))"
 _PLAN = """f AS (SELECT page_id AS n, page_id % 50 AS record_id, page_id % 5 AS m, CASE WHEN page_id % 5 < 2 THEN encode('1' || chr(10) || '00:00:01,000 --> 00:00:0' || page_id % 3 || ',500' || chr(10) || 'A: ' || page_id || chr(10))
@@ -160,6 +176,11 @@ WHEN payload % 5 = 0 THEN 'KIND_NOT_IN_ACTIVE_GRAPH' END AS reason FROM ev""",
     "derivation_events": f"""WITH {_EV}, {_ART}, l AS (SELECT record_id, 'a' || payload % 4 AS artifact, CASE kind WHEN 'source.ingested' THEN 'artifact.produced' WHEN 'decision.recorded' THEN 'receipt.recorded' ELSE 'anchor.checked' END AS kind, {_H('arg_max(payload % 10, seq)')} AS now
  FROM ev WHERE kind IN ('source.ingested', 'decision.recorded', 'record.registered') GROUP BY 1, 2, 3), r AS (SELECT record_id, artifact, sha256, unnest(CASE WHEN bind THEN ['artifact.produced', 'anchor.checked', 'receipt.recorded'] ELSE ['artifact.produced', 'receipt.recorded'] END) AS kind FROM ar)
 SELECT record_id, artifact, kind, sha256 FROM r LEFT JOIN l USING (record_id, artifact, kind) WHERE CASE WHEN kind = 'anchor.checked' THEN now IS NULL ELSE now IS DISTINCT FROM sha256 END""",
+    "gate_events": f"""WITH {_EV}, {_ART}, l AS (SELECT record_id, 'a' || payload % 4 AS artifact, CASE kind WHEN 'source.ingested' THEN 'artifact.produced' ELSE 'decision.recorded' END AS kind, {_H('arg_max(payload % 10, seq)')} AS now
+ FROM ev WHERE kind IN ('source.ingested', 'decision.withdrawn') GROUP BY 1, 2, 3), r AS (SELECT record_id, artifact, sha256, unnest(list_concat(['artifact.produced', 'decision.recorded', 'receipt.recorded'], CASE WHEN bind THEN ['anchor.checked'] ELSE [] END)) AS kind FROM ar)
+SELECT record_id, artifact, kind, sha256 FROM r LEFT JOIN l USING (record_id, artifact, kind) WHERE CASE WHEN kind = 'anchor.checked' THEN now IS NULL ELSE now IS DISTINCT FROM sha256 END""",
+    "package_differences": f"""WITH {_MERGED} SELECT doc_id, "start", value || CASE WHEN "start" % 5 = 0 THEN '!' ELSE '' END AS value, 'stored' AS side FROM rep WHERE "start" % 7 > 0 AND "start" % 5 = 0
+UNION ALL SELECT doc_id, "start", value, 'again' FROM rep WHERE "start" % 7 = 0 OR "start" % 5 = 0""",
     "moved_inputs": f"""WITH {_EV}, {_ART}, p AS (SELECT record_id, 'a' || payload % 5 AS artifact, {_H('arg_max(payload % 10, seq)')} AS planned FROM ev WHERE kind = 'decision.recorded' GROUP BY 1, 2)
 SELECT record_id, artifact, planned, sha256 AS now FROM p LEFT JOIN ar USING (record_id, artifact) WHERE planned IS DISTINCT FROM sha256""",
     "resolved_humans": f"""WITH {_EV} SELECT seq AS request, CASE WHEN payload % 3 > 0 AND payload < 60 AND payload % 4 > 0 AND payload % 5 > 0 THEN 'c' || payload END AS actor,

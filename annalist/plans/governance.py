@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.functions.text import decision_id
@@ -29,6 +30,26 @@ _DECISIONS = f"""de AS (SELECT record_id, seq, 'DEC-' || payload % 4 AS referenc
 CASE WHEN payload % 3 = 0 THEN 'l1.adjudicated' ELSE 'transcript.confirmed' END AS artifact, {_AT_SQL} AS at_, 'DEC-' || payload % 4 || '@' || left(sha256(CAST(payload % 20 AS VARCHAR)), 12) AS id FROM ev WHERE kind = 'decision.recorded')"""
 
 
+def _acts_of_decision(spark, sf_dir):
+    """Decisions and withdrawals of two artifacts a record; by payload modulo 6 decisions accept, reject (0) or undo (1, 2): the
+    last withdrawal before them, or by modulo 5 (0) another event; by modulo 7 (0) no human acts."""
+    e = events(spark, sf_dir).where("kind in ('decision.recorded', 'decision.withdrawn')")
+    p = F.col("payload")
+    e = e.withColumn("artifact", F.when(F.col("seq") % 2 == 0, "a").otherwise("b"))
+    verdict = F.when(F.col("kind") == "decision.withdrawn", "WITHDRAW").when(p % 6 == 0, "REJECT").when(p % 6 <= 2, "UNDO").otherwise("ACCEPT")
+    before = W.partitionBy("record_id", "artifact").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    named = F.last(F.when(F.col("kind") == "decision.withdrawn", F.col("seq")), ignorenulls=True).over(before) - F.when(p % 5 == 0, 1).otherwise(0)
+    return e.select("record_id", "artifact", "seq", verdict.alias("verdict"), F.when(verdict == "UNDO", named).alias("undo_of"), (p % 7 != 0).alias("human"))
+
+
+def decided_acts(spark, sf_dir):
+    return journal.decide(_acts_of_decision(spark, sf_dir)).select("record_id", "artifact", "seq", "effective", "withdrawal")
+
+
+def effective_decisions(spark, sf_dir):
+    return journal.effective(journal.decide(_acts_of_decision(spark, sf_dir)))
+
+
 def _receipts(spark, sf_dir):
     """Receipts that break one rule or another, by payload."""
     e = events(spark, sf_dir).where("kind = 'artifact.produced'")
@@ -204,7 +225,7 @@ def bundle_chain(spark, sf_dir):
     return recovery.bundle(ids.select("record_id", at("approved").alias("address")), objects)
 
 
-QUERIES = {f.__name__: f for f in (receipt_check, receipt_binding, egress_inheritance, status_explanations, gate_conjunction, record_status, workspace_worst, usable_artifacts, adoption_check, ledger_owners, owner_counts,
+QUERIES = {f.__name__: f for f in (decided_acts, effective_decisions, receipt_check, receipt_binding, egress_inheritance, status_explanations, gate_conjunction, record_status, workspace_worst, usable_artifacts, adoption_check, ledger_owners, owner_counts,
                                    ledger_against_journal, uncertain_intents, operation_events, prepared_completed, recovery_report, intent_digests, bundle_chain)}
 
 _H = lambda x: f"sha256(CAST({x} AS VARCHAR))"
@@ -229,7 +250,15 @@ ow AS (SELECT record_id, arg_max(t, seq) AS runtime, 'REF-1' AS reference FROM a
 _ACTS = "ac AS (SELECT *, sha256(record_id || '|' || payload % 25) AS digest FROM ev)"
 _AD = lambda name: f"sha256('{name}|' || record_id)"
 _W = " OVER (PARTITION BY record_id ORDER BY seq"
+_FOLD = f"""da AS (SELECT record_id, CASE WHEN seq % 2 = 0 THEN 'a' ELSE 'b' END AS artifact, seq, payload AS p, CASE WHEN kind = 'decision.withdrawn' THEN 'WITHDRAW' WHEN payload % 6 = 0 THEN 'REJECT' WHEN payload % 6 <= 2 THEN 'UNDO' ELSE 'ACCEPT' END AS verdict
+ FROM ev WHERE kind IN ('decision.recorded', 'decision.withdrawn')),
+du AS (SELECT *, last_value(CASE WHEN verdict = 'WITHDRAW' THEN seq END IGNORE NULLS) OVER (PARTITION BY record_id, artifact ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - (p % 5 = 0)::INT AS undo_of, row_number() OVER (PARTITION BY record_id, artifact ORDER BY seq) AS n FROM da),
+fo AS (SELECT record_id, artifact, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS verdict, false AS effective, NULL::BIGINT AS withdrawal FROM du WHERE n = 1
+ UNION ALL SELECT d.record_id, d.artifact, d.n, d.seq, d.verdict, CASE d.verdict WHEN 'WITHDRAW' THEN true WHEN 'UNDO' THEN coalesce(p % 7 <> 0 AND undo_of = fo.withdrawal, false) ELSE fo.withdrawal IS NULL END,
+  CASE WHEN d.verdict = 'WITHDRAW' THEN d.seq WHEN d.verdict = 'UNDO' AND p % 7 <> 0 AND undo_of = fo.withdrawal THEN NULL ELSE fo.withdrawal END FROM fo JOIN du d ON d.record_id = fo.record_id AND d.artifact = fo.artifact AND d.n = fo.n + 1)"""
 SQL = {
+    "decided_acts": f"WITH RECURSIVE {_EV}, {_FOLD} SELECT record_id, artifact, seq, effective, withdrawal FROM fo WHERE n > 0",
+    "effective_decisions": f"WITH RECURSIVE {_EV}, {_FOLD} SELECT record_id, artifact, max(seq) FILTER (effective) AS seq, arg_max(verdict, seq) FILTER (effective) AS verdict, arg_max(withdrawal IS NOT NULL, seq) AS withdrawn FROM fo WHERE n > 0 GROUP BY 1, 2",
     "receipt_check": f"""WITH {_EV}, {_RECEIPTS}, s AS (SELECT *, strpos(authorisation, '@') > 0 AS named FROM re)
 SELECT record_id, seq, CASE WHEN p % 11 = 0 THEN 'output' WHEN p % 13 = 0 THEN 'inputs' WHEN p % 17 = 0 THEN 'input_digest' WHEN p % 19 = 0 THEN 'code_version' WHEN p % 5 = 0 THEN 'not_a_model' WHEN p % 23 = 0 THEN 'model'
 WHEN NOT named THEN 'reference' WHEN left(subject, 12) <> string_split(authorisation, '@')[2] THEN 'subject' WHEN p % 31 = 0 THEN 'time' WHEN started < TIMESTAMP '2024-01-01' THEN 'early' WHEN p % 8 IN (1, 2) THEN 'truncated' END AS problem FROM s""",
