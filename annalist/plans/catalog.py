@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from annalist.plans import actions, documents, evidence, governance, texts, transcripts, workflow
+from annalist.plans import actions, documents, evidence, governance, sessions, texts, transcripts, workflow
 
-_MODULES = (transcripts, documents, workflow, evidence, governance, texts, actions)
+_MODULES = (transcripts, documents, workflow, evidence, governance, texts, actions, sessions)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
