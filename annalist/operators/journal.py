@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-GENESIS = "0" * 64
+from annalist.operators import chain
+
+GENESIS = chain.GENESIS
 #: Worst first: the rank of a status when many are rolled up to one.
 RANK = ["STOP", "CONFIG", "REVIEW_REQUIRED", "STALE", "EXCLUDED", "ACTION_NEEDED", "READY"]
 
@@ -19,20 +21,13 @@ def envelope(kind: Column, payload: Column, prev: Column, record_id: Column, seq
 def seal(events: DataFrame) -> DataFrame:
     """record_id, seq, kind, payload, prev, digest: each record's journal as a hash chain, numbered from 1.
 
-    A digest covers the event and the digest before it, so a chain is a fold over one record's events in their order;
-    records are independent. Events: record_id, seq (any order), kind, payload.
+    A digest covers the event and the digest before it: one streaming pass over each record's sorted events (see
+    ``chain.linked``). Events: record_id, seq (any order), kind, payload.
     """
-    listed = F.array_sort(F.collect_list(F.struct("seq", "kind", "payload")))
-    rows = events.groupBy("record_id").agg(listed.alias("e"))
-    start = F.struct(F.lit(GENESIS).alias("digest"), F.lit(1).cast("long").alias("seq"), F.array().cast("array<struct<prev:string,digest:string>>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        digest = F.sha2(envelope(x["kind"], x["payload"], state["digest"], F.col("record_id"), state["seq"]), 256)
-        link = F.struct(state["digest"].alias("prev"), digest.alias("digest"))
-        return F.struct(digest.alias("digest"), (state["seq"] + 1).alias("seq"), F.concat(state["out"], F.array(link)).alias("out"))
-
-    chained = rows.withColumn("links", F.aggregate("e", start, step)["out"]).select("record_id", F.posexplode(F.arrays_zip("e", "links")).alias("at", "x"))
-    return chained.select("record_id", (F.col("at") + 1).cast("long").alias("seq"), "x.e.kind", "x.e.payload", "x.links.prev", "x.links.digest")
+    rows = events.select("record_id", F.col("seq").alias("order"), "kind", "payload")
+    front = F.concat(F.lit("{"), chain.members(F.col("kind"), F.col("payload")), F.lit(',"prev":"'))
+    sealed = chain.linked(rows.withColumns({"front": front, "back": chain.back(F.col("record_id"))}), "record_id", "order")
+    return sealed.select("record_id", "seq", "kind", "payload", "prev", "digest")
 
 
 def verify(journal: DataFrame) -> DataFrame:
