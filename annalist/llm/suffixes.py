@@ -16,7 +16,9 @@ from annalist.llm.common import Scratch, hot_keys, released, salted, table, widt
 LEVELS = (32, 64, 128)
 #: Bytes of texts that are worked on at once, and starts that one row tells at most.
 TOGETHER, LONGEST = 1 << 19, 1024
-_BYTES = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Rows of a bucket that one task resolves; larger buckets are split to smaller ones first.
+HOT = 20_000
+_BYTES, _OTHERS = np.random.default_rng(12).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -30,10 +32,10 @@ def refined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def identifiers(codes: np.ndarray, q: int) -> np.ndarray:
+def identifiers(codes: np.ndarray, q: int, first: np.ndarray = _BYTES) -> np.ndarray:
     """Of the q bytes at every place: identifiers of half the length, already known, name the buckets of twice the length;
     the last step overlaps where q is no power of two."""
-    ids, k = _BYTES[codes], 1
+    ids, k = first[codes], 1
     while k < q:
         step = min(k, q - k)
         ids = refined(ids[: len(ids) - step], ids[step:])
@@ -160,8 +162,8 @@ def split_runs(held: DataFrame, q: int, least: int) -> DataFrame:
 
 
 def refine(found: DataFrame, box: Scratch, name: str, weight: F.Column, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Buckets sorted by (b, d): which rows are repeated (key, at, len), and one row of each kind that the next level
-    must look at, settled if its kind is repeated.
+    """Buckets sorted by (b, d): which rows are repeated, and one row of each kind that must be looked at further, settled
+    if its kind is repeated, with the number of kinds in its bucket.
 
     A kind (b, d) of weight two or more is settled. A bucket of one kind needs no further look unless its run may repeat
     itself, nor does one whose kinds are all settled.
@@ -170,34 +172,90 @@ def refine(found: DataFrame, box: Scratch, name: str, weight: F.Column, columns:
     kinds = box.save(kinds, f"{name}-kinds")
     twice = kinds.where("n > 1").select("b", "d")
     buckets = kinds.groupBy("b").agg(F.count("*").alias("kinds"), F.max("inner").alias("inner"), F.max(F.col("n") == 1).alias("open"))
-    buckets = buckets.where(F.col("open") & ((F.col("kinds") > 1) | F.col("inner"))).select("b")
-    left = kinds.join(buckets.hint("merge"), "b", "left_semi").select("b", "one.*", (F.col("n") > 1).alias("settled"))
+    buckets = buckets.where(F.col("open") & ((F.col("kinds") > 1) | F.col("inner"))).select("b", "kinds")
+    left = kinds.select("b", "one.*", (F.col("n") > 1).alias("settled")).join(buckets.hint("merge"), "b")
     return found.join(twice.hint("merge"), ["b", "d"], "left_semi"), left
 
 
+def again(codes: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """Which places begin ``least`` bytes, within one piece, that begin elsewhere among the pieces too: a sort by two
+    64-bit identifiers, made from those of shorter strings at later offsets."""
+    ends = np.cumsum(sizes)
+    edge = np.zeros(len(codes) + 1, np.int8)
+    edge[ends - sizes] += 1
+    edge[ends - least + 1] -= 1
+    at = np.flatnonzero(np.cumsum(edge[:-1]))
+    x, y = identifiers(codes, least)[at], identifiers(codes, least, _OTHERS)[at]
+    order = np.argsort(x)
+    x, y = x[order], y[order]
+    same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    out = np.zeros(len(codes), bool)
+    out[at[order[1:][same]]] = out[at[order[:-1][same]]] = True
+    return out
+
+
+def resolve(held: DataFrame, least: int) -> DataFrame:
+    """key, at, len of repeated starts in unsettled rows (b, key, at, settled, piece): whole buckets of at most HOT rows are
+    resolved together, about TOGETHER bytes at a time."""
+
+    def told(parts: list[tuple[bytes, int, bool, bytes]]) -> pa.RecordBatch:
+        sizes = np.array([len(p[3]) for p in parts])
+        twice = again(np.frombuffer(b"".join(p[3] for p in parts), np.uint8), sizes, least)
+        ends = np.cumsum(sizes)
+        turn = np.diff(np.concatenate([[0], twice.view(np.int8), [0]]))
+        first, past = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        which = np.searchsorted(ends, first, "right")
+        keep = [i for i, w in enumerate(which.tolist()) if not parts[w][2]]
+        which, first, past = which[keep], first[keep], past[keep]
+        at = np.array([p[1] for p in parts])[which] + first - (ends - sizes)[which]
+        return pa.RecordBatch.from_arrays([pa.array([parts[w][0] for w in which.tolist()], pa.binary()), pa.array(at, pa.int32()), pa.array(past - first, pa.int32())], names=["key", "at", "len"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, now = [], 0, None
+        for batch in batches:
+            for b, *part in zip(*(batch.column(c).to_pylist() for c in ("b", "key", "at", "settled", "piece")), strict=True):
+                if b != now and size >= TOGETHER:
+                    yield told(parts)
+                    parts, size = [], 0
+                now = b
+                parts.append(part)
+                size += len(part[3])
+        if parts:
+            yield told(parts)
+
+    rows = held.select("b", "key", "at", "settled", "piece").repartition(width(held.sparkSession), "b").sortWithinPartitions("b")
+    return rows.mapInArrow(released(run), "key binary, at int, len int")
+
+
 def repeated_starts(texts: DataFrame, least: int, box: Scratch) -> DataFrame:
     """key, at, len: runs of starts whose ``least`` bytes start elsewhere too; ``texts`` (key, text) may repeat rows.
 
     Starts are named by the least identifier of 32 bytes in their string (equal strings agree in it), which makes a row
     of about every 85 starts; buckets of one row are done with after one count of names. The others are sorted by a
     digest of all their bytes: equal rows are repeated as a whole. What is in a bucket with other bytes goes on, once a
-    kind, to be split by 64, 128 and at last by all bytes.
+    kind: a bucket's rows meet in one task, where identifiers of all bytes are made from shorter ones and
+    sorted. Buckets of over HOT kinds are split before, by the least identifiers of 64, 128 and at last of all bytes.
     """
     spark = texts.sparkSession
     several = bucket_names(texts, least).groupBy("b").count().where("count > 1").select("b")
     alive = box.save(first_runs(texts, least).join(several.hint("merge"), "b", "left_semi"), "alive")
     repeated, left = refine(alive, box, "level1", F.lit(1), ["key", "at", "len"])
     out = repeated.select("key", "at", "len")
-    wanted = left.groupBy("key").agg(F.collect_list(F.struct("b", "at", "len", "settled")).alias("wanted"))  # of one text
-    cut = F.transform("wanted", lambda x: F.struct(x["b"].alias("b"), x["at"].alias("at"), x["settled"].alias("settled"), F.substring("text", x["at"] + 1, x["len"] + least - 1).alias("piece")))
+    wanted = left.groupBy("key").agg(F.collect_list(F.struct("b", "at", "len", "settled", "kinds")).alias("wanted"))  # of one text
+    cut = F.transform("wanted", lambda x: F.struct(x["b"].alias("b"), x["at"].alias("at"), x["settled"].alias("settled"), x["kinds"].alias("kinds"), F.substring("text", x["at"] + 1, x["len"] + least - 1).alias("piece")))
     once = texts.where(F.octet_length("text") >= least).dropDuplicates(["key"])
-    held = once.join(wanted.hint("merge"), "key").select("key", F.inline(cut))
+    held = box.save(once.join(wanted.hint("merge"), "key").select("key", F.inline(cut)), "pieces")
+    bounded = held.where(F.col("kinds") <= HOT)
     for q in (*LEVELS[1:], least):
+        held = held.where(F.col("kinds") > HOT)
+        if held.isEmpty():
+            break
         found = box.save(split_runs(held, q, least).repartition(width(spark), "b", "d"), f"split{q}")
         each = F.when(F.col("settled"), 2).otherwise(1)
         repeated, held = refine(found, box, f"level{q}", each if q < least else each * F.col("len"), ["key", "at", "piece"])
         out = out.unionByName(repeated.where(~F.col("settled")).select("key", "at", "len"))
-    return out
+        bounded = bounded.unionByName(held.where(F.col("kinds") <= HOT))
+    return out.unionByName(resolve(bounded, least))
 
 
 def remove_spans(rows: DataFrame, least: int) -> DataFrame:
