@@ -43,8 +43,9 @@ def digest(body: Column, key: bytes | None) -> Column:
     return F.sha2(body.cast("binary"), 256) if key is None else hmac_sha256(key, body)
 
 
-def linked(rows: DataFrame, by: str, order: str, key: bytes | None = None) -> DataFrame:
-    """``rows`` with seq, prev, digest: each value of ``by`` is one chain in ``order``, numbered from 1.
+def linked(rows: DataFrame, by: str, order: str, key: bytes | None = None, seq: int = 0, last: str = GENESIS) -> DataFrame:
+    """``rows`` with seq, prev, digest: each value of ``by`` is one chain in ``order``, that goes on from number ``seq`` and the
+    digest ``last``.
 
     Rows have the columns ``front`` and ``back`` around the digest before and the number. A digest needs the one before, so a
     chain is hashed by one task, but as a stream of its sorted rows: only the last digest is held, and the time is
@@ -54,35 +55,36 @@ def linked(rows: DataFrame, by: str, order: str, key: bytes | None = None) -> Da
     names = [f.name for f in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, last, n = None, GENESIS, 0
+        now, before, n = None, last, None
         for batch in batches:
             chains, fronts, backs = (batch.column(c).to_pylist() for c in (by, "front", "back"))
             seqs, prevs, digests = [], [], []
             for chain, head, tail in zip(chains, fronts, backs, strict=True):
-                if chain != now or n == 0:
-                    now, last, n = chain, GENESIS, 0
+                if chain != now or n is None:
+                    now, before, n = chain, last, seq
                 n += 1
-                body = f"{head}{last}{tail}{n}}}".encode()
+                body = f"{head}{before}{tail}{n}}}".encode()
                 told = hashlib.sha256(body).hexdigest() if key is None else hmac.new(key, body, "sha256").hexdigest()
                 seqs.append(n)
-                prevs.append(last)
+                prevs.append(before)
                 digests.append(told)
-                last = told
+                before = told
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(seqs, pa.int64()), pa.array(prevs, pa.string()), pa.array(digests, pa.string())], names=[*names, "seq", "prev", "digest"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in made], "seq long, prev string, digest string"])
     return rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
 
 
-def seal(events: DataFrame, key: bytes | None = None) -> DataFrame:
+def seal(events: DataFrame, key: bytes | None = None, seq: int = 0, last: str = GENESIS) -> DataFrame:
     """journal, seq, at, kind, record_id, payload, operation_intent_sha256, prev, digest of events (the same without seq, prev
     and digest, but with ``order``).
 
-    A journal holds the events of all its records in one chain. Digests cover every field, with a key as HMAC.
+    A journal holds the events of all its records in one chain. Digests cover every field, with a key as HMAC. ``seq`` and
+    ``last`` are the head that the chains go on from.
     """
     parts = {"front": front(*map(F.col, ("at", "kind", "operation_intent_sha256", "payload"))), "back": back(F.col("record_id"))}
     rows = events.select("journal", "order", "at", "kind", "record_id", "payload", "operation_intent_sha256").withColumns(parts)
-    return linked(rows, "journal", "order", key).drop("order")
+    return linked(rows, "journal", "order", key, seq, last).drop("order")
 
 
 def verify(journal: DataFrame, key: bytes | None = None) -> DataFrame:
