@@ -68,32 +68,40 @@ def prefix(n: int, num: int, den: int) -> int:
 
 
 def survey(docs: DataFrame, n: int) -> DataFrame:
-    """One pass: rows of documents (doc_id, n, node, bits) and rows of counters (bucket, hits).
+    """One pass: rows of documents (doc_id, tk, n, node, bits) and rows of counters (bucket, hits).
 
-    ``node`` is a 96-bit digest of the set: documents with equal sets are one node.
+    ``node`` is a 96-bit digest of the set: documents with equal sets are one node. ``tk`` is the text's key.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make, hits = Shingler(n), np.zeros(COUNTERS, np.int64)
         for pdf in batches:
             rows = []
-            for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for key, tk, text in zip(pdf["doc_id"], pdf["tk"], pdf["text"], strict=True):
                 s = make.shingles(text)
                 if len(s):
                     np.add.at(hits, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                    rows.append((key, len(s), hashlib.blake2b(s.tobytes(), digest_size=12).digest(), parity(s), None, None))
+                    rows.append((key, tk, len(s), hashlib.blake2b(s.tobytes(), digest_size=12).digest(), parity(s), None, None))
                 else:
-                    rows.append((key, 0, None, None, None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "node", "bits", "bucket", "hits"]).astype({"bucket": "Int32", "hits": "Int64"})
+                    rows.append((key, tk, 0, None, None, None, None))
+            yield pd.DataFrame(rows, columns=["doc_id", "tk", "n", "node", "bits", "bucket", "hits"]).astype({"bucket": "Int32", "hits": "Int64"})
         at = np.flatnonzero(hits)
         for part in frames(bucket=at, hits=hits[at]):
-            yield pd.DataFrame({"doc_id": pd.Series([None] * len(part), dtype="Int64"), "n": pd.Series([None] * len(part), dtype="Int32"), "node": None, "bits": None, "bucket": part["bucket"].to_numpy(), "hits": part["hits"].to_numpy()})
+            yield pd.DataFrame({"doc_id": None, "tk": None, "n": pd.Series([None] * len(part), dtype="Int32"), "node": None, "bits": None, "bucket": part["bucket"].to_numpy(), "hits": part["hits"].to_numpy()})
 
-    return _texts(docs).mapInPandas(released(run), "doc_id long, n int, node binary, bits binary, bucket int, hits long")
+    # ids go through Python as text: with nulls beside them pandas would make them doubles
+    ids = _texts(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
+    found = ids.mapInPandas(released(run), "doc_id string, tk binary, n int, node binary, bits binary, bucket int, hits long")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def text_key(text: F.Column) -> F.Column:
+    """128 bits of the text's SHA-256 (null text: null)."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"), F.col("text").cast("binary").alias("text"))
 
 
 def index_entries(docs: DataFrame, n: int, num: int, den: int, hits: np.ndarray, least: int = 0) -> DataFrame:
@@ -146,7 +154,7 @@ class Block:
         """For entry v and others: how many parity bits differ, and whether the pair can link."""
         n, m = self.n[v], self.n[others]
         need = least_overlap(n, m, self.num, self.den)
-        # by position, whole stretches of the list fail at once; no parity map is read for them
+        # sizes and positions first: no parity map is read for pairs that they rule out
         can = (self.den * np.minimum(n, m) >= self.num * np.maximum(n, m)) & (1 + np.minimum(n - self.pos[v], m - self.pos[others]) - 1 >= need)
         differ = np.full(len(others), 1 << 30, np.int64)
         at = np.flatnonzero(can)
@@ -273,7 +281,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node, s (array of shingle hashes) of wanted (doc_id, node); doc_ids that repeat give the set of that node only."""
+    """node, s (array of shingle hashes) of wanted (doc_id, tk, node): a row that has the node's set, found by doc_id (null ones too) and text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = Shingler(n)
@@ -286,16 +294,27 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     arrays.append(s.view(np.int64))
             yield pd.DataFrame({"node": pd.Series(nodes, dtype=object), "s": pd.Series(arrays, dtype=object)})
 
-    return _texts(docs).join(wanted, "doc_id").select("node", "text").mapInPandas(released(run), "node binary, s array<long>").dropDuplicates(["node"])
+    named = wanted.select(F.col("doc_id").alias("wanted_id"), F.col("tk").alias("wanted_tk"), "node")
+    found = _texts(docs).join(named, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("tk") == F.col("wanted_tk")))
+    return found.select("node", "text").mapInPandas(released(run), "node binary, s array<long>").dropDuplicates(["node"])
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text): see ``jaccard_groups``."""
+    return jaccard_groups(docs, n, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_groups(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
+    """doc_id, n_shingles, component_id, tk, first_id, first_tk for every row of ``docs`` (doc_id, text): ``tk`` is the text's key, the
+    last two tell the document that stands for the component, which has its smallest doc_id (null: no row has one)
+    and of those the smallest key.
 
     Documents link when den * |A & B| >= num * |A | B| for their sets of distinct n-word shingles, ``threshold`` =
     (num, den). Fewer than n words: the whole sequence is the one shingle. Null, empty and blank texts have an empty
     set, link with nothing and are their own component. Equal sets are one node, so copies are never paired; rows
-    that repeat a doc_id belong to the component of their set. No links are lost:
+    that repeat a doc_id belong to the component of their set. Rows without doc_id link like others; they have the
+    smallest doc_id of their component, null if no row of it has one. Other columns are ignored; texts may be of any
+    length (a set is held at once). No links are lost:
 
     1. Sets are ordered from rare to frequent shingles by bounded counters; only prefixes are indexed, and the
        lists of a shingle that one node alone has are dropped.
@@ -317,7 +336,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
     counted = pass1.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("hits").alias("hits")).toPandas()  # at most COUNTERS rows
     hits[counted["bucket"].to_numpy()] = counted["hits"].to_numpy()
     meta = pass1.where(F.col("bucket").isNull())
-    nodes = box.save(meta.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+    nodes = box.save(meta.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
     # very common shingles are told apart first: their lists would be sorted in one task each
     limit, hot = max(HOT_ROWS, int(hits.sum()) // 10_000), None
     if (hits > limit).any():
@@ -347,7 +366,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        return box.save(shingle_sets(docs, nodes.select("node", F.col("rep").alias("doc_id")).join(wanted, "node", "left_semi"), n), name)
+        return box.save(shingle_sets(docs, nodes.select("node", "rep.doc_id", "rep.tk").join(wanted, "node", "left_semi"), n), name)
 
     checked = box.save(verify(pairs, sets_of(pairs, "sets"), num, den), "checked")
     box.drop("sets", "pairs")
@@ -370,10 +389,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
         roots = box.save(connected_components(links), "all_roots")
     box.drop("shared")
     named = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(first, "root").select("node", "component_id")
-    out = meta.select("doc_id", "n", "node").join(named, "node", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = named.groupBy("root").agg(F.min("rep").alias("first"))
+    named = named.join(first, "root").select("node", "first")
+    out = meta.select("doc_id", "tk", "n", "node").join(named, "node", "left")
+    alone = F.col("first").isNull()
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), "tk",
+                      F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("first_id"), F.when(alone, F.col("tk")).otherwise(F.col("first.tk")).alias("first_tk"))
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
