@@ -8,6 +8,7 @@ read them lazily. ``run`` removes those of a stage once the stage's own output i
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from annalist.llm import decontaminate, jaccard, langid, mixing, substrings
 from annalist.llm.common import Scratch, bounded_batches, collected, remove, table
@@ -30,13 +31,18 @@ def language_id(spark, docs, sf_dir):
 
 @_stage
 def near_duplicates(spark, docs, sf_dir):
-    """Five words, similarity 0.8: of each group of linked documents that of the smallest doc_id stays.
+    """Five words, similarity 0.8: of each group of linked documents the one of the smallest doc_id stays (ties, and groups
+    without any doc_id: the smallest digest of the text).
 
-    Rows without words link with nothing and stay; of rows that share a doc_id all stay or all go.
+    Rows without words link with nothing and stay. A document is a doc_id (null counts as one) and a text: rows that
+    repeat both stay or go together, and of two texts under one doc_id each is judged by itself.
     """
-    found = jaccard.jaccard_components(docs, 5, (80, 100))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    found = jaccard.jaccard_groups(docs, 5, (80, 100))
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("tk").eqNullSafe(F.col("first_tk"))
+    gone = found.where(~stays).select(F.col("doc_id").alias("__gone_id"), F.col("tk").alias("__gone_tk")).distinct()
+    keyed = docs.withColumn("__tk", jaccard.text_key(F.col("text")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__tk") == F.col("__gone_tk"))
+    return keyed.join(gone.hint("merge"), same, "left_anti").select(docs.columns)
 
 
 @_stage
