@@ -15,13 +15,14 @@ _SHA = lambda c: F.sha2(c.cast("string"), 256)
 
 
 def _files(spark, sf_dir):
-    """Pages as files: by page_id modulo 5 a subtitle file of one block (0), one whose block is bad (1), other text (2), bytes
-    that aren't UTF-8 (3), a file without a name (4)."""
+    """Pages as files: by page_id modulo 5 an SRT file of one block (0), a WebVTT file of one cue (1; every second: no cue at
+    all), other text (2), bytes that aren't UTF-8 (3), a file without a name (4). Every third block's times are bad."""
     p = read(spark, sf_dir, "pages")
     n = F.col("page_id")
     block = F.concat(F.lit("1\n00:00:01,000 --> 00:00:0"), (n % 3).cast("string"), F.lit(",500\nA: "), n.cast("string"), F.lit("\n")).cast("binary")
-    content = F.when(n % 5 < 2, block).when(n % 5 == 3, F.unhex(F.lit("C328"))).otherwise(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
-    path = F.when(n % 5 == 4, "folder/..srt/.").otherwise(F.concat(F.lit("in/"), n.cast("string"), F.when(n % 5 == 2, ".txt").otherwise(".SRT")))
+    cue = F.concat(F.lit("WEBVTT\n\n00:01.000 --> 00:0"), (n % 3).cast("string"), F.lit(".500\nA: "), n.cast("string"), F.lit("\n")).cast("binary")
+    content = F.when(n % 5 == 0, block).when(n % 10 == 1, F.lit("no cue at all").cast("binary")).when(n % 5 == 1, cue).when(n % 5 == 3, F.unhex(F.lit("C328"))).otherwise(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+    path = F.when(n % 5 == 4, "folder/..srt/.").otherwise(F.concat(F.lit("in/"), n.cast("string"), F.when(n % 5 == 2, ".txt").when(n % 5 == 1, ".VTT").otherwise(".SRT")))
     return p.select((n % 50).alias("record_id"), path.alias("path"), content.alias("content"))
 
 
@@ -153,10 +154,11 @@ def reports(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (ingest_plan, ingest_events, observed_inputs, key_sets, decision_check, key_gate, derivation_events, gate_events, package_differences, moved_inputs, resolved_humans, confirmed_texts, release_digests, human_history, reports)}
 
 _H = lambda x: f"sha256(CAST({x} AS VARCHAR))"
-_PLAN = """f AS (SELECT page_id AS n, page_id % 50 AS record_id, page_id % 5 AS m, CASE WHEN page_id % 5 < 2 THEN encode('1' || chr(10) || '00:00:01,000 --> 00:00:0' || page_id % 3 || ',500' || chr(10) || 'A: ' || page_id || chr(10))
+_PLAN = """f AS (SELECT page_id AS n, page_id % 50 AS record_id, page_id % 5 AS m, CASE WHEN page_id % 5 = 0 THEN encode('1' || chr(10) || '00:00:01,000 --> 00:00:0' || page_id % 3 || ',500' || chr(10) || 'A: ' || page_id || chr(10))
+  WHEN page_id % 10 = 1 THEN encode('no cue at all') WHEN page_id % 5 = 1 THEN encode('WEBVTT' || chr(10) || chr(10) || '00:01.000 --> 00:0' || page_id % 3 || '.500' || chr(10) || 'A: ' || page_id || chr(10))
   WHEN page_id % 5 = 3 THEN from_hex('C328') ELSE encode(coalesce(html, '')) END AS content FROM pages),
-p AS (SELECT record_id, CASE WHEN m = 4 THEN NULL WHEN m = 2 THEN n || '.txt' ELSE n || '.SRT' END AS name, sha256(content) AS sha256, octet_length(content)::BIGINT AS bytes, CASE WHEN m < 2 AND n % 3 > 0 THEN 1 END::BIGINT AS cues,
- CASE WHEN record_id % 14 = 0 THEN 'owner' WHEN m IN (2, 4) THEN 'suffix' WHEN m = 3 THEN 'utf8' WHEN n % 3 = 0 THEN 'parse' WHEN record_id % 4 = 1 THEN 'known' ELSE 'new' END AS outcome FROM f)"""
+p AS (SELECT record_id, CASE WHEN m = 4 THEN NULL WHEN m = 2 THEN n || '.txt' WHEN m = 1 THEN n || '.VTT' ELSE n || '.SRT' END AS name, sha256(content) AS sha256, octet_length(content)::BIGINT AS bytes, CASE WHEN m < 2 AND n % 3 > 0 AND n % 10 <> 1 THEN 1 END::BIGINT AS cues,
+ CASE WHEN record_id % 14 = 0 THEN 'owner' WHEN m IN (2, 4) THEN 'suffix' WHEN m = 3 THEN 'utf8' WHEN n % 3 = 0 OR n % 10 = 1 THEN 'parse' WHEN record_id % 4 = 1 THEN 'known' ELSE 'new' END AS outcome FROM f)"""
 _ART = f"ar AS (SELECT record_id, 'a' || payload % 4 AS artifact, {_H('arg_max(payload % 10, seq)')} AS sha256, max(payload) % 2 = 0 AS bind FROM ev WHERE kind = 'artifact.produced' GROUP BY 1, 2)"
 _KEYLISTS = "[" + ", ".join("[" + ", ".join(f"'{k}'" for k in v.split()) + "]" for v in acts.KEYS.values()) + "]"
 _BASE = planning.base()

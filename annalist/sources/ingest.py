@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions.text import base_name, nfc
-from annalist.sources import srt
+from annalist.sources import cues, srt
 
 #: Media types by suffix, and the largest size of a source file in bytes.
 MEDIA, LARGEST = {".srt": "application/x-subrip", ".vtt": "text/vtt"}, 32 * 1024 * 1024
@@ -44,18 +44,20 @@ def plan(files: DataFrame, owners: DataFrame, journal: DataFrame, runtime: str)
     """record_id, name, sha256, bytes, cues, media_type, outcome for files (record_id, path, content).
 
     Outcomes, the first that fits: owner (the record belongs to another runtime), size, suffix, name, utf8, parse (any bad
-    block refuses the file), known (this record has these bytes), new. Owners: record_id, runtime (no row: may be
+    block, a WebVTT file without head, or no cue at all refuses the file), known (this record has these bytes), new. Owners: record_id, runtime (no row: may be
     written); journal: record_id, sha256 of sources ingested before. Contents are read once; joins are by record and digest.
     """
     f = files.select("record_id", F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1)).alias("suffix"), base_name(F.col("path")).alias("name"), F.sha2("content", 256).alias("sha256"),
                      F.octet_length("content").cast("long").alias("bytes"), decoded(F.col("content")).alias("text"))
     blocks = f.where("suffix = '.srt' and text is not null").select(F.struct("record_id", "sha256").alias("record_id"), F.col("text").alias("srt")).distinct()
     told = srt.accepted(srt.parse(blocks)).select("record_id.*", F.col("segments").alias("cues"))
+    webvtt = f.where("suffix = '.vtt' and text is not null").select(F.struct("record_id", "sha256").alias("record_id"), F.lit("vtt").alias("format"), F.col("text").alias("source")).distinct()
+    told = told.unionByName(cues.accepted(cues.scan(webvtt)).groupBy("record_id").agg(F.count("*").alias("cues")).select("record_id.*", "cues"))
     j = f.join(told, ["record_id", "sha256"], "left").join(owners.select("record_id", F.col("runtime").alias("owner")), "record_id", "left")
     j = j.join(journal.select("record_id", "sha256").distinct().withColumn("there", F.lit(True)), ["record_id", "sha256"], "left")
     outcome = (
         F.when(F.col("owner").isNotNull() & (F.col("owner") != runtime), "owner").when(F.col("bytes") > LARGEST, "size").when(~F.col("suffix").isin(list(MEDIA)), "suffix").when(F.col("name").isNull(), "name")
-        .when(F.col("text").isNull(), "utf8").when((F.col("suffix") == ".srt") & F.col("cues").isNull(), "parse").when(F.col("there"), "known").otherwise("new")
+        .when(F.col("text").isNull(), "utf8").when(F.col("cues").isNull(), "parse").when(F.col("there"), "known").otherwise("new")
     )
     media = F.coalesce(*[F.when(F.col("suffix") == s, F.lit(m)) for s, m in MEDIA.items()])
     return j.select("record_id", "name", "sha256", "bytes", "cues", media.alias("media_type"), outcome.alias("outcome"))
