@@ -47,21 +47,56 @@ def unit(vectors) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def place(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """For unit vectors: the home cell (nearest pivot) and the lower-numbered cells they must visit.
+class Pivots:
+    """Unit vectors in two levels: about the square root of them on top, each with a list of those nearest to it.
 
-    A vector y of cell q is no farther from q than from the home pivot p of x. By the triangle inequality (in its form
-    for the plane between p and q) x can be within ``radius`` of such a y only if
-    (d(x,q)^2 - d(x,p)^2) / (2 d(p,q)) <= radius. Visiting lower cells is enough: the pair meets in the lower of its
-    two home cells, once.
+    A cell is a top pivot and one of its list. Distances between pivots are only needed inside the top level and inside
+    each list, so k pivots take about k^1.5 numbers instead of k^2; they are computed once a task.
     """
-    squares = np.maximum(2 - 2 * x @ pivots.T, 0)
-    apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
-    home = squares.argmin(1)
-    own = squares[np.arange(len(x)), home]
-    visits = squares - own[:, None] <= 2 * apart[home] * radius + 1e-9
-    visits &= np.arange(len(pivots)) < home[:, None]
-    return home, [np.flatnonzero(v) for v in visits]
+
+    def __init__(self, points: np.ndarray):
+        self.top = points[: max(1, round(len(points) ** 0.5))]
+        owner = (points @ self.top.T).argmax(1)
+        owner[: len(self.top)] = np.arange(len(self.top))  # equal pivots keep a list each
+        self.lists = [points[owner == j] for j in range(len(self.top))]
+        self.offset = np.cumsum([0, *map(len, self.lists)])
+        self.apart: list[np.ndarray] | None = None
+
+    @staticmethod
+    def _between(points: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * points @ points.T, 0))
+
+    @staticmethod
+    def _near(squares: np.ndarray, apart: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot of every row, and which pivots y's within ``radius`` of it may be nearest to.
+
+        A vector y is no farther from its own pivot q than from p, the nearest of x. By the triangle inequality (in its
+        form for the plane between p and q) x can be within ``radius`` of such a y only if
+        (d(x,q)^2 - d(x,p)^2) / (2 d(p,q)) <= radius.
+        """
+        best = squares.argmin(1)
+        return best, squares - squares[np.arange(len(squares)), best][:, None] <= 2 * apart[best] * radius + 1e-9
+
+    def place(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, list[np.ndarray]]:
+        """For unit vectors: the home cell, and the lower-numbered cells they must visit. The rule holds on top, and again in
+        the list of every top pivot that it leaves. Visiting lower cells is enough: a pair meets in the lower of its two home
+        cells, once."""
+        if self.apart is None:
+            self.apart = [self._between(self.top), *map(self._between, self.lists)]
+        squares = lambda rows, points: np.maximum(2 - 2 * rows @ points.T, 0)
+        top, goes = self._near(squares(x, self.top), self.apart[0], radius)
+        home, visits = np.empty(len(x), np.int64), [[] for _ in x]
+        for j, points in enumerate(self.lists):
+            rows = np.flatnonzero(goes[:, j] & (j <= top))
+            if not len(rows):
+                continue
+            best, near = self._near(squares(x[rows], points), self.apart[1 + j], radius)
+            mine = top[rows] == j
+            home[rows[mine]] = self.offset[j] + best[mine]
+            near[mine] &= np.arange(len(points)) < best[mine, None]
+            for r, cells in zip(rows.tolist(), near, strict=True):
+                visits[r].append(self.offset[j] + np.flatnonzero(cells))
+        return home, [np.concatenate(v) if v else np.empty(0, np.int64) for v in visits]
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, raw_a: list, raw_b: list, least: float) -> np.ndarray:
@@ -90,7 +125,7 @@ def range_join(embeddings: DataFrame, least: float = 0.9, pivots: int | None = N
     """vec_id, n_links, component_id, kept for every row of ``embeddings`` (vec_id, embedding).
 
     Equal vectors are one class with a multiplicity, so copies are never paired. Class representatives go to the
-    cell of the nearest pivot and visit the cells that the triangle inequality can't rule out; a cell is cut into
+    cell of the nearest pivot, on two levels, and visit the cells that the triangle inequality can't rule out; a cell is cut into
     blocks of at most about BLOCK rows by hash, and block pairs are independent groups. A group returns counts and
     spanning links, not pairs. ``pivots``: default half the square root of the classes, chosen by hash (so many come to the driver).
 
@@ -108,7 +143,7 @@ def range_join(embeddings: DataFrame, least: float = 0.9, pivots: int | None = N
     by_length: dict[int, list] = {}
     for v in chosen:
         by_length.setdefault(len(v), []).append(v)
-    sent = spark.sparkContext.broadcast({d: unit(v) for d, v in by_length.items()})
+    sent = spark.sparkContext.broadcast({d: Pivots(unit(v)) for d, v in by_length.items()})
     radius = float(np.sqrt(2 - 2 * least))
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +158,7 @@ def range_join(embeddings: DataFrame, least: float = 0.9, pivots: int | None = N
                     if points is None:  # a length without pivots: one cell
                         out += [(int(d), 0, True, *r) for r in zip(some["key"], some["mult"], some["embedding"], strict=True)]
                         continue
-                    home, visits = place(unit(some["embedding"]), points, radius)
+                    home, visits = points.place(unit(some["embedding"]), radius)
                     for h, visit, key, mult, v in zip(home.tolist(), visits, some["key"], some["mult"], some["embedding"], strict=True):
                         out.append((int(d), h, True, key, mult, v))
                         out += [(int(d), int(q), False, key, mult, v) for q in visit]
