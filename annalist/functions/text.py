@@ -43,12 +43,17 @@ def let(value: Column, body) -> Column:
 def occurrences(text: Column, quote: Column) -> Column:
     """0-based places of all occurrences of the quote, overlapping ones too.
 
-    The text is cut before each occurrence in one pass (a look-ahead of the quoted text); places are what lies before.
+    The first two are searched for. Only where there are two is the text cut before each occurrence in one pass (a
+    look-ahead of the quoted text); places are the running lengths of the pieces.
     """
+    none = F.array().cast("array<int>")
     ahead = F.concat(F.lit(r"(?=\Q"), F.replace(quote, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
-    cuts = let(F.split(text, ahead, -1), lambda pieces: F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda _, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x))))
-    first = F.when(F.startswith(text, quote), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    return F.when(F.length(quote) > 0, F.concat(first, F.filter(cuts, lambda i: i > 0))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(0).alias("at"), none.alias("places"))
+    step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.when(s["at"] > 0, F.array_append(s["places"], s["at"])).otherwise(s["places"]).alias("places"))
+    first = F.when(F.startswith(text, quote), F.array(F.lit(0))).otherwise(none)
+    every = F.concat(first, F.aggregate(F.split(text, ahead, -1), start, step)["places"])
+    found = let(F.position(quote, text), lambda p: F.when(p == 0, none).when(F.position(quote, text, p + 1) == 0, F.array(p - 1)).otherwise(every))
+    return F.when(F.length(quote) > 0, found).otherwise(none)
 
 
 def context(text: Column, start: Column, end: Column, reach: int = 64) -> Column:

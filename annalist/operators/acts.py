@@ -132,7 +132,8 @@ def six_lines(status: Column, reason: Column, changed: Column, touched: Column,
                        F.concat(F.lit("SAFE   : "), safe), F.concat(F.lit("NEXT   : "), dash(next_)), F.concat(F.lit("CHECK  : "), dash(check)), F.concat(F.lit("RECOVERY: "), dash(recovery)))
 
 
-def human_history(events: DataFrame) -> DataFrame:
-    """sha256 of the ordered digests of all events of humans' instances (seq, digest): what a confirmation was made under."""
+def human_history(events: DataFrame, *keys: str) -> DataFrame:
+    """keys, events, sha256 of the ordered digests of all events of humans' instances (seq, digest), by ``keys``: what a
+    confirmation was made under. The events of a key are one text."""
     listed = F.array_sort(F.collect_list(F.struct("seq", "digest")))
-    return events.agg(F.count("*").alias("events"), sha256(F.array_join(F.transform(listed, lambda x: x["digest"]), "\n")).alias("sha256"))
+    return events.groupBy(*keys).agg(F.count("*").alias("events"), sha256(F.array_join(F.transform(listed, lambda x: x["digest"]), "\n")).alias("sha256"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from annalist.functions.text import context, occurrences, text_digest
+from annalist.functions.text import context, let, occurrences, text_digest
 
 
 def reanchored(old: Column, start: Column, end: Column, new: Column) -> Column:
@@ -16,15 +16,17 @@ def reanchored(old: Column, start: Column, end: Column, new: Column) -> Column:
     ambiguous. A null text: missing. The texts must be NFC.
     """
     quote = F.substring(old, start + 1, end - start)
-    size = F.length(quote)
-    places = occurrences(new, quote)
-    told = text_digest(context(old, start, end))
-    alike = F.filter(places, lambda p: text_digest(context(new, p, p + size)) == told)
-    exact = (old == new) | ((F.substring(new, start + 1, end - start) == quote) & (end <= F.length(new)))
-    some = lambda outcome, at: F.struct(F.lit(outcome).alias("outcome"), at.cast("long").alias("new_start"), places.alias("candidates"))
+    size = end - start
+    exact = (old == new) | ((F.substring(new, start + 1, size) == quote) & (end <= F.length(new)))
     none = F.lit(None).cast("long")
-    return (
-        F.when(old.isNull() | new.isNull(), F.struct(F.lit("missing").alias("outcome"), none.alias("new_start"), F.array().cast("array<int>").alias("candidates")))
-        .when(exact, some("exact", start)).when(F.size(places) == 0, some("missing", none)).when(F.size(places) == 1, some("unique_move", places[0]))
-        .when(F.size(alike) == 1, some("unique_move", alike[0])).otherwise(some("ambiguous", none))
-    )
+
+    def told(places: Column) -> Column:
+        """The outcome, given the places: contexts are compared only where there are several."""
+        mine = text_digest(context(old, start, end))
+        alike = F.filter(places, lambda p: text_digest(context(new, p, p + size)) == mine)
+        some = lambda outcome, at: F.struct(F.lit(outcome).alias("outcome"), at.cast("long").alias("new_start"), places.alias("candidates"))
+        several = F.transform(F.array(alike), lambda a: F.when(F.size(a) == 1, some("unique_move", a[0])).otherwise(some("ambiguous", none)))[0]
+        return F.when(exact, some("exact", start)).when(F.size(places) == 0, some("missing", none)).when(F.size(places) == 1, some("unique_move", places[0])).otherwise(several)
+
+    lost = F.struct(F.lit("missing").alias("outcome"), none.alias("new_start"), F.array().cast("array<int>").alias("candidates"))
+    return F.when(old.isNull() | new.isNull(), lost).otherwise(let(occurrences(new, quote), told))

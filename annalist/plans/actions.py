@@ -138,8 +138,8 @@ def release_digests(spark, sf_dir):
 
 
 def human_history(spark, sf_dir):
-    j = journal_seal(spark, sf_dir).where("kind = 'record.registered' and record_id = 7")
-    return acts.human_history(j)
+    """Of every record, the digest of its registrations."""
+    return acts.human_history(journal_seal(spark, sf_dir).where("kind = 'record.registered'"), "record_id")
 
 
 def reports(spark, sf_dir):
@@ -191,7 +191,7 @@ CASE WHEN payload % 3 = 0 THEN 'many' WHEN payload >= 60 THEN 'unknown' WHEN pay
 m AS (SELECT *, sha256('{"actor":"human","domain":"transcript_confirmation","fulltext_origin":"segment_projection","profile_id":"fixture","record_id":"' || doc_id || '","revision_sha256":"' || s || '","v":2}') AS k FROM d)
 SELECT doc_id AS record_id, s AS text_sha256, 'REF-1@' || left(k, 12) AS decision_id FROM m WHERE doc_id % 3 > 0 AND doc_id % 7 <> 1 AND s IN (SELECT s FROM d WHERE doc_id % 5 > 0)""",
     "release_digests": """SELECT doc_id, CASE WHEN doc_id % 9 > 0 AND lang IS NOT NULL THEN sha256('{"domain":"annalist.release.fields","fields":{"accessRights":"open","consent_status":"granted","interview_date":"2024-01-01","interviewer":"x","language":"' || lang || '","record_id":"' || doc_id || '","title":"\\"T\\" ' || doc_id || '"},"version":1}' || chr(10)) END AS sha256 FROM documents""",
-    "human_history": f"WITH RECURSIVE {_SEALED} SELECT count(*)::BIGINT AS events, sha256(coalesce(string_agg(digest, chr(10) ORDER BY seq), '')) AS sha256 FROM ch WHERE kind = 'record.registered' AND record_id = 7",
+    "human_history": f"WITH RECURSIVE {_SEALED} SELECT record_id, count(*)::BIGINT AS events, sha256(string_agg(digest, chr(10) ORDER BY seq)) AS sha256 FROM ch WHERE kind = 'record.registered' GROUP BY 1",
 }
 SQL["reports"] = f"""WITH {_FACTS} SELECT record_id, 'STATUS : ' || status || '  — ' || decision || chr(10) || 'CHANGED: ' || CASE WHEN record_id % 2 = 0 THEN 'a, b' ELSE 'none' END || chr(10) || 'SAFE   : Source data ' || CASE WHEN record_id % 5 = 0 THEN 'changed' ELSE 'unchanged' END || '; Upload no' || chr(10)
 || 'NEXT   : ' || CASE WHEN status = 'READY' THEN '—' ELSE {_REPAIRS}[record_id % {len(KINDS)} + 1] END || chr(10) || 'CHECK  : —' || chr(10) || 'RECOVERY: —' AS report FROM st"""

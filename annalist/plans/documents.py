@@ -123,7 +123,7 @@ def reanchor_outcome(spark, sf_dir):
     """Anchors over code points 10 to 40 of every text, in a revision with its first word twice and its last 50 characters gone."""
     d = _docs(spark, sf_dir).where(F.length("text") >= 40)
     new = F.concat(F.substring_index("text", " ", 1), F.lit(" "), F.expr("left(text, length(text) - 50)"))
-    return d.select("doc_id", anchors.reanchored(F.col("text"), F.lit(10), F.lit(40), new).alias("r")).select("doc_id", "r.outcome", "r.new_start")
+    return d.withColumn("new", new).select("doc_id", anchors.reanchored(F.col("text"), F.lit(10), F.lit(40), F.col("new")).alias("r")).select("doc_id", "r.outcome", "r.new_start")
 
 
 QUERIES = {f.__name__: f for f in (content_dedupe, dangling_refs, normalised_digests, pii_spans, merge_spans, overlap_refusal, mention_ids, register, register_extended, register_check, alias_candidates, render_report, pseudonymise, replacement_sums, provisional_labels, case_counts, span_binding, reanchor_outcome)}

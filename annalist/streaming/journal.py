@@ -11,9 +11,10 @@ def events(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(folder)
 
 
-def append_once(stream: DataFrame, *keys: str) -> DataFrame:
-    """The first arrival of each key; with a watermark on the stream the state stays bounded."""
-    return stream.dropDuplicates(list(keys))
+def append_once(stream: DataFrame, *keys: str, time: str = "ts", within: str = "1 day") -> DataFrame:
+    """The first arrival of each key. Repeats are told for ``within`` after the first by the column ``time``: keys are
+    forgotten once the watermark has passed that, so the state stays bounded."""
+    return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(list(keys))
 
 
 def latest(stream: DataFrame, *keys: str) -> DataFrame:

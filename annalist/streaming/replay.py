@@ -89,10 +89,17 @@ def replay(stream: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, folder: str, schema, out: str, checkpoint: str) -> None:
-    """All files of ``folder`` that no run under this checkpoint has seen, into the Parquet folder ``out``; ends when they are done."""
-    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    if "RocksDB" not in spark.conf.get(name):
-        spark.conf.set(name, store)
+    """All files of ``folder`` that no run under this checkpoint has seen, into the Parquet folder ``out``; ends when they are done.
+
+    Sets the session's state store (RocksDB, which this kind of state needs) where it is another, and one bound on the memory of
+    all stores of an executor, since each partition of the state has its own.
+    """
+    base = "spark.sql.streaming.stateStore"
+    if "RocksDB" not in spark.conf.get(f"{base}.providerClass"):
+        spark.conf.set(f"{base}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name, value in (("boundedMemoryUsage", "true"), ("maxMemoryUsageMB", "256")):
+        if spark.conf.get(f"{base}.rocksdb.{name}", None) is None:
+            spark.conf.set(f"{base}.rocksdb.{name}", value)
     stream = spark.readStream.schema(schema).parquet(folder)
     sink = replay(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     sink.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).trigger(availableNow=True).start().awaitTermination()
