@@ -37,6 +37,20 @@ def model_outcomes(spark, sf_dir):
     return _run(spark, sf_dir)[1]
 
 
+def model_anchors(spark, sf_dir):
+    return completion.anchored(model_suggestions(spark, sf_dir), segments(spark, sf_dir)).select("record_id", "id", "start", "end", "quote_sha256", "context_sha256")
+
+
+def model_evidence(spark, sf_dir):
+    """Fixture convention: of the recorded run, by record modulo 7, the first request is lost (1) or another (2), or all supplements
+    are lost (3)."""
+    folder, m = shared(spark, "model-run"), F.col("record_id") % 7
+    completion.run(segments(spark, sf_dir), _recorded, folder, [CODE], SIZE)
+    first, second = spark.read.parquet(f"{folder}/original"), spark.read.parquet(f"{folder}/supplement")
+    first = first.where(~((m == 1) & (F.col("block") == 0))).withColumn("request_sha256", F.when((m == 2) & (F.col("block") == 0), F.sha2("request_sha256", 256)).otherwise(F.col("request_sha256")))
+    return completion.evidence_findings(segments(spark, sf_dir), first, second.where(m != 3), [CODE], SIZE)
+
+
 #: Fixture convention: types of entities, by their number modulo 3.
 TYPES = ["PERSON", "PLACE", "ORG"]
 _TYPE = "element_at(array('PERSON', 'PLACE', 'ORG'), cast(k % 3 + 1 AS int))"
@@ -106,8 +120,10 @@ def marked_cues(spark, sf_dir):
     return back.select("record_id", "mark_start", "mark_end", "cue", "start", "end", "doc_start", "doc_end", "text_start", "text_end", "document_sha256", "input_sha256")
 
 
-QUERIES = {f.__name__: f for f in (model_suggestions, model_outcomes, prepared_plans, evidence_chains, marked_cues)}
+QUERIES = {f.__name__: f for f in (model_suggestions, model_outcomes, model_anchors, model_evidence, prepared_plans, evidence_chains, marked_cues)}
 
+#: Normalised text: line ends as LF, lines without blanks at their end, one final LF.
+_NORMAL = lambda x: f"regexp_replace(regexp_replace(regexp_replace({x}, '\\r\\n?', chr(10), 'g'), '[^\\S\\n]+(\\n|$)', '\\1', 'g'), '\\n+$', '') || chr(10)"
 _MODEL = f"""s AS (SELECT conv_id AS r, turn AS idx, conv_id % 17 AS m, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // {SIZE} AS b FROM conversations),
 t AS (SELECT r, b, any_value(m) AS m, count(*) AS n, count(*) FILTER (idx % 4 = 1) AS lacks FROM s GROUP BY 1, 2),
 p AS (SELECT *, CASE WHEN m NOT IN (1, 2, 3, 4) AND lacks BETWEEN 1 AND n - 1 THEN 1 ELSE 0 END AS sup, CASE WHEN m = 1 THEN 'finish' WHEN m = 2 THEN 'ids' WHEN m = 3 AND lacks < n THEN 'code' WHEN m = 4 THEN 'json' WHEN lacks = n THEN 'ids'
@@ -129,6 +145,13 @@ SQL = {
     "model_suggestions": f"""WITH {_MODEL} SELECT s.r AS record_id, s.idx, '{CODE}' AS code, 'S' || lpad(CAST(row_number() OVER (PARTITION BY s.r ORDER BY s.idx) AS VARCHAR), 3, '0') AS id, s.idx % 4 = 1 AS supplemented
 FROM s JOIN o ON o.record_id = s.r AND o.problem IS NULL""",
     "model_outcomes": f"WITH {_MODEL} SELECT * FROM o",
+    "model_anchors": f"""WITH {_MODEL}, f AS (SELECT conv_id AS r, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY 1),
+q AS (SELECT conv_id AS r, turn AS idx, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM conversations),
+k AS (SELECT q.*, a + length(text) AS b, 'S' || lpad(CAST(row_number() OVER (PARTITION BY r ORDER BY idx) AS VARCHAR), 3, '0') AS id FROM q)
+SELECT k.r AS record_id, id, a AS start, b AS "end", sha256({_NORMAL('text')}) AS quote_sha256, sha256({_NORMAL("substr(t, greatest(a - 64, 0) + 1, a - greatest(a - 64, 0)) || chr(0) || substr(t, b + 1, 64)")}) AS context_sha256
+FROM k JOIN f USING (r) JOIN o ON o.record_id = k.r AND o.problem IS NULL""",
+    "model_evidence": f"""WITH {_MODEL} SELECT r AS record_id, 'original' AS kind, b AS block, f AS finding FROM p, (VALUES ('lost'), ('foreign')) v(f) WHERE b = 0 AND (r % 7 = 2 OR r % 7 = 1 AND f = 'lost')
+UNION ALL SELECT r, 'supplement', b, CASE WHEN r % 7 = 3 THEN 'lost' ELSE 'foreign' END FROM p WHERE sup = 1 AND (r % 7 = 3 OR b = 0 AND r % 7 IN (1, 2))""",
     "prepared_plans": f"""WITH {_PLANS} SELECT plan, 'moved' AS finding, NULL AS entity_type, NULL AS surface, h AS expected, h - 1 AS reported FROM (SELECT plan, (SELECT max(seq) FROM rg WHERE rg.seq < plan) AS h FROM pl) WHERE plan % 5 = 4 AND h IS NOT NULL
 UNION ALL SELECT plan, 'number', entity_type, surface, number, number + 1 FROM nu JOIN le USING (plan) WHERE plan % 5 = 1 AND (entity_type, surface) = least
 UNION ALL SELECT plan, 'lost', entity_type, surface, number, NULL FROM nu JOIN le USING (plan) WHERE plan % 5 = 2 AND (entity_type, surface) = least
