@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-def normalized(text: Column) -> Column:
-    """Line ends as LF, trailing white space of every line gone, exactly one final LF (the text must be NFC)."""
+def normalized(text: Column, blanks: int = 0) -> Column:
+    """Line ends as LF, trailing white space of every line gone, exactly one final LF (the text must be NFC). ``blanks``: how many
+    blank lines may follow each other, of more the rest goes (0: all stay)."""
     unix = F.regexp_replace(text, "\r\n?", "\n")
     lines = F.transform(F.split(unix, "\n", -1), lambda x: F.regexp_replace(x, r"(?U)\s+\z", ""))
-    return F.concat(F.regexp_replace(F.array_join(lines, "\n"), r"\n+\z", ""), F.lit("\n"))
+    joined = F.array_join(lines, "\n")
+    if blanks:
+        joined = F.regexp_replace(F.regexp_replace(joined, rf"\A\n{{{blanks},}}", "\n" * blanks), rf"\n{{{blanks + 1},}}", "\n" * (blanks + 1))
+    return F.concat(F.regexp_replace(joined, r"\n+\z", ""), F.lit("\n"))
 
 
 def sha256(text: Column) -> Column:

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from annalist.operators import graph, planning, sessions
-from annalist.plans import documents, evidence, governance, texts, workflow
+from annalist.plans import actions, documents, evidence, governance, texts, workflow
 from annalist.plans.workflow import _EV, events
 from annalist.sources.tables import read
 
@@ -150,11 +150,13 @@ def side_inputs(spark, sf_dir):
 
 
 def doctor(spark, sf_dir):
-    """What the checks of the journal, the graph's handlers, the ledger, the store and the metadata find."""
+    """What the checks of files, the journal, the graph's handlers, egress, the ledger, the store and the metadata find."""
     area = lambda df, name, record, text: df.select(F.lit(name).alias("area"), record.cast("long").alias("record_id"), text.alias("text"))
     meta = evidence.metadata_findings(spark, sf_dir)
     found = area(workflow.journal_verify(spark, sf_dir).where("problem is not null"), "journal", F.col("record_id"), F.concat(F.col("problem"), F.lit(" at "), F.col("seq").cast("string")))
     for more in (
+        area(actions.ingest_plan(spark, sf_dir).where("outcome in ('utf8', 'parse')"), "structure", F.col("record_id"), F.concat(F.col("outcome"), F.lit(" "), F.col("name"))),
+        area(governance.egress_inheritance(spark, sf_dir).where("inherited and not holds"), "egress", F.col("record_id"), F.concat(F.lit("moved after "), F.col("seq").cast("string"))),
         area(texts.handler_registry(spark, sf_dir), "graph", F.lit(0), F.concat(F.col("step"), F.lit(": "), F.col("finding"))),
         area(governance.ledger_against_journal(spark, sf_dir).where("finding <> 'behind'"), "ledger", F.col("record_id"), F.col("finding")),
         area(documents.dangling_refs(spark, sf_dir), "store", F.col("doc_id"), F.concat(F.lit("lost: "), F.col("doc_id").cast("string"))),
@@ -199,10 +201,11 @@ SELECT record_id, told AS problem, CASE WHEN told IS NULL THEN sha256('{{"analys
 CASE WHEN record_id % 8 <> 5 AND lacks THEN 'language' ELSE '' END AS open FROM d""",
     "side_inputs": f"""WITH {_EV}, t AS (SELECT payload % 2 AS r, max(seq) AS seq, sha256(CAST(arg_max(payload, seq) AS VARCHAR)) AS sha FROM ev WHERE kind = 'source.ingested' AND payload % 11 = 0 GROUP BY 1)
 SELECT DISTINCT record_id, (SELECT sha FROM t WHERE r = 0) AS sha256_0, (SELECT seq FROM t WHERE r = 0) AS seq_0, (SELECT sha FROM t WHERE r = 1) AS sha256_1, (SELECT seq FROM t WHERE r = 1) AS seq_1, NULL::VARCHAR AS sha256_2, NULL::BIGINT AS seq_2 FROM ev""",
-    "doctor": f"""WITH jv AS ({workflow.SQL['journal_verify']}), hr AS ({texts.SQL['handler_registry']}), la AS ({governance.SQL['ledger_against_journal']}), dr AS ({documents.SQL['dangling_refs']}), mf AS ({evidence.SQL['metadata_findings']}),
+    "doctor": f"""WITH jv AS ({workflow.SQL['journal_verify']}), hr AS ({texts.SQL['handler_registry']}), la AS ({governance.SQL['ledger_against_journal']}), dr AS ({documents.SQL['dangling_refs']}), mf AS ({evidence.SQL['metadata_findings']}), ip AS ({actions.SQL['ingest_plan']}), ei AS ({governance.SQL['egress_inheritance']}),
 f AS (SELECT 'journal' AS area, record_id::BIGINT AS record_id, problem || ' at ' || seq AS text FROM jv WHERE problem IS NOT NULL UNION ALL SELECT 'graph', 0, step || ': ' || finding FROM hr UNION ALL
- SELECT 'ledger', record_id, finding FROM la WHERE finding <> 'behind' UNION ALL SELECT 'store', doc_id, 'lost: ' || doc_id FROM dr UNION ALL SELECT 'metadata', record_id, coalesce(field, '-') || ': ' || finding FROM mf),
+ SELECT 'ledger', record_id, finding FROM la WHERE finding <> 'behind' UNION ALL SELECT 'store', doc_id, 'lost: ' || doc_id FROM dr UNION ALL SELECT 'metadata', record_id, coalesce(field, '-') || ': ' || finding FROM mf
+ UNION ALL SELECT 'structure', record_id, outcome || ' ' || name FROM ip WHERE outcome IN ('utf8', 'parse') UNION ALL SELECT 'egress', record_id, 'moved after ' || seq FROM ei WHERE inherited AND NOT holds),
 n AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY record_id, text) AS n FROM f)
-SELECT area, CASE area WHEN 'journal' THEN 2 WHEN 'graph' THEN 3 WHEN 'ledger' THEN 5 WHEN 'store' THEN 6 ELSE 7 END AS rank, CASE area WHEN 'graph' THEN 'CONFIG' WHEN 'metadata' THEN 'ACTION_NEEDED' ELSE 'STOP' END AS status,
+SELECT area, CASE area WHEN 'structure' THEN 1 WHEN 'egress' THEN 4 WHEN 'journal' THEN 2 WHEN 'graph' THEN 3 WHEN 'ledger' THEN 5 WHEN 'store' THEN 6 ELSE 7 END AS rank, CASE area WHEN 'graph' THEN 'CONFIG' WHEN 'metadata' THEN 'ACTION_NEEDED' ELSE 'STOP' END AS status,
 count(*) AS findings, string_agg(text, '; ' ORDER BY n) FILTER (n <= 3) AS shown FROM n GROUP BY 1""",
 }
