@@ -251,14 +251,13 @@ def test_held_out_accuracy(spark):
 
 
 def test_held_out_toxicity(spark):
-    """Area under the curve over labelled rows that are held out, in the largest of the small tables."""
+    """Area under the curve over labelled rows that are held out, in the largest of the small tables; ties count half."""
     data = DATA.replace("0.001", "0.1")
     toxic = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{data}/labels.parquet' WHERE toxic IS NOT NULL").fetchall())
-    found = sorted((r.score, toxic[r.doc_id]) for r in catalog.QUERIES["op3_toxicity"](spark, data).collect() if r.doc_id in toxic and r.held_out)
-    y = np.array([x for _, x in found])
-    ranks = np.arange(1, len(y) + 1)
-    n = y.sum()
-    assert n >= 50 and (ranks[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n)) > 0.92
+    found = [(r.score, toxic[r.doc_id]) for r in catalog.QUERIES["op3_toxicity"](spark, data).collect() if r.doc_id in toxic and r.held_out]
+    bad, good = (np.array([x for x, y in found if y == k]) for k in (1, 0))
+    wins = (bad[:, None] > good[None]).mean() + (bad[:, None] == good[None]).mean() / 2
+    assert len(bad) >= 50 and wins > 0.95
 
 
 def read(docs, size):
