@@ -17,7 +17,7 @@ def test_files_are_refused_whole(spark, tmp_path):
     f = ingest.files(spark, str(tmp_path)).withColumn("record_id", F.regexp_extract("path", r"(\w)\.\w+$", 1))
     none = spark.createDataFrame([], "record_id string, runtime string"), spark.createDataFrame([], "record_id string, sha256 string")
     p = ingest.plan(f, *none, "annalist").collect()
-    assert {r.name: (r.outcome, r.cues) for r in p} == {"a.srt": ("new", 1), "b.srt": ("parse", None), "c.srt": ("utf8", None), "d.mp3": ("suffix", None), "e.vtt": ("new", None)}
+    assert {r.name: (r.outcome, r.cues) for r in p} == {"a.srt": ("new", 1), "b.srt": ("parse", None), "c.srt": ("utf8", None), "d.mp3": ("suffix", None), "e.vtt": ("parse", None)}
     assert {r.name: r.sha256 for r in p} == {n: hashlib.sha256(d).hexdigest() for n, d in files.items()}
     seg = ingest.load_srt(f.where("record_id = 'a'")).first()
     assert (seg.speaker, seg.text, seg.problem) == ("ANNA", "Guten Tag", None)
