@@ -22,7 +22,8 @@ def inputs_as_of(events: DataFrame, timeline: DataFrame, roles: list[str]) -> Da
     there was none. Later inputs change nothing. Events: seq and any columns; timeline: role, seq, sha256.
 
     Up to LIMIT inputs of these roles are broadcast in order and looked up by binary search, without a shuffle of the
-    events. More of them meet the events by ranges of BLOCK numbers. Of inputs with one number the larger sha256 counts.
+    events. More of them meet the events by ranges of BLOCK numbers (what held at the beginning of each range, a row a
+    range, is found in one task). Of inputs with one number the larger sha256 counts.
     """
     named = timeline.where(F.col("role").isin(roles)).select("role", F.col("seq").cast("long").alias("seq"), "sha256")
     few = named.limit(LIMIT + 1).collect()
