@@ -179,13 +179,19 @@ def refine(found: DataFrame, box: Scratch, name: str, weight: F.Column, columns:
 
 def again(codes: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
     """Which places begin ``least`` bytes, within one piece, that begin elsewhere among the pieces too: a sort by two
-    64-bit identifiers, made from those of shorter strings at later offsets."""
+    64-bit identifiers, made from those of shorter strings at later offsets. Identifiers are made for about TOGETHER bytes of
+    whole pieces at once; only those of starts are kept."""
     ends = np.cumsum(sizes)
-    edge = np.zeros(len(codes) + 1, np.int8)
-    edge[ends - sizes] += 1
-    edge[ends - least + 1] -= 1
-    at = np.flatnonzero(np.cumsum(edge[:-1]))
-    x, y = identifiers(codes, least)[at], identifiers(codes, least, _OTHERS)[at]
+    begins, held = ends - sizes, []
+    turns = np.flatnonzero(np.diff(begins // TOGETHER, prepend=-1))
+    for first, past in zip(turns, [*turns[1:], len(sizes)], strict=True):
+        a, b = begins[first], ends[past - 1]
+        edge = np.zeros(b - a + 1, np.int8)
+        edge[begins[first:past] - a] += 1
+        edge[ends[first:past] - a - least + 1] -= 1
+        at = np.flatnonzero(np.cumsum(edge[:-1]))
+        held.append((at + a, *(identifiers(codes[a:b], least, of)[at] for of in (_BYTES, _OTHERS))))
+    at, x, y = (np.concatenate(v) for v in zip(*held, strict=True))
     order = np.argsort(x)
     x, y = x[order], y[order]
     same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
