@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -22,8 +23,8 @@ class Journal:
     """``folder``/parts/<attempt> holds the rows of a transaction, ``folder``/manifest/<version>.json tells that they count.
 
     A version is a file that only one writer can create: its JSON is written beside and renamed without overwriting, as
-    Structured Streaming does for its own log. Everything before that leaves the journal as it was; leftovers of a
-    writer that died are parts that no manifest names. Needs a store whose rename doesn't replace (HDFS, local disks).
+    Structured Streaming does for its own log. Everything before that leaves the journal as it was. What a writer is about to do
+    stands in ``folder``/intents before it begins, so that ``recover`` can finish or drop what a dead one left. Needs a store whose rename doesn't replace (HDFS, local disks).
     """
 
     def __init__(self, spark: SparkSession, folder: str, key: bytes | None = None):
@@ -48,7 +49,15 @@ class Journal:
         newest = max((n for n in found if n.endswith(".json") and not n.startswith(".")), default=None)
         if newest is None:
             return {"version": 0, "part": None, "operation": None, "seq": 0, "digest": chain.GENESIS}
-        stream = self.fs.open(self._path(f"{self.folder}/manifest/{newest}"))
+        return self._read(f"{self.folder}/manifest/{newest}")
+
+    def _write(self, name: str, line: dict) -> None:
+        stream = self.fs.create(self._path(name), True)
+        stream.write(bytearray(json.dumps(line, sort_keys=True).encode()))
+        stream.close()
+
+    def _read(self, name: str) -> dict:
+        stream = self.fs.open(self._path(name))
         try:
             return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
@@ -57,9 +66,7 @@ class Journal:
     def _publish(self, line: dict) -> bool:
         """Creates the next version; False if another writer has."""
         made, beside = f"{self.folder}/manifest/{line['version']:020d}.json", f"{self.folder}/manifest/.{uuid.uuid4().hex}"
-        stream = self.fs.create(self._path(beside), True)
-        stream.write(bytearray(json.dumps(line, sort_keys=True).encode()))
-        stream.close()
+        self._write(beside, line)
         options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = getattr(self.jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
         try:
@@ -71,6 +78,17 @@ class Journal:
             return False
         return True
 
+    def _done(self, operation: str) -> dict | None:
+        found = self.log().where(F.col("operation") == operation).first()
+        return found and found.asDict()
+
+    def _publish_part(self, head: dict, part: str, operation: str) -> int | None:
+        """The version that now names the part; None if the head has moved."""
+        last = self.spark.read.parquet(part).agg(F.max("seq").alias("seq"), F.max_by("digest", "seq").alias("digest")).first()
+        ended = (last["seq"], last["digest"]) if last["seq"] is not None else (head["seq"], head["digest"])
+        line = {"version": head["version"] + 1, "part": part, "operation": operation, "seq": ended[0], "digest": ended[1]}
+        return line["version"] if self._publish(line) else None
+
     def append(self, events: DataFrame, operation: str, attempts: int = 3, before_publish: Callable[[], None] | None = None) -> int:
         """Appends events (order, at, kind, record_id, payload) as one transaction; gives the version that holds them.
 
@@ -80,21 +98,48 @@ class Journal:
         ``attempts`` times. ``before_publish`` runs when the part is written and not yet named.
         """
         for _ in range(attempts):
-            head = self.head()
-            done = self.log().where(F.col("operation") == operation).first()
+            head, done = self.head(), self._done(operation)
             if done is not None:
                 return done["version"]
-            part = f"{self.folder}/parts/{uuid.uuid4().hex}"
+            name = uuid.uuid4().hex
+            part, intent = f"{self.folder}/parts/{name}", f"{self.folder}/intents/{name}.json"
+            self._write(intent, {"operation": operation, "part": part, "version": head["version"]})
             self._sealed(events, operation, head).write.parquet(part)
             if before_publish is not None:
                 before_publish()
-            last = self.spark.read.parquet(part).agg(F.max("seq").alias("seq"), F.max_by("digest", "seq").alias("digest")).first()
-            ended = (last["seq"], last["digest"]) if last["seq"] is not None else (head["seq"], head["digest"])
-            line = {"version": head["version"] + 1, "part": part, "operation": operation, "seq": ended[0], "digest": ended[1]}
-            if self._publish(line):
-                return line["version"]
+            version = self._publish_part(head, part, operation)
+            self.fs.delete(self._path(intent), False)
+            if version is not None:
+                return version
         raise Moved(f"{operation}: another writer was first {attempts} times")
 
+    def recover(self, older: float = 3600) -> list[tuple[str, str]]:
+        """What became of operations whose writers left an intent ``older`` seconds ago or more: (operation, outcome), by intent.
+
+        ``done``: it was published before the writer died, or by another attempt. ``finished``: its part was whole and the head
+        is still the one that it was sealed to, so it is published now. ``moved``: whole, but sealed to an older head;
+        ``partial``: the part isn't whole. These two are dropped, the operation is to be run again. Intents of living
+        writers must be younger than ``older``.
+        """
+        folder, out = self._path(f"{self.folder}/intents"), []
+        if not self.fs.exists(folder):
+            return out
+        for status in sorted(self.fs.listStatus(folder), key=lambda s: s.getPath().getName()):
+            if time.time() - status.getModificationTime() / 1000 < older:
+                continue
+            intent = self._read(str(status.getPath()))
+            part, head, done = intent["part"], self.head(), self._done(intent["operation"])
+            whole = self.fs.exists(self._path(f"{part}/_SUCCESS"))
+            if done is None and whole and head["version"] == intent["version"] and self._publish_part(head, part, intent["operation"]) is not None:
+                outcome, keep = "finished", True
+            else:
+                outcome, keep = ("done", done["part"] == part) if done is not None else ("moved" if whole else "partial", False)
+            if not keep:
+                self.fs.delete(self._path(part), True)
+            self.fs.delete(status.getPath(), False)
+            out.append((intent["operation"], outcome))
+        return out
+
     def _sealed(self, events: DataFrame, operation: str, head: dict) -> DataFrame:
         intent = F.sha2(F.lit(operation), 256)
         rows = events.select(F.lit(0).alias("journal"), "order", "at", "kind", "record_id", "payload").withColumn("operation_intent_sha256", intent)

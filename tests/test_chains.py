@@ -207,6 +207,51 @@ def test_transactions_count_once(spark, tmp_path):
     assert j.append(e.where("false"), "none") == 4 and j.head()["seq"] == 30
 
 
+def test_what_dead_writers_leave(spark, tmp_path):
+    """Killed before the part, in it, and after it: recovery and a second run leave the journal of a writer that lived."""
+    e, real = events(spark, 12), chain.seal
+    batches = {f"b{n}": e.where(F.col("order") % 4 == n) for n in range(4)}
+    lived = commits.Journal(spark, str(tmp_path / "lived"), KEY)
+    for name, batch in batches.items():
+        lived.append(batch, name)
+    want = sorted(map(tuple, lived.snapshot().collect()))
+    assert lived.recover(0) == []
+    j = commits.Journal(spark, str(tmp_path / "j"), KEY)
+
+    def die(*_, **__):
+        raise Killed
+
+    commits.chain.seal = die  # before anything of the part is there
+    try:
+        with pytest.raises(Killed):
+            j.append(batches["b0"], "b0")
+    finally:
+        commits.chain.seal = real
+    assert j.recover() == [] and j.recover(0) == [("b0", "partial")] and j.head()["version"] == 0
+
+    def torn():  # its files are there, but not its end
+        part = next((tmp_path / "j" / "parts").iterdir())
+        (part / "_SUCCESS").unlink()
+        raise Killed
+
+    with pytest.raises(Killed):
+        j.append(batches["b0"], "b0", before_publish=torn)
+    assert j.recover(0) == [("b0", "partial")] and list((tmp_path / "j" / "parts").iterdir()) == []
+    j.append(batches["b0"], "b0")
+    with pytest.raises(Killed):
+        j.append(batches["b1"], "b1", before_publish=die)
+    assert j.recover(0) == [("b1", "finished")] and j.head()["version"] == 2 and j.append(batches["b1"], "b1") == 2
+    with pytest.raises(Killed):
+        j.append(batches["b2"], "b2", before_publish=die)
+    j.append(batches["b2"], "b2")  # run again before anyone recovers
+    with pytest.raises(Killed):
+        j.append(batches["b3"], "b3", before_publish=die)
+    j.append(e.where("false"), "between")
+    assert sorted(j.recover(0)) == [("b2", "done"), ("b3", "moved")] and j.recover(0) == []
+    j.append(batches["b3"], "b3")
+    assert sorted(map(tuple, j.snapshot().collect())) == want and len(list((tmp_path / "j" / "parts").iterdir())) == 5
+
+
 def test_of_two_writers_one_is_first(spark, tmp_path):
     j, e = commits.Journal(spark, str(tmp_path / "j")), events(spark, 20)
     mine = []
