@@ -70,12 +70,17 @@ def decision_check(spark, sf_dir):
     return d.select("seq", acts.decision_problem(p % 3 == 0).alias("problem"))
 
 
+#: Fixture convention: ids of the profile have as many digits as any record_id fits in; with three, records from 1000 on had none.
+DIGITS = 19
+
+
 def key_gate(spark, sf_dir):
     e = events(spark, sf_dir)
-    p, r = F.col("payload"), F.format_string("REC-%03d", F.col("record_id"))
-    k = e.select("seq", F.when(p % 7 == 0, "7").otherwise(r).alias("current_id"), F.when(p % 11 == 0, "workspace").otherwise("record").alias("scope"), F.when(p % 13 == 0, "REC-7").when(p % 17 == 0, "REC-999").otherwise(r).alias("scope_id"),
+    name = lambda c: F.format_string(f"REC-%0{DIGITS}d", c)
+    p, r = F.col("payload"), name(F.col("record_id"))
+    k = e.select("seq", F.when(p % 7 == 0, "7").otherwise(r).alias("current_id"), F.when(p % 11 == 0, "workspace").otherwise("record").alias("scope"), F.when(p % 13 == 0, "REC-7").when(p % 17 == 0, name(F.lit(999).cast("long"))).otherwise(r).alias("scope_id"),
                  F.when(p % 5 == 0, "other").otherwise(F.element_at(F.array(*map(F.lit, KINDS)), (p % len(KINDS) + 1).cast("int"))).alias("kind"))
-    return k.select("seq", acts.key_gate("REC", 3, KINDS).alias("reason"))
+    return k.select("seq", acts.key_gate("REC", DIGITS, KINDS).alias("reason"))
 
 
 def _artifacts(spark, sf_dir):
