@@ -1,4 +1,4 @@
-"""Embedding near-dedup: an exact metric range join over pivot cells with boundary replication."""
+"""Embedding near-dedup: an exact all-pairs join of packed blocks, whose disk grows with the vectors."""
 
 from __future__ import annotations
 
@@ -7,14 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import Scratch, table, width
+from annalist.llm.common import Scratch, table
 from annalist.llm.components import connected_components
 
-#: Rows of a cell that one task compares with as many others at once.
+#: Vectors of a block: as many are compared with as many others at once.
 BLOCK = 2048
+#: Numbers that a block has for its vectors.
+WIDTH = 1 << 16
+_TYPES = {"float": np.float32, "double": np.float64}
 
 
 def usable(v) -> np.ndarray | None:
@@ -28,7 +32,7 @@ def usable(v) -> np.ndarray | None:
 
 
 def keyed(embeddings: DataFrame) -> DataFrame:
-    """vec_id, key (digest of the components; null if not usable)."""
+    """vec_id, key (digest of the components; null if not usable), embedding (in single precision if the table's is)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -38,12 +42,13 @@ def keyed(embeddings: DataFrame) -> DataFrame:
                 keys.append(None if x is None else hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).hexdigest())
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "key": pd.Series(keys, dtype=object), "embedding": pdf["embedding"]})
 
-    schema = f"vec_id {embeddings.schema['vec_id'].dataType.simpleString()}, key string, embedding array<double>"
-    return embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(run, schema)
+    kind = "array<float>" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    schema = f"vec_id {embeddings.schema['vec_id'].dataType.simpleString()}, key string, embedding {kind}"
+    return embeddings.select("vec_id", F.col("embedding").cast(kind).alias("embedding")).mapInPandas(run, schema)
 
 
 def unit(vectors) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    x = vectors.astype(np.float64) if isinstance(vectors, np.ndarray) else np.stack([np.asarray(v, np.float64) for v in vectors])
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -121,13 +126,43 @@ def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row, col = new_row, new_col
 
 
+def packed(classes: DataFrame) -> DataFrame:
+    """block, dims, keys, mults, least_ids, data: classes (key, mult, least_id, embedding) in blocks of BLOCK vectors of one length."""
+    kind = classes.schema["embedding"].dataType.elementType.simpleString()
+    least_id = classes.schema["least_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        made = TaskContext.get().partitionId() << 20  # blocks are numbered by task, and then as they are made
+
+        def block(rows: list) -> pd.DataFrame:
+            nonlocal made
+            keys, mults, least_ids, raw = (list(c) for c in zip(*rows, strict=True))
+            made += 1
+            data = np.stack([np.asarray(v) for v in raw]).astype(_TYPES[kind]).tobytes()
+            return pd.DataFrame({"block": [made - 1], "dims": [len(raw[0])], "keys": [keys], "mults": [mults], "least_ids": [least_ids], "data": [data]})
+
+        for pdf in batches:
+            for row in zip(pdf["key"], pdf["mult"], pdf["least_id"], pdf["embedding"], strict=True):
+                some = held.setdefault(len(row[3]), [])
+                some.append(row)
+                if len(some) == BLOCK:
+                    yield block(held.pop(len(row[3])))
+        for some in held.values():
+            yield block(some)
+
+    schema = f"block long, dims int, keys array<string>, mults array<long>, least_ids array<{least_id}>, data binary"
+    return classes.select("key", "mult", "least_id", "embedding").mapInPandas(run, schema)
+
+
 def range_join(embeddings: DataFrame, least: float = 0.9, pivots: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``embeddings`` (vec_id, embedding).
 
-    Equal vectors are one class with a multiplicity, so copies are never paired. Class representatives go to the
-    cell of the nearest pivot, on two levels, and visit the cells that the triangle inequality can't rule out; a cell is cut into
-    blocks of at most about BLOCK rows by hash, and block pairs are independent groups. A group returns counts and
-    spanning links, not pairs. ``pivots``: default half the square root of the classes, chosen by hash (so many come to the driver).
+    Equal vectors are one class with a multiplicity, so copies are never paired. Class representatives are packed in
+    blocks of BLOCK vectors, and each pair of blocks is one row of a Cartesian product, which reads both sides from the shared folder: no
+    vector is written or shuffled once a pair, so disk grows with the vectors. All pairs of classes are compared: products in
+    single precision rule out what is farther from ``least`` than their error bound, the rest is compared in double
+    precision. A pair of blocks returns counts and spanning links, not pairs. ``pivots`` has no effect any more.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing: n_links 0, component_id
     their own vec_id. Vectors of different lengths don't link. Rows with one vec_id are separate rows. An empty
@@ -135,70 +170,54 @@ def range_join(embeddings: DataFrame, least: float = 0.9, pivots: int | None = N
     """
     spark = embeddings.sparkSession
     box = Scratch(spark, "vectors")
-    rows = box.save(keyed(embeddings), "rows")
-    classes = box.save(rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("mult"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("least_id")), "classes")
-    n = classes.count()
-    k = pivots or max(4, round(n**0.5 / 2))
-    chosen = [r["embedding"] for r in classes.orderBy(F.xxhash64("key"), "key").select("embedding").limit(k).collect()]  # at most k vectors
-    by_length: dict[int, list] = {}
-    for v in chosen:
-        by_length.setdefault(len(v), []).append(v)
-    sent = spark.sparkContext.broadcast({d: Pivots(unit(v)) for d, v in by_length.items()})
-    radius = float(np.sqrt(2 - 2 * least))
-
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = keyed(embeddings)
+    parts = max(1, -(-embeddings.count() // BLOCK))
+    grouped = rows.where(F.col("key").isNotNull()).repartition(parts, "key").groupBy("key")
+    classes = grouped.agg(F.count("*").alias("mult"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("least_id"))
+    blocks = box.save(packed(classes), "blocks")
+    kind = classes.schema["embedding"].dataType.elementType.simpleString()
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, kept, a_unit, a_single = None, None, None, None
         for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                lengths = part["embedding"].map(len).to_numpy()
-                out = []
-                for d in np.unique(lengths):
-                    some = part[lengths == d]
-                    points = sent.value.get(int(d))
-                    if points is None:  # a length without pivots: one cell
-                        out += [(int(d), 0, True, *r) for r in zip(some["key"], some["mult"], some["embedding"], strict=True)]
-                        continue
-                    home, visits = points.place(unit(some["embedding"]), radius)
-                    for h, visit, key, mult, v in zip(home.tolist(), visits, some["key"], some["mult"], some["embedding"], strict=True):
-                        out.append((int(d), h, True, key, mult, v))
-                        out += [(int(d), int(q), False, key, mult, v) for q in visit]
-                yield pd.DataFrame(out, columns=["dims", "cell", "home", "key", "mult", "embedding"])
-
-    dealt = box.save(classes.select("key", "mult", "embedding").repartition(width(spark), "key").mapInPandas(cells, "dims int, cell int, home boolean, key string, mult long, embedding array<double>"), "dealt")
-    # rows of a cell: at most (lengths x pivots) rows of counts
-    sizes = dealt.groupBy("dims", "cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("all"))
-    blocks = sizes.select("dims", "cell", F.ceil(F.col("homes") / BLOCK).cast("int").alias("nh"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ns")).where("nh > 0")
-    d = dealt.join(F.broadcast(blocks), ["dims", "cell"])
-    hashed = F.xxhash64("key")
-    h = d.where("home").withColumn("hb", F.pmod(hashed, "nh").cast("int")).withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)))
-    s = d.withColumn("sb", F.pmod(F.xxhash64("key", F.lit(1)), "ns").cast("int")).withColumn("hb", F.explode(F.sequence(F.lit(0), F.col("nh") - 1)))
-    columns = ["dims", "cell", "hb", "sb", "key", "mult", "home", "embedding"]
-    both = h.select(*columns, F.lit(0).alias("side")).unionByName(s.select(*columns, F.lit(1).alias("side")))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        empty = pd.DataFrame({"key": pd.Series([], dtype=object), "root": pd.Series([], dtype=object), "n": pd.Series([], dtype="int64")})
-        if not len(a) or not len(b):
-            return empty
-        ka, kb = a["key"].to_numpy(object), b["key"].to_numpy(object)
-        near = close_pairs(unit(a["embedding"]), unit(b["embedding"]), a["embedding"].tolist(), b["embedding"].tolist(), least)
-        # two rows at home in the cell meet in both orders: the one of the smaller key counts
-        near &= (ka[:, None] < kb[None]) | ~b["home"].to_numpy(bool)[None]
-        rows_in, cols_in = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-        if not len(rows_in):
-            return empty
-        near = near[np.ix_(rows_in, cols_in)]
-        left, right = near @ b["mult"].to_numpy()[cols_in], near.T @ a["mult"].to_numpy()[rows_in]
-        row, col = spanning(near)
-        roots = ka[rows_in]
-        return pd.DataFrame({"key": np.concatenate([ka[rows_in], kb[cols_in]]), "root": np.concatenate([roots[row], roots[col]]), "n": np.concatenate([left, right])})
-
-    found = box.save(both.repartition(width(spark), "dims", "cell", "hb", "sb").groupBy("dims", "cell", "hb", "sb").applyInPandas(compare, "key string, root string, n long"), "found")
-    box.drop("dealt")
-    counts = found.groupBy("key").agg(F.sum("n").alias("n"))
-    roots = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    named = classes.select("key", "mult", "least_id").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").join(counts, "key", "left")
-    named = named.withColumn("root", F.coalesce("root", "key"))
+            out = []
+            for i, j, dims, a_mult, b_mult, a_data, b_data in zip(*(pdf[c] for c in ("a_block", "b_block", "dims", "a_mults", "b_mults", "a_data", "b_data")), strict=True):
+                if i != name:  # the left block stays for many right ones
+                    kept = np.frombuffer(a_data, _TYPES[kind]).reshape(-1, dims)
+                    name, a_unit = i, unit(kept)
+                    a_single = a_unit.astype(np.float32)
+                a = kept
+                b = np.frombuffer(b_data, _TYPES[kind]).reshape(-1, dims)
+                b_unit = unit(b)
+                near = a_single @ b_unit.astype(np.float32).T >= least - (dims + 8) * 1.2e-7
+                if i == j:
+                    near = np.triu(near, 1)
+                r, c = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                if not len(r):
+                    continue
+                near = near[np.ix_(r, c)] & close_pairs(a_unit[r], b_unit[c], a[r], b[c], least)
+                rows_in, cols_in = near.any(1), near.any(0)
+                if not rows_in.any():
+                    continue
+                near, r, c = near[np.ix_(rows_in, cols_in)], r[rows_in], c[cols_in]
+                row, col = spanning(near)
+                ids = np.concatenate([i * WIDTH + r, j * WIDTH + c])
+                n = np.concatenate([near @ np.asarray(b_mult)[c], near.T @ np.asarray(a_mult)[r]])
+                out.append(pd.DataFrame({"id": ids, "root": np.concatenate([i * WIDTH + r[row], i * WIDTH + r[col]]), "n": n}))
+            if out:
+                yield pd.concat(out)
+
+    side = lambda name: blocks.select(*(F.col(c).alias(f"{name}_{c}") for c in ("block", "dims", "mults", "data")))
+    # not written as an equality, which would deal the pairs out by length: as a rule all vectors have one
+    meet = (F.col("a_block") <= F.col("b_block")) & (F.col("a_dims") - F.col("b_dims") == 0)
+    pairs = side("a").hint("shuffle_replicate_nl").join(side("b"), meet).withColumnRenamed("a_dims", "dims").drop("b_dims")
+    found = box.save(pairs.mapInPandas(compare, "id long, root long, n long").groupBy("id", "root").agg(F.sum("n").alias("n")), "found")
+    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
+    roots = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    named = blocks.select("block", F.posexplode(F.arrays_zip("keys", "mults", "least_ids")).alias("k", "x"))
+    named = named.select((F.col("block") * WIDTH + F.col("k")).alias("id"), F.col("x.keys").alias("key"), F.col("x.mults").alias("mult"), F.col("x.least_ids").alias("least_id"))
+    named = named.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(counts, "id", "left")
+    named = named.withColumn("root", F.coalesce("root", "id"))
     first = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(first, "root").select("key", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", "key").join(named, "key", "left")
