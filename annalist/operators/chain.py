@@ -1,7 +1,8 @@
-"""Journals as keyed hash chains: sealed in one ordered pass each, verified block by block wherever the rows lie."""
+"""Journals as keyed hash chains: sealed in one ordered pass each, piece by piece, verified block by block wherever the rows lie."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 from collections.abc import Iterator
@@ -12,10 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.functions.text import hmac_sha256
+from annalist.sources.tables import remove, shared
 
 GENESIS = "0" * 64
 #: Numbers of one block of a chain when it is verified.
 BLOCK = 1 << 16
+#: Rows of journals that a task sorts at once when they are sealed.
+PART = 500_000
 
 
 class JournalBroken(ValueError):
@@ -51,6 +55,11 @@ def linked(rows: DataFrame, by: str, order: str, key: bytes | None = None, seq:
     chain is hashed by one task, but as a stream of its sorted rows: only the last digest is held, and the time is
     linear in the chain's length. Chains are independent.
     """
+    return _passed(rows.repartition(by).sortWithinPartitions(by, order), by, {}, key, seq, last)
+
+
+def _passed(rows: DataFrame, by: str, heads: dict, key: bytes | None, seq: int, last: str) -> DataFrame:
+    """The pass over partitions that are sorted; ``heads``: chains that go on from another number and digest."""
     made = [f for f in rows.schema if f.name not in ("front", "back")]
     names = [f.name for f in made]
 
@@ -61,10 +70,10 @@ def linked(rows: DataFrame, by: str, order: str, key: bytes | None = None, seq:
             seqs, prevs, digests = [], [], []
             for chain, head, tail in zip(chains, fronts, backs, strict=True):
                 if chain != now or n is None:
-                    now, before, n = chain, last, seq
+                    now, (n, before) = chain, heads.get(chain, (seq, last))
                 n += 1
                 body = f"{head}{before}{tail}{n}}}".encode()
-                told = hashlib.sha256(body).hexdigest() if key is None else hmac.new(key, body, "sha256").hexdigest()
+                told = hashlib.sha256(body).hexdigest() if key is None else hmac.digest(key, body, "sha256").hex()
                 seqs.append(n)
                 prevs.append(before)
                 digests.append(told)
@@ -72,19 +81,63 @@ def linked(rows: DataFrame, by: str, order: str, key: bytes | None = None, seq:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(seqs, pa.int64()), pa.array(prevs, pa.string()), pa.array(digests, pa.string())], names=[*names, "seq", "prev", "digest"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in made], "seq long, prev string, digest string"])
-    return rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def seal(events: DataFrame, key: bytes | None = None, seq: int = 0, last: str = GENESIS) -> DataFrame:
+def linked_in_parts(rows: DataFrame, by: str, order: str, add: dict[str, Column], folder: str, key: bytes | None = None, seq: int = 0, last: str = GENESIS) -> DataFrame:
+    """As ``linked``, but for chains longer than a task should sort: read from ``folder``, where it is written.
+
+    Rows are dealt by chain and place to pieces of about PART rows. The first pieces of all chains are hashed at once, then the
+    second ones, and so on: as many rounds as the longest chain has pieces, each going on from the numbers and digests that the
+    round before ended with. A task sorts a piece of a chain. The heads of chains that go on come to the driver, fewer than there are
+    pieces. ``add``: the columns ``front`` and ``back``, made as the pieces are read.
+    """
+    spark, part = rows.sparkSession, "__part"
+    listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    n = max(1, -(-rows.count() // PART))
+    rows.repartitionByRange(n, by, order).withColumn(part, F.spark_partition_id()).write.partitionBy(part).parquet(f"{folder}/parts")
+    parts = spark.read.schema(f"{listed}, {part} int").parquet(f"{folder}/parts")
+    piece, filled = {}, 0  # small parts that follow each other are one piece
+    for r in sorted(parts.groupBy(part).count().collect()):
+        filled += r["count"]
+        piece[r[part]] = (filled - 1) // PART
+    # a chain lies in parts that follow each other; those of more than one piece are at most as many as there are parts
+    ends = parts.groupBy(by).agg(F.min(part).alias("a"), F.max(part).alias("b")).where("a < b").collect()
+    long = {r[by]: (piece[r["a"]], piece[r["b"]]) for r in ends if piece[r["a"]] < piece[r["b"]]}
+    of = lambda c, k: F.col(by).eqNullSafe(F.lit(c)) & F.col(part).isin([p for p, q in piece.items() if q == long[c][0] + k])
+    heads, made = {}, []
+    for k in range(max((b - a for a, b in long.values()), default=0) + 1):
+        here = [c for c, (a, b) in long.items() if a + k <= b]
+        now = _any(of(c, k) for c in here) if here else F.lit(True)
+        if k == 0 and here:  # and all chains that lie in one piece
+            now |= ~_any(F.col(by).eqNullSafe(F.lit(c)) for c in here)
+        dealt = parts.where(now).withColumns(add).repartition(n if k == 0 else len(here), by).sortWithinPartitions(by, order).drop(part)
+        made.append(f"{folder}/sealed/{k}")
+        passed = _passed(dealt, by, heads, key, seq, last)
+        passed.write.parquet(made[-1])
+        going = [c for c in here if long[c][0] + k < long[c][1]]
+        if going:
+            ended = spark.read.schema(passed.schema).parquet(made[-1]).where(_any(F.col(by).eqNullSafe(F.lit(c)) for c in going))
+            heads = {r[by]: (r["seq"], r["digest"]) for r in ended.groupBy(by).agg(F.max("seq").alias("seq"), F.max_by("digest", "seq").alias("digest")).collect()}
+    remove(spark, f"{folder}/parts")
+    return spark.read.schema(passed.schema).parquet(*made)
+
+
+def _any(found: Iterator[Column]) -> Column:
+    return functools.reduce(lambda a, b: a | b, found)
+
+
+def seal(events: DataFrame, key: bytes | None = None, seq: int = 0, last: str = GENESIS, folder: str | None = None) -> DataFrame:
     """journal, seq, at, kind, record_id, payload, operation_intent_sha256, prev, digest of events (the same without seq, prev
     and digest, but with ``order``).
 
     A journal holds the events of all its records in one chain. Digests cover every field, with a key as HMAC. ``seq`` and
-    ``last`` are the head that the chains go on from.
+    ``last`` are the head that the chains go on from. Written to ``folder`` (default: a new one that executors share), which the
+    result reads, piece by piece: see ``linked_in_parts``.
     """
     parts = {"front": front(*map(F.col, ("at", "kind", "operation_intent_sha256", "payload"))), "back": back(F.col("record_id"))}
-    rows = events.select("journal", "order", "at", "kind", "record_id", "payload", "operation_intent_sha256").withColumns(parts)
-    return linked(rows, "journal", "order", key, seq, last).drop("order")
+    rows = events.select("journal", "order", "at", "kind", "record_id", "payload", "operation_intent_sha256")
+    return linked_in_parts(rows, "journal", "order", parts, folder or shared(events.sparkSession, "sealed"), key, seq, last).drop("order")
 
 
 def verify(journal: DataFrame, key: bytes | None = None) -> DataFrame:

@@ -104,7 +104,8 @@ class Journal:
             name = uuid.uuid4().hex
             part, intent = f"{self.folder}/parts/{name}", f"{self.folder}/intents/{name}.json"
             self._write(intent, {"operation": operation, "part": part, "version": head["version"]})
-            self._sealed(events, operation, head).write.parquet(part)
+            self._sealed(events, operation, head, f"{self.folder}/sealing/{name}").write.parquet(part)
+            self.fs.delete(self._path(f"{self.folder}/sealing/{name}"), True)
             if before_publish is not None:
                 before_publish()
             version = self._publish_part(head, part, operation)
@@ -136,14 +137,15 @@ class Journal:
                 outcome, keep = ("done", done["part"] == part) if done is not None else ("moved" if whole else "partial", False)
             if not keep:
                 self.fs.delete(self._path(part), True)
+            self.fs.delete(self._path(f"{self.folder}/sealing/{part.rpartition('/')[2]}"), True)
             self.fs.delete(status.getPath(), False)
             out.append((intent["operation"], outcome))
         return out
 
-    def _sealed(self, events: DataFrame, operation: str, head: dict) -> DataFrame:
+    def _sealed(self, events: DataFrame, operation: str, head: dict, folder: str) -> DataFrame:
         intent = F.sha2(F.lit(operation), 256)
         rows = events.select(F.lit(0).alias("journal"), "order", "at", "kind", "record_id", "payload").withColumn("operation_intent_sha256", intent)
-        return chain.seal(rows, self.key, head["seq"], head["digest"]).select(*NAMES)
+        return chain.seal(rows, self.key, head["seq"], head["digest"], folder).select(*NAMES)
 
     def snapshot(self, version: int | None = None) -> DataFrame | None:
         """The journal as of a transaction (default: the newest), whatever is appended meanwhile; None if it is empty.

@@ -47,6 +47,22 @@ def test_chain_is_canonical(spark, key):
     assert sorted((r.seq, r.prev, r.digest) for r in [*whole, *rest]) == plain([r for r in rows if r["journal"] == 0], key)
 
 
+@pytest.mark.parametrize(("journals", "part"), [(1, 10), (3, 7), (40, 9), (1, 1000)])
+def test_no_task_sorts_a_long_chain(spark, monkeypatch, journals, part):
+    monkeypatch.setattr(chain, "PART", part)
+    e = events(spark, 120, journals)
+    rows = sorted(e.collect(), key=lambda r: r["order"])
+    sealed = chain.seal(e.repartition(5), KEY, 3, "f" * 64)
+    got = sealed.collect()
+    for j in range(journals):
+        mine = sorted((r.seq, r.at, r.prev) for r in got if r.journal == j)
+        assert [(n, a) for n, a, _ in mine] == [(n + 4, r["at"]) for n, r in enumerate(r for r in rows if r["journal"] == j)] and mine[0][2] == "f" * 64
+    again = {(r.journal, r.seq): r.digest for r in chain.linked(e.withColumns({"front": chain.front(*map(F.col, ("at", "kind", "operation_intent_sha256", "payload"))), "back": chain.back(F.col("record_id"))}), "journal", "order", KEY, 3, "f" * 64).collect()}
+    assert {(r.journal, r.seq): r.digest for r in got} == again
+    most = sealed.groupBy(F.input_file_name().alias("file"), "journal").count().agg(F.max("count")).first()[0]
+    assert most <= 2 * part
+
+
 @pytest.mark.parametrize("block", [1 << 16, 4])
 def test_breaks_are_named(spark, monkeypatch, block):
     monkeypatch.setattr(chain, "BLOCK", block)
