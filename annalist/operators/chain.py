@@ -19,7 +19,7 @@ GENESIS = "0" * 64
 #: Numbers of one block of a chain when it is verified.
 BLOCK = 1 << 16
 #: Rows of journals that a task sorts at once when they are sealed.
-PART = 500_000
+PART = 1_000_000
 
 
 class JournalBroken(ValueError):
@@ -95,7 +95,7 @@ def linked_in_parts(rows: DataFrame, by: str, order: str, add: dict[str, Column]
     spark, part = rows.sparkSession, "__part"
     listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     n = max(1, -(-rows.count() // PART))
-    rows.repartitionByRange(n, by, order).withColumn(part, F.spark_partition_id()).write.partitionBy(part).parquet(f"{folder}/parts")
+    rows.repartitionByRange(n, by, order).withColumn(part, F.spark_partition_id()).write.parquet(f"{folder}/parts")  # a file a part, which filters skip by its bounds
     parts = spark.read.schema(f"{listed}, {part} int").parquet(f"{folder}/parts")
     piece, filled = {}, 0  # small parts that follow each other are one piece
     for r in sorted(parts.groupBy(part).count().collect()):
