@@ -50,7 +50,7 @@ def bundle(approved: DataFrame, objects: DataFrame) -> DataFrame:
 
     def follow(df: DataFrame, column: str, name: str) -> DataFrame:
         o = objects.select(F.col("address").alias(column), F.col("refs").alias(name), F.col("record_id").alias(f"{name}_record"), F.lit(True).alias(f"{name}_there"))
-        return df.join(o, column, "left")
+        return df.join(o.hint("merge"), column, "left")  # objects are as many as records: never sent whole through the driver
 
     j = follow(approved.select("record_id", F.col("address").alias("at")), "at", "approval")
     j = follow(j.withColumn("preview_at", F.col("approval")["confirmed"]), "preview_at", "preview")

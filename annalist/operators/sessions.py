@@ -269,7 +269,7 @@ def export_bundle(chain: DataFrame, drafts: DataFrame, production: Column) -> Da
     fields are missing). Chain: as ``recovery.bundle`` returns it; drafts: record_id, actor, input_sha256, now_sha256, fields
     (map), required (array). A record without draft has the problem ``draft``.
     """
-    j = chain.join(drafts.withColumn("there", F.lit(True)), "record_id", "left").withColumn("open", F.array_sort(F.array_except("required", F.map_keys("fields"))))
+    j = chain.join(drafts.withColumn("there", F.lit(True)).hint("merge"), "record_id", "left").withColumn("open", F.array_sort(F.array_except("required", F.map_keys("fields"))))
     problem = F.coalesce("problem", F.when(F.col("there").isNull(), "draft"), F.when(production & ~F.col("input_sha256").eqNullSafe(F.col("now_sha256")), "moved"), F.when(production & (F.size("open") > 0), "open"))
     fields = F.map_from_entries(F.array_sort(F.map_entries("fields")))
     catalog = F.struct(F.struct(F.col("abstract_draft").alias("draft")).alias("abstract"), F.col("adjudicated"), F.struct(F.col("metadata_draft").alias("draft"), fields.alias("fields"), F.col("open").alias("open_requirements")).alias("metadata"))

@@ -41,3 +41,16 @@ def test_scalar_checks_of_pages_with_five_digits(spark, against_sql):
     pages = spark.createDataFrame([(n, f"https://a.example/{n}.html", "<p>x</p>") for n in (0, 1, 7, 9999, 10000, 10002, 12757, 100003)], "page_id long, url string, html string")
     found = {r["page_id"]: r["record"] for r in against_sql("scalar_checks", pages=pages)}
     assert found[7] == "REC-0007" and found[9999] == "REC-9999" and found[10000] == "REC-1000"
+
+
+def test_files_of_cues_are_dealt_by_their_turns(spark, monkeypatch):
+    from annalist.plans import evidence
+
+    monkeypatch.setattr(evidence, "TURNS", 20, raising=False)
+    files = evidence._files(spark, "/root/testdata/sf0.001")
+    assert files.selectExpr("spark_partition_id() AS p").distinct().count() > 4  # more than shuffle partitions
+
+
+def test_bundles_are_not_sent_through_the_driver(spark):
+    df = catalog.QUERIES["export_bundles"](spark, "/root/testdata/sf0.001")
+    assert df.collect() and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
