@@ -16,8 +16,14 @@ _STAMP = "lpad(cast(floor(({0}) / 3600) as int)::string, 2, '0') || ':' || lpad(
 _LINES = f"'turn ' || idx::string || chr(10) || {_STAMP.format('idx')} || ' --> ' || {_STAMP.format('idx + 1')} || ' align:start' || chr(10)"
 
 
+#: Turns of the files of one task; by bytes alone, far more would be merged than its lines and their windows leave room for.
+TURNS = 2_500
+
+
 def _files(spark, sf_dir):
-    s = segments(spark, sf_dir).withColumn("body", F.expr(r"coalesce(nullif(trim(regexp_replace(text, r'\s*\n\s*', '\n')), ''), '-')"))
+    s = segments(spark, sf_dir)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-s.count() // TURNS))
+    s = s.repartition(parts, "record_id").withColumn("body", F.expr(r"coalesce(nullif(trim(regexp_replace(text, r'\s*\n\s*', '\n')), ''), '-')"))
     s = s.select("record_id", "idx", F.expr(f"{_LINES} || body || chr(10) || chr(10)").alias("block"))
     listed = F.array_sort(F.collect_list(F.struct("idx", "block")))
     return s.groupBy("record_id").agg(F.concat(F.lit(_HEAD), F.array_join(F.transform(listed, lambda x: x["block"]), "")).alias("source")).withColumn("format", F.lit("vtt"))
