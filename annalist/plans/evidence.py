@@ -36,10 +36,9 @@ def vtt_cues(spark, sf_dir):
 def cue_render(spark, sf_dir):
     """Every file with another letter in its spoken text, and with its own text (which gives the file itself)."""
     files = _files(spark, sf_dir)
-    found = cues.accepted(cues.scan(files)).join(files.select("record_id", "source"), "record_id").withColumn("payload", cues.payload(F.col("source"))).drop("source")
-    changed = cues.render(files, found.withColumn("payload", F.replace("payload", F.lit("e"), F.lit("<i>e</i>"))))
-    same = cues.render(files, found).select("record_id", F.col("source").alias("again")).join(files, "record_id").select("record_id", (F.col("again") == F.col("source")).alias("identity"))
-    return changed.select("record_id", sha256(F.col("source")).alias("sha256")).join(same, "record_id")
+    found = cues.accepted(cues.scan(files, payloads=True)).withColumn("other", F.replace("payload", F.lit("e"), F.lit("<i>e</i>")))
+    both = cues.render(files, found, {"changed": "other", "again": "payload"})
+    return both.select("record_id", sha256(F.col("changed")).alias("sha256"), (F.col("again") == F.col("source")).alias("identity"))
 
 
 #: Fixture convention: payloads by event type that keep or break their contract in all ways.

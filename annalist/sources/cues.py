@@ -31,56 +31,63 @@ def _time(line: str, kind: str) -> tuple[Column, Column, Column]:
     return F.coalesce(fits, F.lit(False)), begin, end
 
 
-def scan(files: DataFrame) -> DataFrame:
+def scan(files: DataFrame, payloads: bool = False) -> DataFrame:
     """record_id, cue_index, start, end, start_ms, end_ms, problem from (record_id, format: srt or vtt, source).
 
     ``start`` and ``end`` are half-open code point places of a cue's text in ``source``, up to before the line end of
-    its last line. Lines end at LF or CRLF only. A block (lines up to a blank one) is a cue: an id if any, a time line,
+    its last line; with ``payloads`` that text stands beside them. Lines end at LF or CRLF only. A block (lines up to a blank one) is a cue: an id if any, a time line,
     and text, whatever that looks like. Rows with a problem have no cue_index: ``head`` (no WebVTT head), ``line``
     (neither id nor time line), ``time`` (no time line after an id), ``text`` (no text), ``none`` (not one cue). A null
     source counts as empty. A file with a problem should be refused whole: see ``accepted``.
+
+    The files are read once: what is told of a whole file comes from a window over its blocks, not from joins.
     """
     lines = files.select("record_id", "format", F.posexplode(F.split(F.coalesce("source", F.lit("")), "\n", -1)).alias("n", "raw"))
     order = W.partitionBy("record_id", "format").orderBy("n")
+    to_here, whole = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     lines = lines.withColumn("start", F.coalesce(F.sum(F.length("raw") + 1).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     ended = F.lead("n").over(order).isNotNull()
     lines = lines.withColumn("line", F.when(ended, F.regexp_replace("raw", "\r\\z", "")).otherwise(F.col("raw"))).withColumn("blank", F.col("line").rlike(BLANK))
-    lines = lines.withColumn("block", F.sum(F.col("blank").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    kept = lines.where(~F.col("blank")).withColumn("end", F.col("start") + F.length("line"))
-    inside = W.partitionBy("record_id", "format", "block").orderBy("n")
-    kept = kept.withColumn("k", F.row_number().over(inside))
-    at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
-    blocks = kept.groupBy("record_id", "format", "block").agg(
-        F.min("n").alias("n"), F.count("*").alias("size"), F.max("end").alias("end"), at(1, "line").alias("l1"), at(2, "line").alias("l2"),
-        at(2, "start").alias("s2"), at(3, "start").alias("s3"))
+    lines = lines.withColumn("block", F.sum(F.col("blank").cast("int")).over(to_here))
+    # a blank first line stays, as a block of no lines, so that every file has a first block
+    kept = lines.where(~F.col("blank") | (F.col("n") == 0)).withColumn("block", F.when(F.col("blank"), 0).otherwise(F.col("block")))
+    line = F.when(~F.col("blank"), F.struct("n", "start", "line", (F.length("raw") > F.length("line")).alias("cr")))
+    blocks = kept.groupBy("record_id", "format", "block").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(line)).alias("l"))
+    l, size = (lambda k, c: F.get("l", F.lit(k))[c]), F.size("l")
+    last = F.get("l", size - 1)
+    blocks = blocks.select("record_id", "format", "n", "l", size.alias("size"), (last["start"] + F.length(last["line"])).alias("end"), l(0, "line").alias("l1"), l(1, "line").alias("l2"), l(1, "start").alias("s2"), l(2, "start").alias("s3"))
     vtt = F.col("format") == "vtt"
     blocks = blocks.where(~(vtt & (F.col("n") > 0) & F.col("l1").rlike(STRUCTURE)))
     (first, b1, e1), (second, b2, e2) = _time("l1", "format"), _time("l2", "format")
     head = vtt & (F.col("n") == 0)
     named = F.when(vtt, F.lit(True)).otherwise(F.regexp_replace("l1", "^﻿+", "").rlike(r"(?U)^[\s\x1c-\x1f]*\d+[\s\x1c-\x1f]*\z"))
     problem = (
-        F.when(head, F.when(~F.col("l1").rlike(HEAD), "head"))
+        F.when(F.col("size") == 0, None)
+        .when(head, F.when(~F.col("l1").rlike(HEAD), "head"))
         .when(first, F.when(F.col("size") < 2, "text"))
         .when(~named | (vtt & ~second), "line").when(~second, "time").when(F.col("size") < 3, "text"))
+    text = F.slice("l", F.when(first, 2).otherwise(3), F.greatest(size, F.lit(1)))
+    text = F.array_join(F.transform(text, lambda x, i: F.concat(F.when(i > 0, "\n").otherwise(""), x["line"], F.when(x["cr"] & (x["n"] < F.get("l", F.size("l") - 1)["n"]), "\r").otherwise(""))), "")
     blocks = blocks.select(
-        "record_id", "format", "n", problem.alias("problem"), head.alias("head"), F.when(first, F.col("s2")).otherwise(F.col("s3")).alias("start"), "end",
-        F.when(first, b1).otherwise(b2).alias("start_ms"), F.when(first, e1).otherwise(e2).alias("end_ms"))
-    cues = blocks.where(~F.col("head") & F.col("problem").isNull()).withColumn("cue_index", F.row_number().over(order) - 1)
-    cues = cues.select("record_id", F.col("cue_index").cast("long").alias("cue_index"), "start", "end", "start_ms", "end_ms", F.lit(None).cast("string").alias("problem"))
-    bad = blocks.where(F.col("problem").isNotNull()).select("record_id", "problem")
+        "record_id", "format", "n", "size", problem.alias("problem"), head.alias("head"), F.when(first, F.col("s2")).otherwise(F.col("s3")).alias("start"), "end",
+        F.when(first, b1).otherwise(b2).alias("start_ms"), F.when(first, e1).otherwise(e2).alias("end_ms"), *[text.alias("payload")] * payloads)
+    is_cue = (F.col("size") > 0) & ~F.col("head") & F.col("problem").isNull()
+    blocks = blocks.withColumn("cue", is_cue)
+    blocks = blocks.withColumns({"cue_index": (F.sum(F.col("cue").cast("int")).over(to_here) - 1).cast("long"), "any_head": F.max(F.col("head") & (F.col("size") > 0)).over(whole), "any_told": F.max(F.col("cue") | F.col("problem").isNotNull()).over(whole)})
     # a WebVTT file that starts with a blank line has no head at all; one without cues tells nothing
-    seen = blocks.groupBy("record_id").agg(F.max("head").alias("head"), F.max(~F.col("head") & F.col("problem").isNull()).alias("cue"), F.max(F.col("problem").isNotNull()).alias("bad"))
-    told = files.select("record_id", "format").join(seen, "record_id", "left")
-    lone = told.select("record_id", F.when(vtt & ~F.coalesce("head", F.lit(False)), "head").when(~F.coalesce("cue", F.lit(False)) & ~F.coalesce("bad", F.lit(False)), "none").alias("problem")).where("problem is not null")
-    none = lambda kind: F.lit(None).cast(kind)
-    rest = bad.unionByName(lone).select("record_id", none("long").alias("cue_index"), none("long").alias("start"), none("long").alias("end"), none("long").alias("start_ms"), none("long").alias("end_ms"), "problem")
-    return cues.unionByName(rest)
+    lone = F.when(F.col("n") == 0, F.when(vtt & ~F.col("any_head"), "head").when(~F.col("any_told"), "none"))
+    of_cue = ["cue_index", "start", "end", "start_ms", "end_ms", *["payload"] * payloads]
+    blocks = blocks.withColumns({"lone": lone, **{c: F.when(F.col("cue"), F.col(c)) for c in of_cue}})
+    own = F.when(F.col("cue") | F.col("problem").isNotNull(), F.struct(*of_cue[:5], "problem", *of_cue[5:]))
+    empty = [F.lit(None).cast("string" if c == "payload" else "long").alias(c) for c in of_cue]
+    alone = F.when(F.col("lone").isNotNull(), F.struct(*empty[:5], F.col("lone").alias("problem"), *empty[5:]))
+    return blocks.select("record_id", F.inline(F.array_compact(F.array(own, alone))))
 
 
 def accepted(cues: DataFrame) -> DataFrame:
     """Cues of files in which nothing is wrong."""
-    refused = cues.where(F.col("problem").isNotNull()).select("record_id").distinct()
-    return cues.join(refused, "record_id", "left_anti").drop("problem")
+    refused = F.max(F.col("problem").isNotNull()).over(W.partitionBy("record_id"))
+    return cues.withColumn("refused", refused).where(~F.col("refused")).drop("refused", "problem")
 
 
 def payload(source: Column) -> Column:
@@ -97,13 +104,18 @@ def barrier(old: Column, new: Column) -> Column:
         .when(empty, "blank_line").when(ends(old) != ends(new), "line_ends"))
 
 
-def render(files: DataFrame, cues: DataFrame) -> DataFrame:
+def render(files: DataFrame, cues: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """record_id, source: each file with its cues' ``payload`` in place (cues: record_id, start, end, payload).
 
-    With unchanged payloads the result is the file itself. A file without cues stays as it is.
+    With unchanged payloads the result is the file itself. A file without cues stays as it is. ``texts`` (new column to
+    column of cues) gives several texts in one pass, beside the file's own ``source``.
     """
-    p = cues.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "payload"))).alias("m"))
-    pieces = F.expr("transform(m, (x, i) -> concat(substring(source, int(if(i = 0, 0, m[i - 1].end)) + 1, int(x.start - if(i = 0, 0, m[i - 1].end))), x.payload))")
+    texts = {"source": "payload"} if texts is None else texts
+    # files and cues meet in one grouping, not a join: no text is sorted or sent once more, and a record without id counts too
+    rows = files.select("record_id", "source", F.lit(True).alias("there"))
+    rows = rows.unionByName(cues.select("record_id", F.struct("start", "end", *dict.fromkeys(texts.values())).alias("c")), allowMissingColumns=True)
+    j = rows.groupBy("record_id").agg(F.max("source").alias("source"), F.max("there").alias("there"), F.array_sort(F.collect_list("c")).alias("m")).where("there")
+    pieces = "transform(m, (x, i) -> concat(substring(source, int(if(i = 0, 0, m[i - 1].end)) + 1, int(x.start - if(i = 0, 0, m[i - 1].end))), x.`{}`))"
     tail = F.expr("substring(source, int(element_at(m, -1).end) + 1)")
-    j = files.select("record_id", "source").join(p, "record_id", "left")
-    return j.select("record_id", F.when(F.col("m").isNull(), F.col("source")).otherwise(F.concat(F.array_join(pieces, ""), tail)).alias("source"))
+    whole = lambda c: F.when(F.size("m") == 0, F.col("source")).otherwise(F.concat(F.array_join(F.expr(pieces.format(c)), ""), tail))
+    return j.withColumns({name: whole(c) for name, c in texts.items()}).drop("m", "there")

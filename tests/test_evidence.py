@@ -23,6 +23,17 @@ def test_cues_of_both_formats(spark):
     assert [SRT[r.start : r.end] for r in got[:2]] == [r.p for r in got[:2]] and VTT[got[2].start : got[2].end] == got[2].p
 
 
+def test_texts_of_cues_are_those_at_their_places(spark):
+    more = ["WEBVTT\r\n\r\nid\r\n00:01.000 --> 00:02.000\r\na\r\r\nb\rc\r\n \t\r\n00:02.000 --> 00:03.000\r\nlast\r", "WEBVTT\n00:01.000 --> 00:02.000\nin the head\n\n\n\n00:01.000 --> 00:02.000\n𝄞\r\n\u2028x"]
+    f = files(spark, (1, "srt", SRT), (2, "vtt", VTT), *[(n, "vtt", t) for n, t in enumerate(more, 3)], (5, "srt", "\n\r\n" + SRT[1:]), (6, "srt", "none"))
+    found = cues.accepted(cues.scan(f, payloads=True))
+    got = found.join(f, "record_id").select("record_id", "payload", cues.payload(F.col("source")).alias("p")).collect()
+    assert len(got) == 9 and {r.record_id for r in got} == {1, 2, 3, 4, 5} and all(r.payload == r.p for r in got)
+    both = cues.render(f, found.withColumn("other", F.concat(F.lit("<"), "payload", F.lit(">"))), {"again": "payload", "changed": "other"}).collect()
+    assert len(both) == 6 and all(r.again == r.source for r in both)
+    assert {r.record_id: r.changed for r in both}[1] == SRT.replace("Guten Tag --> so\r\n zwei", "<Guten Tag --> so\r\n zwei>").replace("drei", "<drei>")
+
+
 @pytest.mark.parametrize("fmt, source, problems", [
     ("vtt", "", ["head"]), ("vtt", None, ["head"]), ("vtt", "WEBVTTx\n\n00:01.000 --> 00:02.000\na", ["head"]), ("vtt", "WEBVTT\n", ["none"]), ("srt", "\n\n", ["none"]),
     ("vtt", "\nWEBVTT\n\n00:01.000 --> 00:02.000\na", ["head", "line"]), ("srt", "x\n00:00:01,000 --> 00:00:02,000\na", ["line"]), ("srt", "1\n00:00:03,000 --> 00:00:02,000\na", ["time"]),

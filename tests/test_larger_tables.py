@@ -51,6 +51,19 @@ def test_files_of_cues_are_dealt_by_their_turns(spark, monkeypatch):
     assert files.selectExpr("spark_partition_id() AS p").distinct().count() > 4  # more than shuffle partitions
 
 
+@pytest.mark.parametrize("name", ["vtt_cues", "cue_render"])
+def test_files_of_cues_are_scanned_once(spark, name):
+    """Each further scan in the one stage of these queries was held by the same task beside the others."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["vtt_cues", "cue_render"])
+def test_cues_of_a_record_without_id(spark, against_sql, name):
+    rows = [(None, 0, "user", "one e"), (None, 1, "assistant", " two\n\n lines e "), (7, 0, "user", "three")]
+    assert None in {r["record_id"] for r in against_sql(name, conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))}
+
+
 def test_bundles_are_not_sent_through_the_driver(spark):
     df = catalog.QUERIES["export_bundles"](spark, "/root/testdata/sf0.001")
     assert df.collect() and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
