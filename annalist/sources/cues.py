@@ -14,6 +14,8 @@ HEAD = "(?s)^﻿*WEBVTT(?:[ \t].*)?\\z"
 STRUCTURE = r"(?sU)^\s*(NOTE|STYLE|REGION)(?: .*|\s*)\z"
 #: A line of nothing but white space; the four separators count as such although Java's class lacks them.
 BLANK = r"(?U)^[\s\x1c-\x1f]*\z"
+#: Characters of a block from which a file's pieces are cut.
+CUT = 500
 #: Characters that other programs take for a line end.
 LINE_BREAKING = "[\v\f\x1c\x1d\x1e\x85  ]"
 
@@ -115,7 +117,12 @@ def render(files: DataFrame, cues: DataFrame, texts: dict[str, str] | None = Non
     rows = files.select("record_id", "source", F.lit(True).alias("there"))
     rows = rows.unionByName(cues.select("record_id", F.struct("start", "end", *dict.fromkeys(texts.values())).alias("c")), allowMissingColumns=True)
     j = rows.groupBy("record_id").agg(F.max("source").alias("source"), F.max("there").alias("there"), F.array_sort(F.collect_list("c")).alias("m")).where("there")
-    pieces = "transform(m, (x, i) -> concat(substring(source, int(if(i = 0, 0, m[i - 1].end)) + 1, int(x.start - if(i = 0, 0, m[i - 1].end))), x.`{}`))"
-    tail = F.expr("substring(source, int(element_at(m, -1).end) + 1)")
+    # substring counts from a text's beginning: cut from blocks of CUT characters, a file takes time by its length, not by that times its cues
+    j = j.withColumn("b", F.regexp_extract_all("source", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)))
+    cut = lambda a, blocks: f"array_join(slice(b, int({a} div {CUT}) + 1, int({blocks})), '')"
+    at, last = "if(i = 0, 0, m[i - 1].end)", "element_at(m, -1).end"
+    between = f"substring({cut(at, f'greatest(x.start, {at}) div {CUT} - {at} div {CUT} + 1')}, int({at} % {CUT}) + 1, int(x.start - {at}))"
+    pieces = f"transform(m, (x, i) -> concat({between}, x.`{{}}`))"
+    tail = F.expr(f"substring({cut(last, 'size(b)')}, int({last} % {CUT}) + 1)")
     whole = lambda c: F.when(F.size("m") == 0, F.col("source")).otherwise(F.concat(F.array_join(F.expr(pieces.format(c)), ""), tail))
-    return j.withColumns({name: whole(c) for name, c in texts.items()}).drop("m", "there")
+    return j.withColumns({name: whole(c) for name, c in texts.items()}).drop("m", "there", "b")

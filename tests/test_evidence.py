@@ -23,7 +23,9 @@ def test_cues_of_both_formats(spark):
     assert [SRT[r.start : r.end] for r in got[:2]] == [r.p for r in got[:2]] and VTT[got[2].start : got[2].end] == got[2].p
 
 
-def test_texts_of_cues_are_those_at_their_places(spark):
+@pytest.mark.parametrize("cut", [3, 500])
+def test_texts_of_cues_are_those_at_their_places(spark, monkeypatch, cut):
+    monkeypatch.setattr(cues, "CUT", cut)
     more = ["WEBVTT\r\n\r\nid\r\n00:01.000 --> 00:02.000\r\na\r\r\nb\rc\r\n \t\r\n00:02.000 --> 00:03.000\r\nlast\r", "WEBVTT\n00:01.000 --> 00:02.000\nin the head\n\n\n\n00:01.000 --> 00:02.000\n𝄞\r\n\u2028x"]
     f = files(spark, (1, "srt", SRT), (2, "vtt", VTT), *[(n, "vtt", t) for n, t in enumerate(more, 3)], (5, "srt", "\n\r\n" + SRT[1:]), (6, "srt", "none"))
     found = cues.accepted(cues.scan(f, payloads=True))
